@@ -17,8 +17,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.functions import archive, content, urls
-from palimpsest.operators import versions
+from palimpsest.functions import archive
+from palimpsest.operators import fetched, overlay, versions
+from palimpsest.session import cut_lineage
 from palimpsest.sources import listing
 
 LATER = 1_000_000_000
@@ -173,10 +174,13 @@ def earlier_results(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def worked(spark: SparkSession, sf: str) -> DataFrame:
-    """Kept captures with the earlier results laid over them."""
-    from palimpsest.operators import overlay
+    """All distinct captures with the earlier results laid over them."""
+    return overlay.overlay_results(distinct_captures(spark, sf), earlier_results(spark, sf))
 
-    return overlay.overlay_results(kept(spark, sf), earlier_results(spark, sf))
+
+def payload_index(spark: SparkSession, sf: str) -> DataFrame:
+    """Index of the payloads, stored as a run stores it before it follows redirects."""
+    return cut_lineage(fetched.payload_index(payloads(spark, sf)), "index")
 
 
 def save_log(spark: SparkSession, sf: str) -> DataFrame:

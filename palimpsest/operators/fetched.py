@@ -2,22 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.functions import archive, content, paths
+from palimpsest.functions import archive, content, paths, urls
+from palimpsest.session import cut_lineage
 
 # Fixed value: requests spent on following one redirect. The first repeats the
 # redirecting address itself, so four further addresses are visited.
 REDIRECT_REQUESTS = 5
 
 
+def payload_index(payloads: DataFrame) -> DataFrame:
+    """What deciding needs of a payload: status, location, and whether it is HTML.
+
+    Bodies are unpacked and looked at where they are read; none is shuffled.
+    """
+    return content.decode_payload(payloads).select(
+        "url_archive", "status", "location", content.is_html(F.col("body")).alias("is_html")
+    )
+
+
 def attach_payloads(captures: DataFrame, payloads: DataFrame) -> DataFrame:
     """Give every open capture its payload; ``payloads`` has one row per address.
 
-    Closed captures and those without payload keep NULLs. The condition on ``response``
-    sits in the join, not in its key: the key stays unique on both sides and NULLs cannot
-    pile up in one task.
+    Any columns come along, whole payloads or an index of them. Closed captures and those
+    without payload keep NULLs. The condition on ``response`` sits in the join, not in its
+    key: the key stays unique on both sides and NULLs cannot pile up in one task.
     """
     given = payloads.select(
         F.col("url_archive").alias("__address"),
@@ -28,19 +39,19 @@ def attach_payloads(captures: DataFrame, payloads: DataFrame) -> DataFrame:
 
 
 def resolve_redirects(
-    attached: DataFrame, payloads: DataFrame, max_requests: int = REDIRECT_REQUESTS
+    attached: DataFrame, index: DataFrame, max_requests: int = REDIRECT_REQUESTS
 ) -> DataFrame:
-    """Follow the 302 responses among ``attached`` and add what they lead to.
+    """Follow the 302 responses among ``attached`` through the payload index.
 
-    Adds ``redirect_url`` (the redirecting address), ``redirect_timestamp`` (of the last
-    location seen), ``redirect_target`` (last address visited), ``hops`` and
-    ``final_status``. Locations are always resolved against the first address. A target
-    without payload leaves ``final_status`` NULL.
+    Gives per redirecting capture ``redirect_url`` (its own address),
+    ``redirect_timestamp`` (of the last location seen), ``redirect_target`` (last address
+    visited), ``hops``, ``final_status`` and ``final_html``. Locations are always resolved
+    against the first address. A target without payload leaves ``final_status`` NULL.
 
-    Each hop is an equi join of the few narrow columns of rows still under way with the
-    payload index, whose addresses are unique. Many rows may point at one target; adaptive
-    execution splits such a partition of the left side. Finished rows are not shuffled
-    under a shared NULL key, they get a key of their own.
+    Each hop is an equi join of a few narrow columns with the index, whose addresses are
+    unique. Many rows may point at one target: adaptive execution splits such a partition
+    of the left side, which a left join with one row to find allows. Finished rows are
+    not shuffled under a shared NULL key, each gets a key of its own.
     """
     moved = attached.where((F.col("status") == 302) & F.col("location").isNotNull())
     walk = moved.select(
@@ -49,31 +60,37 @@ def resolve_redirects(
         archive.resolve_url(F.col("url_archive"), F.col("location")).alias("__next"),
         F.col("url_archive").alias("redirect_target"),
         F.col("status").alias("final_status"),
+        F.col("is_html").alias("final_html"),
         F.lit(0).alias("hops"),
     ).withColumn("redirect_timestamp", archive.archive_timestamp(F.col("__next")))
-    index = payloads.select(
+    known = index.select(
         F.col("url_archive").alias("__key"),
         F.col("status").alias("__status"),
         F.col("location").alias("__location"),
+        F.col("is_html").alias("__html"),
     )
     for _ in range(max_requests - 1):
         going = F.col("__next").isNotNull()
         key = F.when(going, F.col("__next")).otherwise(F.concat(F.lit("\0"), F.col("scid")))
         onward = archive.resolve_url(F.col("__start"), F.col("__location"))
+
+        def moved_on(new: str, old: str, going: Column = going) -> Column:
+            return F.when(going, F.col(new)).otherwise(F.col(old)).alias(old)
+
         walk = (
             walk.withColumn("__key", key)
-            .join(index, "__key", "left")
+            .join(known, "__key", "left")
             .withColumn("__onward", F.when(going, onward))
+            .withColumn("__stamp", archive.archive_timestamp(F.col("__onward")))
             .select(
                 "scid",
                 "__start",
                 F.col("__onward").alias("__next"),
-                F.when(going, F.col("__next")).otherwise(F.col("redirect_target")).alias("redirect_target"),
-                F.when(going, F.col("__status")).otherwise(F.col("final_status")).alias("final_status"),
+                moved_on("__next", "redirect_target"),
+                moved_on("__status", "final_status"),
+                moved_on("__html", "final_html"),
                 (F.col("hops") + going.cast("int")).alias("hops"),
-                F.coalesce(
-                    archive.archive_timestamp(F.col("__onward")), F.col("redirect_timestamp")
-                ).alias("redirect_timestamp"),
+                F.coalesce("__stamp", "redirect_timestamp").alias("redirect_timestamp"),
             )
         )
     return walk.select(
@@ -82,30 +99,36 @@ def resolve_redirects(
         "redirect_timestamp",
         "redirect_target",
         "final_status",
+        "final_html",
         "hops",
     )
 
 
-def follow_redirects(attached: DataFrame, payloads: DataFrame) -> DataFrame:
-    """``attached`` with redirects followed: the payload becomes that of the target.
+def follow_redirects(attached: DataFrame, index: DataFrame) -> DataFrame:
+    """``attached`` with redirects followed.
 
-    ``response`` keeps the first status; ``final_status`` is the last one.
+    ``status`` stays the first answer; ``final_status``, ``is_html`` and ``body_address``
+    are those of the address a redirect ended at.
     """
-    trails = resolve_redirects(attached, payloads)
-    found = payloads.select(
-        F.col("url_archive").alias("redirect_target"),
-        F.col("encoding").alias("__encoding"),
-        F.col("body").alias("__body"),
-    )
-    led = trails.join(found, "redirect_target", "left").withColumn("__led", F.lit(True))
+    trails = resolve_redirects(attached, index).withColumn("__led", F.lit(True))
     base = attached.drop("redirect_url", "redirect_timestamp")
-    went = F.col("__led").isNotNull()
+    led = F.col("__led").isNotNull()
     return (
-        base.join(led, "scid", "left")
-        .withColumn("final_status", F.when(went, F.col("final_status")).otherwise(F.col("status")))
-        .withColumn("encoding", F.when(went, F.col("__encoding")).otherwise(F.col("encoding")))
-        .withColumn("body", F.when(went, F.col("__body")).otherwise(F.col("body")))
-        .drop("__led", "__encoding", "__body")
+        base.join(trails, "scid", "left")
+        .withColumns(
+            {
+                "final_status": F.when(led, F.col("final_status")).otherwise(F.col("status")),
+                "is_html": F.when(led, F.col("final_html")).otherwise(F.col("is_html")),
+                "body_address": F.coalesce("redirect_target", "url_archive"),
+            }
+        )
+        .drop("__led", "final_html")
+    )
+
+
+def without_redirects(attached: DataFrame) -> DataFrame:
+    return attached.withColumns(
+        {"final_status": F.col("status"), "body_address": F.col("url_archive")}
     )
 
 
@@ -114,8 +137,6 @@ def with_output_path(captures: DataFrame, mode: str, merge_www: bool = True) ->
 
     Rows without key get it from the address inside their archive address.
     """
-    from palimpsest.functions import urls
-
     key = F.coalesce(
         F.nullif(F.col("url_key"), F.lit("")),
         urls.url_key(archive.url_from_archive(F.col("url_archive")), merge_www),
@@ -124,12 +145,6 @@ def with_output_path(captures: DataFrame, mode: str, merge_www: bool = True) ->
     return captures.withColumn("rel_path", paths.output_path(key, stamp))
 
 
-def with_html_ext(df: DataFrame) -> DataFrame:
-    """Give extensionless paths of HTML bodies their ending."""
-    html = content.is_html(F.col("body"))
-    return df.withColumn("rel_path", paths.add_html_ext(F.col("rel_path"), html))
-
-
 def flag_long_paths(df: DataFrame, limit: int = paths.PATH_LIMIT, root: str = "") -> DataFrame:
     full = F.concat(F.lit(root), F.col("rel_path"))
     return df.withColumn("too_long", paths.path_too_long(full, limit))
@@ -195,19 +210,36 @@ def write_once(files: DataFrame) -> DataFrame:
 def with_outcomes(fetched: DataFrame, mode: str) -> DataFrame:
     """Outcome of every capture that has a payload.
 
-    ``fetched`` carries ``final_status`` and ``body``. Adds ``rel_path``, ``outcome``
-    (``SUCCESS``, ``EXISTING``, ``UNKNOWN``), ``file`` and the status as ``response``.
+    ``fetched`` carries ``status``, ``final_status`` and ``is_html``, no bodies. Adds
+    ``outcome`` (``SUCCESS``, ``EXISTING``, ``UNKNOWN``), ``file`` and the first status as
+    ``response``. Conflicts and first arrivals each look at all files more than once, so
+    the narrow rows are stored between the steps.
     """
-    had = fetched.where(F.col("status").isNotNull())
-    placed = with_output_path(had, mode).withColumn("is_html", content.is_html(F.col("body")))
-    placed = placed.withColumn("rel_path", paths.add_html_ext(F.col("rel_path"), F.col("is_html")))
-    good = F.col("final_status") == 200
-    stored = write_once(settle_conflicts(placed.where(good).select("scid", "rel_path", "is_html")))
-    marks = stored.select("scid", F.col("rel_path").alias("__path"), "outcome")
+    had = cut_lineage(fetched.where(F.col("status").isNotNull()), "fetched")
+    good = with_output_path(had.where("final_status = 200"), mode)
+    placed = paths.add_html_ext(F.col("rel_path"), F.coalesce("is_html", F.lit(False)))
+    files = cut_lineage(good.select("scid", placed.alias("rel_path"), "is_html"), "placed")
+    marks = write_once(cut_lineage(settle_conflicts(files), "settled"))
     return (
-        had.join(marks, "scid", "left")
+        had.join(marks.select("scid", F.col("rel_path").alias("__path"), "outcome"), "scid", "left")
         .withColumn("outcome", F.coalesce("outcome", F.lit("UNKNOWN")))
         .withColumn("file", F.col("__path"))
         .withColumn("response", F.col("status").cast("string"))
         .drop("__path")
     )
+
+
+def stored_files(outcomes: DataFrame, payloads: DataFrame) -> DataFrame:
+    """Files to write with their unpacked bodies: the one place where bodies move.
+
+    Only bodies some file is made of pass the join; with payloads bucketed by address not
+    even they are shuffled.
+    """
+    files = outcomes.where("outcome = 'SUCCESS'").select(
+        F.col("body_address").alias("url_archive"),
+        "timestamp",
+        F.split_part(F.col("file"), F.lit("/"), F.lit(1)).alias("domain"),
+        F.col("file").alias("rel_path"),
+    )
+    bodies = content.decode_payload(payloads).select("url_archive", "body")
+    return files.join(bodies, "url_archive")

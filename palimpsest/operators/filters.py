@@ -19,29 +19,46 @@ from palimpsest.schema import PRESET_CODES
 TIMESTAMP_DIGITS = 14
 
 
-def filter_time(df: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
-    """Captures from ``start`` to ``end``, both included; prefixes such as ``2019`` work."""
+def in_time(start: str | None = None, end: str | None = None) -> Column:
+    """From ``start`` to ``end``, both included; prefixes such as ``2019`` work."""
+    cond = F.lit(True)
     if start:
-        df = df.where(F.col("timestamp") >= str(start))
+        cond = cond & (F.col("timestamp") >= str(start))
     if end:
-        df = df.where(F.col("timestamp") <= str(end).ljust(TIMESTAMP_DIGITS, "9"))
-    return df
+        cond = cond & (F.col("timestamp") <= str(end).ljust(TIMESTAMP_DIGITS, "9"))
+    return cond
+
+
+def has_statuscode(codes: list[str]) -> Column:
+    return F.col("statuscode").isin([c.strip().lower() for c in codes])
+
+
+def has_filetype(types: list[str], ignore_case: bool = False) -> Column:
+    endings = "|".join(re.escape(t.strip().lower()) for t in types)
+    flags = "(?i)" if ignore_case else ""
+    return F.col("url_origin").rlike(rf"{flags}\.({endings})\z")
+
+
+def filter_time(df: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
+    return df.where(in_time(start, end))
+
+
+def range_start(years: int, as_of: date | None = None) -> str:
+    return str((as_of or date.today()).year - years)
 
 
 def filter_range(df: DataFrame, years: int, as_of: date | None = None) -> DataFrame:
     """Captures since the year ``years`` before ``as_of``, today by default."""
-    return filter_time(df, start=str((as_of or date.today()).year - years))
+    return df.where(in_time(start=range_start(years, as_of)))
 
 
 def filter_statuscode(df: DataFrame, codes: list[str]) -> DataFrame:
-    return df.where(F.col("statuscode").isin([c.strip().lower() for c in codes]))
+    return df.where(has_statuscode(codes))
 
 
 def filter_filetype(df: DataFrame, types: list[str], ignore_case: bool = False) -> DataFrame:
     """Captures whose address ends in one of the given file endings."""
-    endings = "|".join(re.escape(t.strip().lower()) for t in types)
-    flags = "(?i)" if ignore_case else ""
-    return df.where(F.col("url_origin").rlike(rf"{flags}\.({endings})\z"))
+    return df.where(has_filetype(types, ignore_case))
 
 
 def canonical_address(url: Column) -> Column:
@@ -51,16 +68,21 @@ def canonical_address(url: Column) -> Column:
     return F.concat(urls.url_domain(url, embedded="keep"), F.rtrim(path, F.lit("/")))
 
 
-def filter_url(df: DataFrame, url: str, explicit: bool = False) -> DataFrame:
-    """Captures of one address, or of it and everything below when not ``explicit``.
+def at_address(url: str, explicit: bool = False, domain: Column | None = None) -> Column:
+    """At one address, or at it and everything below when not ``explicit``.
 
-    The domain test comes on its own, so a stored ``domain`` column prunes the scan.
+    The domain test comes on its own: given a stored ``domain`` it prunes the scan.
     """
     wanted = canonical_address(F.lit(url))
-    domain = F.col("domain") if "domain" in df.columns else urls.url_domain(F.col("url_origin"))
     here = canonical_address(F.col("url_origin"))
     below = F.lit(False) if explicit else here.startswith(F.concat(wanted, F.lit("/")))
-    return df.where(domain == urls.url_domain(F.lit(url))).where((here == wanted) | below)
+    domain = urls.url_domain(F.col("url_origin")) if domain is None else domain
+    return (domain == urls.url_domain(F.lit(url))) & ((here == wanted) | below)
+
+
+def filter_url(df: DataFrame, url: str, explicit: bool = False) -> DataFrame:
+    domain = F.col("domain") if "domain" in df.columns else None
+    return df.where(at_address(url, explicit, domain))
 
 
 def limit_captures(df: DataFrame, n: int) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | str = "*", app: str = "palimpsest") -> SparkSession:
@@ -49,3 +49,15 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder; two runs never write to the same one."""
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def cut_lineage(df: DataFrame, label: str) -> DataFrame:
+    """The same rows read back from a table written to the shared folder.
+
+    For results that several branches of a plan go on from: they are computed once, a lost
+    executor costs a read instead of a recomputation, and the table's size is known when
+    the next join is planned.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

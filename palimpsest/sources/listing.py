@@ -119,7 +119,11 @@ def quarantine(parsed: DataFrame) -> DataFrame:
 def to_captures(parsed: DataFrame, merge_www: bool = True, embedded: str = "cut") -> DataFrame:
     """Readable lines as captures: archive address, file key and preset response."""
     ok = parsed.where(F.col("verdict") == "ok").drop("line", "verdict")
-    keyed = urls.with_url_parts(ok, "url_origin", merge_www, embedded, keep=("domain", "url_key"))
+    keyed = ok
+    if not {"domain", "url_key"} <= set(ok.columns):
+        keyed = urls.with_url_parts(
+            ok, "url_origin", merge_www, embedded, keep=("domain", "url_key")
+        )
     return keyed.withColumns(
         {
             "scid": F.col("line_no"),
