@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions import archive, content, paths, urls
+from palimpsest.operators.versions import arrival
 from palimpsest.session import cut_lineage
 
 # Fixed value: requests spent on following one redirect. The first repeats the
@@ -198,9 +199,11 @@ def write_once(files: DataFrame) -> DataFrame:
     back by their own id. Both keys stay even when one path holds a third of all rows;
     ranking inside the path would put them all into one task.
     """
+    order = arrival(files)
+    first = F.min("scid") if len(order) == 1 else F.min_by("scid", F.struct(*order))
     winners = (
         files.groupBy("rel_path")
-        .agg(F.min("scid").alias("scid"))
+        .agg(first.alias("scid"))
         .select("scid", F.lit(True).alias("__first"))
     )
     outcome = F.when(F.col("__first"), "SUCCESS").otherwise("EXISTING")
@@ -218,7 +221,7 @@ def with_outcomes(fetched: DataFrame, mode: str) -> DataFrame:
     had = cut_lineage(fetched.where(F.col("status").isNotNull()), "fetched")
     good = with_output_path(had.where("final_status = 200"), mode)
     placed = paths.add_html_ext(F.col("rel_path"), F.coalesce("is_html", F.lit(False)))
-    files = cut_lineage(good.select("scid", placed.alias("rel_path"), "is_html"), "placed")
+    files = cut_lineage(good.select(*arrival(good), placed.alias("rel_path"), "is_html"), "placed")
     marks = write_once(cut_lineage(settle_conflicts(files), "settled"))
     return (
         had.join(marks.select("scid", F.col("rel_path").alias("__path"), "outcome"), "scid", "left")

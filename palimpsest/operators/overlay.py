@@ -25,10 +25,9 @@ def append_new(new: DataFrame, existing: DataFrame) -> DataFrame:
 
 
 def last_results(results: DataFrame) -> DataFrame:
-    """Last result row per capture, one per input partition before the shuffle."""
-    rank = F.row_number().over(
-        W.partitionBy("timestamp", "url_origin").orderBy(F.desc("csv_line"))
-    )
+    """Last result row per capture; result files follow each other by name."""
+    order = [F.desc(c) for c in ("src_file", "csv_line") if c in results.columns]
+    rank = F.row_number().over(W.partitionBy("timestamp", "url_origin").orderBy(*order))
     return results.withColumn("__rn", rank).where("__rn = 1").drop("__rn")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions import report
@@ -46,6 +46,11 @@ def outcome_lines(outcomes: DataFrame, total: int | None = None) -> DataFrame:
     return outcomes.select("counter", line.alias("line"))
 
 
+def _latest_first(timestamp: Column) -> Column:
+    """Digits turned round, so that the smallest value is the latest time."""
+    return F.rpad(F.translate(timestamp, "0123456789", "9876543210"), 14, ":")
+
+
 def capture_funnel(lines: DataFrame, mode: str = "last") -> DataFrame:
     """Where the lines of a listing went, from one scan.
 
@@ -55,7 +60,8 @@ def capture_funnel(lines: DataFrame, mode: str = "last") -> DataFrame:
     task. Unreadable lines ride along as groups without key.
     """
     ok = F.col("verdict") == "ok"
-    arrived = F.col("line_no")
+    several = "src_file" in lines.columns
+    arrived = F.struct("src_file", "line_no") if several else F.col("line_no")
     preset = {c: F.min(F.when(ok & (F.col("statuscode") == c), arrived)) for c in PRESET_CODES}
     distinct = lines.groupBy(
         "verdict",
@@ -70,23 +76,17 @@ def capture_funnel(lines: DataFrame, mode: str = "last") -> DataFrame:
     closed = F.lit(False)
     for code in PRESET_CODES:
         closed = closed | F.coalesce(F.col(f"first_{code}") == F.col("first"), F.lit(False))
-    one = F.struct(F.col("timestamp"), (-F.col("first")).alias("late"), closed.alias("closed"))
-    early = F.struct(F.col("timestamp"), F.col("first").alias("late"), closed.alias("closed"))
     if mode == "all":
-        picked = {
-            "kept": F.when(F.col("verdict") == "ok", F.count("*")).otherwise(0),
-            "closed": F.when(F.col("verdict") == "ok", F.count_if(closed)).otherwise(0),
-        }
+        kept, shut = F.count("*"), F.count_if(closed)
     else:
-        best = F.max(one) if mode == "last" else F.min(early)
-        picked = {
-            "kept": F.when(F.col("verdict") == "ok", 1).otherwise(0),
-            "closed": F.when((F.col("verdict") == "ok") & best["closed"], 1).otherwise(0),
-        }
+        time = _latest_first(F.col("timestamp")) if mode == "last" else F.col("timestamp")
+        best = F.min(F.struct(time.alias("time"), "first", closed.alias("closed")))
+        kept, shut = F.lit(1), best["closed"].cast("int")
     files = distinct.groupBy("verdict", "url_key").agg(
         F.sum("rows").alias("rows"),
         F.count("*").alias("captures"),
-        *[c.alias(name) for name, c in picked.items()],
+        F.when(ok, kept).otherwise(0).alias("kept"),
+        F.when(ok, shut).otherwise(0).alias("closed"),
     )
     is_ok = F.col("verdict") == "ok"
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -12,7 +12,12 @@ MODES = ("all", "first", "last")
 BLOCK_BITS = 16
 
 
-def _top_of(df: DataFrame, keys: list[str], *order) -> DataFrame:
+def arrival(df: DataFrame) -> list[Column]:
+    """Order of arrival: by ``scid``, after the file name where several files came."""
+    return [F.col(c) for c in ("src_file", "scid") if c in df.columns]
+
+
+def top_of(df: DataFrame, keys: list[str], *order) -> DataFrame:
     """One row per key.
 
     Spark turns ``row_number() = 1`` into a group limit ahead of the shuffle: each input
@@ -24,17 +29,17 @@ def _top_of(df: DataFrame, keys: list[str], *order) -> DataFrame:
 
 def dedup_first(captures: DataFrame) -> DataFrame:
     """First arrival per timestamp and address, whatever its status."""
-    return _top_of(captures, ["timestamp", "url_origin"], F.asc("scid"))
+    return top_of(captures, ["timestamp", "url_origin"], *arrival(captures))
 
 
 def keep_last(captures: DataFrame) -> DataFrame:
     """Latest version of each file; the first arrival wins a tie."""
-    return _top_of(captures, ["url_key"], F.desc("timestamp"), F.asc("scid"))
+    return top_of(captures, ["url_key"], F.desc("timestamp"), *arrival(captures))
 
 
 def keep_first(captures: DataFrame) -> DataFrame:
     """Earliest version of each file; the first arrival wins a tie."""
-    return _top_of(captures, ["url_key"], F.asc("timestamp"), F.asc("scid"))
+    return top_of(captures, ["url_key"], F.asc("timestamp"), *arrival(captures))
 
 
 def keep_all(captures: DataFrame) -> DataFrame:
@@ -70,42 +75,40 @@ def enumerate_captures(df: DataFrame, by: str = "scid", into: str = "counter") -
     than that. Rows are numbered inside their block; a block starts after the rows of all
     blocks before it. Those offsets come from block counts, summed the same way one level
     up, and only the counts of the topmost level, one per ``2**(2*BLOCK_BITS)`` ids, meet
-    in a single task.
+    in a single task. With several files the file name comes before the block.
     """
-    block, upper = F.shiftright(by, BLOCK_BITS), F.shiftright("__block", BLOCK_BITS)
-    rows = df.withColumn("__block", block)
+    files = [c for c in ("src_file",) if c in df.columns]
+    earlier = (W.unboundedPreceding, -1)
+
+    def start(window) -> Column:
+        return F.coalesce(F.sum("__n").over(window.rowsBetween(*earlier)), F.lit(0))
+
+    rows = df.withColumn("__block", F.shiftright(by, BLOCK_BITS))
     blocks = (
-        rows.groupBy("__block").agg(F.count("*").alias("__n")).withColumn("__upper", upper)
+        rows.groupBy(*files, "__block")
+        .agg(F.count("*").alias("__n"))
+        .withColumn("__upper", F.shiftright("__block", BLOCK_BITS))
     )
     uppers = (
-        blocks.groupBy("__upper")
+        blocks.groupBy(*files, "__upper")
         .agg(F.sum("__n").alias("__n"))
-        .withColumn(
-            "__upper_start",
-            F.coalesce(
-                F.sum("__n").over(
-                    W.orderBy("__upper").rowsBetween(W.unboundedPreceding, -1)
-                ),
-                F.lit(0),
-            ),
-        )
-        .select("__upper", "__upper_start")
+        .withColumn("__upper_start", start(W.orderBy(*files, "__upper")))
+        .drop("__n")
     )
-    within = W.partitionBy("__upper").orderBy("__block").rowsBetween(W.unboundedPreceding, -1)
     starts = (
-        blocks.withColumn("__start", F.coalesce(F.sum("__n").over(within), F.lit(0)))
-        .join(uppers, "__upper")
-        .select("__block", (F.col("__start") + F.col("__upper_start")).alias("__start"))
+        blocks.withColumn("__start", start(W.partitionBy(*files, "__upper").orderBy("__block")))
+        .join(uppers, [*files, "__upper"])
+        .select(*files, "__block", (F.col("__start") + F.col("__upper_start")).alias("__start"))
     )
-    rank = F.row_number().over(W.partitionBy("__block").orderBy(by))
+    rank = F.row_number().over(W.partitionBy(*files, "__block").orderBy(by))
     return (
         rows.withColumn("__rank", rank)
-        .join(starts, "__block")
-        .withColumn(into, (F.col("__start") + F.col("__rank")).cast("long"))
+        .join(starts, [*files, "__block"])
+        .withColumn(into, F.col("__start") + F.col("__rank"))
         .select(*[c for c in df.columns if c != into], into)
     )
 
 
 def order_by_scid(captures: DataFrame) -> DataFrame:
     """Captures in arrival order, as a parallel range sort."""
-    return captures.orderBy("scid")
+    return captures.orderBy(*arrival(captures))

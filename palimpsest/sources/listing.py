@@ -31,19 +31,21 @@ def clean_line(text: Column) -> Column:
 
 
 def scan_listing(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Lines of one or many listings as ``(src_file, line_no, line)``, headers dropped.
+    """Lines of one or many listings as ``([src_file,] line_no, line)``, headers dropped.
 
-    ``line_no`` is the arrival order: it rises with the position inside a file, because
-    Spark numbers rows by partition and plans the splits of a file in offset order.
-    Large files are split and read in parallel.
+    ``line_no`` rises with the position inside a file, because Spark numbers rows by
+    partition and plans the splits of a file in offset order. Several files follow each
+    other by name, so their lines carry ``src_file`` as well. Large files are split and
+    read in parallel.
     """
-    raw = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("src_file"),
-        F.monotonically_increasing_id().alias("line_no"),
-        "value",
-    )
-    return raw.where(~is_header(F.col("value"))).select(
-        "src_file", "line_no", clean_line(F.col("value")).alias("line")
+    raw = spark.read.text(path)
+    several = len(raw.inputFiles()) > 1
+    source = [F.col("_metadata.file_path").alias("src_file")] if several else []
+    numbered = raw.select(*source, F.monotonically_increasing_id().alias("line_no"), "value")
+    return (
+        numbered.where(~is_header(F.col("value")))
+        .withColumn("line", clean_line(F.col("value")))
+        .drop("value")
     )
 
 

@@ -12,7 +12,7 @@ ROWS_PER_FILE = 5_000_000
 
 
 def scan_results(spark: SparkSession, path: str | list[str], multi_line: bool = True) -> DataFrame:
-    """Rows of earlier results with their order in ``src_file`` and ``csv_line``.
+    """Rows of earlier results, ordered by ``src_file`` and ``csv_line``.
 
     Empty values read as NULL. Quoted line breaks need ``multi_line``, which reads one
     file per task; without it large files are split.

@@ -106,7 +106,7 @@ def append_changes(changes: DataFrame, path: str, checkpoint: str, **trigger):
 
 def current(spark: SparkSession, path: str) -> DataFrame:
     """Table of winners from a change log: the last batch per key counts."""
-    from palimpsest.operators.versions import _top_of
+    from palimpsest.operators.versions import top_of
 
     log = spark.read.option("basePath", path).parquet(path)
-    return _top_of(log, ["url_key"], F.desc("batch_id")).drop("batch_id")
+    return top_of(log, ["url_key"], F.desc("batch_id")).drop("batch_id")
