@@ -68,15 +68,16 @@ def encode_url(url: Column) -> Column:
     return out
 
 
-def _dotless(segments: Column) -> Column:
-    """Resolve ``.`` and ``..`` over path segments, the first being the root."""
-    last = F.element_at(segments, -1)
-    inner = F.filter(
-        F.slice(segments, F.lit(2), F.greatest(F.size(segments) - 2, F.lit(0))), lambda s: s != ""
-    )
-    whole = F.concat(F.slice(segments, 1, 1), inner, F.when(F.size(segments) > 1, F.array(last)).otherwise(F.array().cast("array<string>")))
+def _no_empties(path: Column) -> Column:
+    """One slash where several follow each other, except at the end."""
+    return F.regexp_replace(path, r"/{2,}", "/")
+
+
+def _dotless(path: Column) -> Column:
+    """Resolve ``.`` and ``..`` in a rooted path; steps above the root are dropped."""
+    segments = F.split(path, "/", -1)
     walked = F.aggregate(
-        whole,
+        segments,
         F.array().cast("array<string>"),
         lambda acc, s: F.when(
             s == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))
@@ -84,15 +85,16 @@ def _dotless(segments: Column) -> Column:
         .when(s == ".", acc)
         .otherwise(F.concat(acc, F.array(s))),
     )
-    ended = F.when(last.isin(".", ".."), F.concat(walked, F.array(F.lit("")))).otherwise(walked)
-    return F.regexp_replace(F.array_join(ended, "/"), r"^\z", "/")
+    # a path that ends in a step keeps its closing slash
+    ended = F.when(path.rlike(r"/\.{1,2}\z"), F.concat(walked, F.array(F.lit("")))).otherwise(walked)
+    return F.regexp_replace(F.array_join(ended, "/"), r"\A/?", "/")
 
 
 def resolve_url(base: Column, location: Column) -> Column:
     """A ``Location`` value as an absolute address, by the rules for references.
 
-    ``base`` must be absolute. Repeated slashes inside a merged path collapse, as they
-    do in common URL libraries.
+    ``base`` must be absolute. A relative path is merged with the base's folder, where
+    repeated slashes collapse, as they do in common URL libraries.
     """
     scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1)
     root = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)", 1)
@@ -101,10 +103,8 @@ def resolve_url(base: Column, location: Column) -> Column:
     base_path = F.substr(base_bare, F.length(root) + 1)
     path = F.regexp_extract(location, r"^([^?#]*)", 1)
     tail = F.substr(location, F.length(path) + 1)
-    merged = F.when(path.startswith("/"), path).otherwise(
-        F.concat(F.regexp_replace(base_path, r"[^/]*\z", ""), path)
-    )
-    rooted = F.when(merged.startswith("/"), merged).otherwise(F.concat(F.lit("/"), merged))
+    beside = F.concat(F.lit("/"), F.regexp_replace(base_path, r"[^/]*\z", ""), path)
+    rooted = F.when(path.startswith("/"), path).otherwise(_no_empties(beside))
     return (
         F.when(location.isNull(), F.lit(None))
         .when(location.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), location)
@@ -112,5 +112,5 @@ def resolve_url(base: Column, location: Column) -> Column:
         .when(location == "", base)
         .when(location.startswith("?"), F.concat(base_bare, location))
         .when(location.startswith("#"), F.concat(base_page, location))
-        .otherwise(F.concat(root, _dotless(F.split(rooted, "/", -1)), tail))
+        .otherwise(F.concat(root, _dotless(rooted), tail))
     )

@@ -17,8 +17,11 @@ REDIRECT_REQUESTS = 5
 def payload_index(payloads: DataFrame) -> DataFrame:
     """What deciding needs of a payload: status, location, and whether it is HTML.
 
-    Bodies are unpacked and looked at where they are read; none is shuffled.
+    Bodies are unpacked and looked at where they are read; none is shuffled. A table that
+    holds ``is_html`` already is not asked for its bodies at all.
     """
+    if "is_html" in payloads.columns:
+        return payloads.select("url_archive", "status", "location", "is_html")
     return content.decode_payload(payloads).select(
         "url_archive", "status", "location", content.is_html(F.col("body")).alias("is_html")
     )
@@ -51,8 +54,9 @@ def resolve_redirects(
 
     Each hop is an equi join of a few narrow columns with the index, whose addresses are
     unique. Many rows may point at one target: adaptive execution splits such a partition
-    of the left side, which a left join with one row to find allows. Finished rows are
-    not shuffled under a shared NULL key, each gets a key of its own.
+    of the left side, provided ``index`` is a stored table, as it is in a run, and not the
+    end of a plan that is partitioned by address already. Finished rows are not shuffled
+    under a shared NULL key, each gets a key of its own.
     """
     moved = attached.where((F.col("status") == 302) & F.col("location").isNotNull())
     walk = moved.select(
@@ -179,8 +183,10 @@ def settle_conflicts(files: DataFrame) -> DataFrame:
 
     HTML becomes its ``index.html``, anything else keeps its base name. ``is_html`` says
     which. A path moved onto another file shares its place, and ``write_once`` decides.
+    The few conflicting paths are stored first: their size is then known to the join, and
+    should one path hold very many files, adaptive execution can split it.
     """
-    clash = path_conflicts(files).withColumn("__clash", F.lit(True))
+    clash = cut_lineage(path_conflicts(files), "clash").withColumn("__clash", F.lit(True))
     name = F.when(F.col("is_html"), F.lit("index.html")).otherwise(
         F.substring_index("rel_path", "/", -1)
     )
@@ -235,14 +241,23 @@ def with_outcomes(fetched: DataFrame, mode: str) -> DataFrame:
 def stored_files(outcomes: DataFrame, payloads: DataFrame) -> DataFrame:
     """Files to write with their unpacked bodies: the one place where bodies move.
 
-    Only bodies some file is made of pass the join; with payloads bucketed by address not
-    even they are shuffled.
+    Files of the captured address itself are unique by address. With payloads bucketed by
+    address their bodies are not shuffled at all. Files a redirect led to may share one
+    body by the million; those few bodies are set aside first, and adaptive execution can
+    then split the files that wait for the same one.
     """
     files = outcomes.where("outcome = 'SUCCESS'").select(
-        F.col("body_address").alias("url_archive"),
+        "url_archive",
+        "body_address",
         "timestamp",
         F.split_part(F.col("file"), F.lit("/"), F.lit(1)).alias("domain"),
         F.col("file").alias("rel_path"),
     )
-    bodies = content.decode_payload(payloads).select("url_archive", "body")
-    return files.join(bodies, "url_archive")
+    bodies = payloads.select(F.col("url_archive").alias("body_address"), "encoding", "body")
+    own = F.col("url_archive") == F.col("body_address")
+    led = files.where(~own)
+    goals = led.select("body_address").distinct()
+    shared = cut_lineage(bodies.join(goals, "body_address", "left_semi"), "targets")
+    joined = files.where(own).join(bodies, "body_address").unionByName(led.join(shared, "body_address"))
+    # unpacking comes after the joins: a Python step would hide the table's bucketing
+    return content.decode_payload(joined).drop("encoding", "decode_ok", "body_address")

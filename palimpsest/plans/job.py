@@ -120,11 +120,16 @@ class CaptureJob:
         final = rows
         if payloads is not None:
             rows = cut_lineage(rows, "overlaid")
-            first = payload_source.one_per_address(payloads, "status", "location")
-            index = ledger.run_stage("index", lambda: fetched.payload_index(first))
+            index = ledger.run_stage("index", lambda: fetched.payload_index(payloads))
+            twice = payload_source.repeated_addresses(index).take(1)
+            if twice:
+                raise ValueError(
+                    f"{twice[0].url_archive} has {twice[0].payloads} payloads; "
+                    "choose one with one_per_address when the payload table is made"
+                )
             done = ledger.run_stage("outcomes", lambda: self.outcomes(rows, index))
             final = overlay.apply_outcomes(rows, done)
-            files = fetched.stored_files(done, first)
+            files = fetched.stored_files(done, payloads)
             tree.write_snapshot_tree(files, f"{ledger.root}/{self.job_id}/tree")
         result_source.write_results(final, f"{ledger.root}/{self.job_id}/results")
         return JobTables(parsed, numbered, final, ledger)

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from palimpsest.functions import content
+
 
 def one_per_address(payloads: DataFrame, *order: str) -> DataFrame:
     """First response per archive address by ``order``.
@@ -17,6 +19,24 @@ def one_per_address(payloads: DataFrame, *order: str) -> DataFrame:
     return payloads.withColumn("__rn", rank).where("__rn = 1").drop("__rn")
 
 
+def with_sniffed(payloads: DataFrame) -> DataFrame:
+    """Unpacked payloads with ``is_html`` stored beside the body.
+
+    Done once when a payload table is made, it spares every later run the look into the
+    bodies.
+    """
+    plain = content.decode_payload(payloads).drop("decode_ok")
+    return plain.withColumn("encoding", F.lit(None).cast("string")).withColumn(
+        "is_html", content.is_html(F.col("body"))
+    )
+
+
+def repeated_addresses(index: DataFrame) -> DataFrame:
+    """Addresses with more than one payload; a narrow count that moves no bodies."""
+    counts = index.groupBy("url_archive").agg(F.count("*").alias("payloads"))
+    return counts.where("payloads > 1")
+
+
 def save_bucketed(payloads: DataFrame, table: str, buckets: int) -> None:
     """Store payloads bucketed by archive address.
 
