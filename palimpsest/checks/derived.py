@@ -225,7 +225,8 @@ def addresses(spark: SparkSession, sf: str) -> DataFrame:
     texts = table(spark, sf, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), doc.alias("url"))
     raw = table(spark, sf, "documents").select(F.lit("text").alias("kind"), F.col("doc_id").alias("id"), F.col("text").alias("url"))
     pages = table(spark, sf, "pages").select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), F.col("url"))
-    return listed.unionByName(texts).unionByName(raw).unionByName(pages)
+    every = listed.unionByName(texts).unionByName(raw).unionByName(pages)
+    return every.repartition(spark.sparkContext.defaultParallelism, "kind", "id")
 
 
 def bodies(spark: SparkSession, sf: str) -> DataFrame:
