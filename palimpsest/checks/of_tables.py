@@ -249,7 +249,7 @@ def keep_all(spark, sf):
 )
 def keep_semi(spark, sf):
     """Versions that lose against a later one: what the version filter removes."""
-    distinct = d.distinct_captures(spark, sf)
+    distinct = cut_lineage(d.distinct_captures(spark, sf), "distinct")
     winners = versions.keep_last(distinct).select("scid")
     return distinct.join(winners, "scid", "left_anti").select(*CAPTURE_COLUMNS)
 
@@ -268,7 +268,8 @@ def skip_first(spark, sf):
 
 @query("enumerate_captures", o.stmt(o.DISTINCTS, "SELECT scid, url_archive, row_number() OVER (ORDER BY scid) AS counter FROM distinct_captures"))
 def enumerate_captures(spark, sf):
-    return versions.enumerate_captures(d.distinct_captures(spark, sf)).select("scid", "url_archive", "counter")
+    stored = cut_lineage(d.distinct_captures(spark, sf), "versions")
+    return versions.enumerate_captures(stored).select("scid", "url_archive", "counter")
 
 
 @query("order_by_scid", o.stmt(o.DISTINCTS, f"SELECT {CAPTURE_SQL} FROM distinct_captures ORDER BY scid"))
@@ -549,6 +550,7 @@ def outcome(spark, sf):
 )
 def outcome_line(spark, sf):
     rows = _outcomes(spark, sf).select("scid", "timestamp", "url_origin", "outcome")
+    rows = cut_lineage(rows, "outcomes")
     return report.outcome_lines(versions.enumerate_captures(rows))
 
 

@@ -96,9 +96,9 @@ FETCHES = f"""fetches AS (
 
 RAW = f"""raw AS (
   SELECT line_no, CASE WHEN line_no % 211 = 5 THEN left(j, 40) ELSE j END AS line FROM (
-    SELECT line_no, '["' || timestamp || '","' || digest || '","' || mimetype || '","' || statuscode || '","' || url_origin || '"],' AS j FROM fetches
-    UNION ALL
-    SELECT line_no + {LATER}, '["' || timestamp || '","' || digest || '","' || mimetype || '","404","' || url_origin || '"],' FROM fetches WHERE line_no % 10 = 3))"""
+    SELECT CASE WHEN again THEN line_no + {LATER} ELSE line_no END AS line_no,
+      '["' || timestamp || '","' || digest || '","' || mimetype || '","' || CASE WHEN again THEN '404' ELSE statuscode END || '","' || url_origin || '"],' AS j
+    FROM (SELECT *, unnest(CASE WHEN line_no % 10 = 3 THEN [false, true] ELSE [false] END) AS again FROM fetches)))"""
 
 LINES = """lines AS (
   SELECT line_no, CASE WHEN ends_with(line, ',') THEN left(line, length(line) - 1) ELSE line END AS line FROM (

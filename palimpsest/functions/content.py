@@ -27,18 +27,21 @@ def is_html(body: Column) -> Column:
     return F.coalesce(head.rlike(_HTML_START), F.lit(False))
 
 
-def _unpack(body: bytes | None) -> bytes | None:
-    if body is None:
-        return None
-    try:
-        return gzip.decompress(body)
-    except (OSError, EOFError, zlib.error):
-        return None
-
-
-@F.arrow_udf(T.BinaryType())
-def _gunzip(bodies: pa.Array) -> pa.Array:
-    return pa.array([_unpack(b.as_py()) for b in bodies], pa.binary())
+def _gunzip(bodies: Column) -> Column:
+    """Unpacked bodies, NULL for those that are not gzip."""
+
+    # nested, so that it travels to the executors by value
+    def unpack(body: bytes) -> bytes | None:
+        try:
+            return gzip.decompress(body)
+        except (OSError, EOFError, zlib.error):
+            return None
+
+    @F.arrow_udf(T.BinaryType())
+    def unpack_all(batch: pa.Array) -> pa.Array:
+        return pa.array([unpack(b) if b is not None else None for b in batch.to_pylist()], pa.binary())
+
+    return unpack_all(bodies)
 
 
 def decode_payload(payloads: DataFrame) -> DataFrame:

@@ -75,7 +75,8 @@ def enumerate_captures(df: DataFrame, by: str = "scid", into: str = "counter") -
     than that. Rows are numbered inside their block; a block starts after the rows of all
     blocks before it. Those offsets come from block counts, summed the same way one level
     up, and only the counts of the topmost level, one per ``2**(2*BLOCK_BITS)`` ids, meet
-    in a single task. With several files the file name comes before the block.
+    in a single task. With several files the file name comes before the block. ``df`` is
+    read three times, so it should be a stored table.
     """
     files = [c for c in ("src_file",) if c in df.columns]
     earlier = (W.unboundedPreceding, -1)

@@ -135,3 +135,15 @@ def test_tree_by_timestamp(spark, folder):
 
 def test_shared_folder_comes_from_the_session(spark):
     assert session.scratch_path(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+def test_shell_options():
+    from palimpsest.__main__ import job_of, parse
+
+    opts = parse(["in", "out", "--first", "--url", "a.com", "--statuscode", "200, 302", "--keep-www", "--limit", "5"])
+    assert job_of(opts) == CaptureJob(
+        url="a.com", mode="first", statuscode=("200", "302"), merge_www=False, limit=5
+    )
+    for wrong in (["in", "out"], ["in", "out", "--first", "--last"]):
+        with pytest.raises(SystemExit):
+            parse(wrong)
