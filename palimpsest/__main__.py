@@ -1,4 +1,4 @@
-"""Run a capture job from the shell: ``spark-submit ... -m palimpsest LISTING ROOT``."""
+"""Run a capture job from the shell: ``spark-submit ... palimpsest/__main__.py --last LISTING ROOT``."""
 
 from __future__ import annotations
 

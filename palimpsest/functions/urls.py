@@ -50,11 +50,6 @@ def _path(bare: Column) -> Column:
     return F.regexp_replace(bare, r"\A[^/]*", "")
 
 
-def _folders(path: Column) -> Column:
-    """Up to the last slash, slashes at the ends removed."""
-    return F.btrim(F.regexp_extract(path, r"(?s)\A(.*/)", 1), F.lit("/"))
-
-
 def contain_traversal(path: Column) -> Column:
     """Encode path segments that are exactly ``.`` or ``..`` so they cannot climb."""
     # dots first and their surroundings after, so that most characters are passed quickly
@@ -70,12 +65,24 @@ def pct_space(text: Column) -> Column:
     return F.replace(text, F.lit("%20"), F.lit(" "))
 
 
-def _safe_folders(folders: Column) -> Column:
-    return contain_traversal(pct_encode_special(folders))
+def _safe_path(path: Column) -> Column:
+    """Path with special characters and climbing segments encoded, segment by segment.
+
+    No character of a segment depends on another segment, so folders and file name are
+    cut from the encoded path. A path starts with a slash or is empty: without a dot after
+    a slash nothing climbs.
+    """
+    encoded = pct_encode_special(path)
+    return F.when(encoded.contains("/."), contain_traversal(encoded)).otherwise(encoded)
+
 
+def _folders(path: Column) -> Column:
+    """Up to the last slash, slashes at the ends removed."""
+    return F.btrim(F.regexp_extract(path, r"(?s)\A(.*/)", 1), F.lit("/"))
 
-def _safe_file(name: Column) -> Column:
-    return contain_traversal(pct_space(pct_encode_special(name)))
+
+def _file(path: Column) -> Column:
+    return pct_space(F.substring_index(path, "/", -1))
 
 
 def _folder_of_host(host: Column, merge_www: bool) -> Column:
@@ -103,12 +110,12 @@ def url_domain(url: Column, merge_www: bool = True, embedded: str = "cut") -> Co
 
 
 def url_subdir(url: Column, embedded: str = "cut") -> Column:
-    return _safe_folders(_folders(_path(strip_scheme(url, embedded))))
+    return _folders(_safe_path(_path(strip_scheme(url, embedded))))
 
 
 def url_filename_raw(url: Column, embedded: str = "cut") -> Column:
     """Last path segment, empty when the address ends in a folder."""
-    return _safe_file(F.substring_index(_path(strip_scheme(url, embedded)), "/", -1))
+    return _file(_safe_path(_path(strip_scheme(url, embedded))))
 
 
 def url_filename(url: Column, embedded: str = "cut") -> Column:
@@ -134,15 +141,16 @@ def with_url_parts(
     ``keep`` names any of ``domain_raw``, ``domain``, ``subdir``, ``filename_raw``,
     ``filename``, ``url_key``; columns not asked for are pruned by the optimizer.
     """
-    bare, path = "__bare", "__path"
     out = (
-        df.withColumn(bare, strip_scheme(F.col(url), embedded))
-        .withColumns({"__domain_raw": _host(F.col(bare)), path: _path(F.col(bare))})
+        df.withColumn("__bare", strip_scheme(F.col(url), embedded))
+        .withColumns(
+            {"__domain_raw": _host(F.col("__bare")), "__path": _safe_path(_path(F.col("__bare")))}
+        )
         .withColumns(
             {
                 "__domain": _folder_of_host(F.col("__domain_raw"), merge_www),
-                "__subdir": _safe_folders(_folders(F.col(path))),
-                "__filename_raw": _safe_file(F.substring_index(F.col(path), "/", -1)),
+                "__subdir": _folders(F.col("__path")),
+                "__filename_raw": _file(F.col("__path")),
             }
         )
         .withColumn("__filename", _or_default(F.col("__filename_raw")))

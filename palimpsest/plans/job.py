@@ -67,6 +67,14 @@ class CaptureJob:
         rows = parsed.where(F.col("verdict").isin("faulty", "malformed") | asked)
         return filters.limit_captures(rows, self.limit) if self.limit else rows
 
+    def lines(self, spark: SparkSession, path: str | list[str]) -> DataFrame:
+        """Parsed and selected lines of a listing; only unread ones keep their text."""
+        parsed = listing.parse_listing(listing.scan_listing(spark, path))
+        keep = ("domain", "url_key")
+        keyed = urls.with_url_parts(parsed, "url_origin", self.merge_www, self.embedded, keep)
+        unread = F.col("verdict").isin("faulty", "malformed")
+        return self.selected(keyed).withColumn("line", F.when(unread, F.col("line")))
+
     def captures(self, parsed: DataFrame) -> DataFrame:
         return listing.to_captures(parsed, self.merge_www, self.embedded)
 
@@ -101,19 +109,8 @@ class CaptureJob:
         Earlier results are laid over on every run. The result file is written last.
         """
         ledger = Ledger(spark, root, self.job_id)
-        parsed = ledger.run_stage(
-            "lines",
-            lambda: self.selected(
-                urls.with_url_parts(
-                    listing.parse_listing(listing.scan_listing(spark, listing_path)),
-                    "url_origin",
-                    self.merge_www,
-                    self.embedded,
-                    keep=("domain", "url_key"),
-                )
-            ),
-        )
-        kept = ledger.run_stage("versions", lambda: self.versions(self.captures(parsed)))
+        lines = ledger.run_stage("lines", lambda: self.lines(spark, listing_path))
+        kept = ledger.run_stage("versions", lambda: self.versions(self.captures(lines)))
         numbered = ledger.run_stage("numbered", lambda: versions.enumerate_captures(kept))
         results = result_source.scan_results(spark, results_path) if results_path else None
         rows = self.overlaid(numbered, results)
@@ -132,7 +129,7 @@ class CaptureJob:
             files = fetched.stored_files(done, payloads)
             tree.write_snapshot_tree(files, f"{ledger.root}/{self.job_id}/tree")
         result_source.write_results(final, f"{ledger.root}/{self.job_id}/results")
-        return JobTables(parsed, numbered, final, ledger)
+        return JobTables(lines, numbered, final, ledger)
 
 
 @dataclass(frozen=True)

@@ -26,8 +26,11 @@ HEADER_MARK = "[["
 
 
 def clean_line(text: Column) -> Column:
-    """Strip blanks, the bracket that closes the whole listing and one trailing comma."""
-    return F.regexp_replace(F.btrim(text, F.lit(BLANKS)), r"(?<=\])\]\z|,\z", "")
+    """Strip blanks, the bracket that closes the whole listing or one trailing comma."""
+    bare = F.btrim(text, F.lit(BLANKS))
+    return F.when(
+        bare.endswith("]]") | bare.endswith(","), F.left(bare, F.length(bare) - 1)
+    ).otherwise(bare)
 
 
 def scan_listing(spark: SparkSession, path: str | list[str]) -> DataFrame:
