@@ -483,7 +483,12 @@ def flag_long_paths(spark, sf):
 
 
 def outcome_ctes(base: str, mode: str) -> list[str]:
-    """Outcomes of the open captures in ``base``, redirects followed."""
+    """Outcomes of the open captures in ``base``, redirects followed; its files are taken."""
+    taken = (
+        "SELECT file AS rel_path FROM worked WHERE file IS NOT NULL"
+        if base == "worked"
+        else "SELECT url_key AS rel_path FROM captures WHERE false"
+    )
     place = (
         "url_key"
         if mode != "all"
@@ -499,14 +504,17 @@ def outcome_ctes(base: str, mode: str) -> list[str]:
   SELECT scid, CASE WHEN contains(ltrim(split_part(place, '/', -1), '.'), '.') THEN place ELSE place || '.html' END AS rel_path
   FROM (SELECT scid, array_to_string(list_filter(string_split({place}, '/'), lambda g: g <> ''), '/') AS place
     FROM todo WHERE final_status = 200))""",
-        """folders AS (
+        f"""taken AS ({taken}),
+folders AS (
   SELECT DISTINCT array_to_string(parts[:n], '/') AS rel_path FROM (
-    SELECT parts, unnest(range(1, len(parts))) AS n FROM (SELECT string_split(rel_path, '/') AS parts FROM good)))""",
+    SELECT parts, unnest(range(1, len(parts))) AS n FROM (
+      SELECT string_split(rel_path, '/') AS parts FROM (SELECT rel_path FROM good UNION ALL SELECT rel_path FROM taken))))""",
         """settled AS (
   SELECT scid, CASE WHEN rel_path IN (SELECT rel_path FROM folders) THEN rel_path || '/index.html' ELSE rel_path END AS rel_path FROM good)""",
         """outcomes AS (
   SELECT t.*, s.rel_path AS file, CASE WHEN s.rel_path IS NULL THEN 'UNKNOWN'
-    WHEN row_number() OVER (PARTITION BY s.rel_path ORDER BY t.scid) = 1 THEN 'SUCCESS' ELSE 'EXISTING' END AS outcome
+    WHEN row_number() OVER (PARTITION BY s.rel_path ORDER BY t.scid) = 1 AND s.rel_path NOT IN (SELECT rel_path FROM taken)
+    THEN 'SUCCESS' ELSE 'EXISTING' END AS outcome
   FROM todo t LEFT JOIN settled s ON s.scid = t.scid)""",
     ]
 

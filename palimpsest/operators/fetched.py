@@ -155,18 +155,19 @@ def flag_long_paths(df: DataFrame, limit: int = paths.PATH_LIMIT, root: str = ""
     return df.withColumn("too_long", paths.path_too_long(full, limit))
 
 
-def path_conflicts(files: DataFrame) -> DataFrame:
-    """Distinct paths that are also a folder of another path.
+def path_conflicts(files: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """Distinct paths of ``files`` that are also a folder of another path.
 
-    Every path names its folders; both sets are made distinct before they meet, so a
-    folder shared by a third of all files is one row per input partition at most.
+    ``stored`` holds paths of earlier runs, whose folders count as well. Every path names
+    its folders; both sets are made distinct before they meet, so a folder shared by a
+    third of all files is one row per input partition at most.
     """
-    parts = F.split("rel_path", "/", -1)
+    paths_ = files.select("rel_path")
+    every = paths_ if stored is None else paths_.unionByName(stored.select("rel_path"))
     depths = F.sequence(F.lit(1), F.size("__parts") - 1)
     folders = (
-        files.select("rel_path")
-        .distinct()
-        .withColumn("__parts", parts)
+        every.distinct()
+        .withColumn("__parts", F.split("rel_path", "/", -1))
         .where(F.size("__parts") > 1)
         .select(
             F.explode(
@@ -175,18 +176,20 @@ def path_conflicts(files: DataFrame) -> DataFrame:
         )
         .distinct()
     )
-    return files.select("rel_path").distinct().join(folders, "rel_path", "left_semi")
+    return paths_.distinct().join(folders, "rel_path", "left_semi")
 
 
-def settle_conflicts(files: DataFrame) -> DataFrame:
+def settle_conflicts(files: DataFrame, stored: DataFrame | None = None) -> DataFrame:
     """Move a file whose path is also a folder into that folder.
 
     HTML becomes its ``index.html``, anything else keeps its base name. ``is_html`` says
     which. A path moved onto another file shares its place, and ``write_once`` decides.
-    The few conflicting paths are stored first: their size is then known to the join, and
-    should one path hold very many files, adaptive execution can split it.
+    Files of earlier runs stay where they are. The few conflicting paths are stored
+    first: their size is then known to the join, and should one path hold very many files,
+    adaptive execution can split it.
     """
-    clash = cut_lineage(path_conflicts(files), "clash").withColumn("__clash", F.lit(True))
+    conflicts = cut_lineage(path_conflicts(files, stored), "clash")
+    clash = conflicts.withColumn("__clash", F.lit(True))
     name = F.when(F.col("is_html"), F.lit("index.html")).otherwise(
         F.substring_index("rel_path", "/", -1)
     )
@@ -198,26 +201,26 @@ def settle_conflicts(files: DataFrame) -> DataFrame:
     )
 
 
-def write_once(files: DataFrame) -> DataFrame:
+def write_once(files: DataFrame, stored: DataFrame | None = None) -> DataFrame:
     """Add ``outcome``: the first arrival at a path is written, later ones find it there.
 
-    The first id per path is an aggregate with partial sums, and the winners are joined
-    back by their own id. Both keys stay even when one path holds a third of all rows;
-    ranking inside the path would put them all into one task.
+    Paths in ``stored`` are taken already. The first id per path is an aggregate that
+    combines before its shuffle, and the winners are joined back by their own id. Both
+    keys stay even when one path holds a third of all rows; ranking inside the path would
+    put them all into one task.
     """
     order = arrival(files)
     first = F.min("scid") if len(order) == 1 else F.min_by("scid", F.struct(*order))
-    winners = (
-        files.groupBy("rel_path")
-        .agg(first.alias("scid"))
-        .select("scid", F.lit(True).alias("__first"))
-    )
+    winners = files.groupBy("rel_path").agg(first.alias("scid"))
+    if stored is not None:
+        winners = winners.join(stored.select("rel_path").distinct(), "rel_path", "left_anti")
+    winners = winners.select("scid", F.lit(True).alias("__first"))
     outcome = F.when(F.col("__first"), "SUCCESS").otherwise("EXISTING")
     return files.join(winners, "scid", "left").withColumn("outcome", outcome).drop("__first")
 
 
-def with_outcomes(fetched: DataFrame, mode: str) -> DataFrame:
-    """Outcome of every capture that has a payload.
+def with_outcomes(fetched: DataFrame, mode: str, stored: DataFrame | None = None) -> DataFrame:
+    """Outcome of every capture that has a payload; ``stored`` are paths of earlier runs.
 
     ``fetched`` carries ``status``, ``final_status`` and ``is_html``, no bodies. Adds
     ``outcome`` (``SUCCESS``, ``EXISTING``, ``UNKNOWN``), ``file`` and the first status as
@@ -228,7 +231,7 @@ def with_outcomes(fetched: DataFrame, mode: str) -> DataFrame:
     good = with_output_path(had.where("final_status = 200"), mode)
     placed = paths.add_html_ext(F.col("rel_path"), F.coalesce("is_html", F.lit(False)))
     files = cut_lineage(good.select(*arrival(good), placed.alias("rel_path"), "is_html"), "placed")
-    marks = write_once(cut_lineage(settle_conflicts(files), "settled"))
+    marks = write_once(cut_lineage(settle_conflicts(files, stored), "settled"), stored)
     return (
         had.join(marks.select("scid", F.col("rel_path").alias("__path"), "outcome"), "scid", "left")
         .withColumn("outcome", F.coalesce("outcome", F.lit("UNKNOWN")))

@@ -11,10 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions import paths, urls
+from palimpsest.functions import report as report_columns
 from palimpsest.operators import fetched, filters, overlay, report, versions
 from palimpsest.plans.ledger import Ledger
-from palimpsest.session import cut_lineage
-from palimpsest.sources import listing, payloads as payload_source, results as result_source, tree
+from palimpsest.sources import listing, tree
+from palimpsest.sources import payloads as payload_source
+from palimpsest.sources import results as result_source
 
 
 @dataclass(frozen=True)
@@ -82,13 +84,19 @@ class CaptureJob:
         return versions.keep_versions(captures, self.mode, self.skip_first)
 
     def outcomes(self, captures: DataFrame, index: DataFrame) -> DataFrame:
-        """Outcome of every open capture that the payload index knows."""
+        """Outcome of every open capture that the payload index knows.
+
+        Files that captures already have are places taken.
+        """
         joined = fetched.attach_payloads(captures, index)
         if self.redirects:
             joined = fetched.follow_redirects(joined, index)
         else:
             joined = fetched.without_redirects(joined)
-        return fetched.with_outcomes(joined, self.mode)
+        stored = None
+        if "file" in captures.columns:
+            stored = captures.where(filters.has_file()).select(F.col("file").alias("rel_path"))
+        return fetched.with_outcomes(joined, self.mode, stored)
 
     def overlaid(self, captures: DataFrame, results: DataFrame | None = None) -> DataFrame:
         """Captures with the results of earlier runs laid over them."""
@@ -106,30 +114,40 @@ class CaptureJob:
     ) -> JobTables:
         """Run stage by stage below ``root``; stages an earlier run finished are kept.
 
-        Earlier results are laid over on every run. The result file is written last.
+        Every run lays earlier results over the captures, those of ``results_path`` or of
+        the last run, works on the captures still open, and writes all results anew. With
+        a payload table that has grown, a further run so takes up what was missing.
         """
         ledger = Ledger(spark, root, self.job_id)
         lines = ledger.run_stage("lines", lambda: self.lines(spark, listing_path))
         kept = ledger.run_stage("versions", lambda: self.versions(self.captures(lines)))
         numbered = ledger.run_stage("numbered", lambda: versions.enumerate_captures(kept))
-        results = result_source.scan_results(spark, results_path) if results_path else None
-        rows = self.overlaid(numbered, results)
+
+        number = ledger.runs() + 1
+        earlier = results_path or (ledger.stage_path(f"results/run={number - 1}") if number > 1 else None)
+        results = result_source.scan_results(spark, earlier) if earlier else None
+        rows = ledger.run_stage(f"overlaid-{number}", lambda: self.overlaid(numbered, results))
         final = rows
         if payloads is not None:
-            rows = cut_lineage(rows, "overlaid")
-            index = ledger.run_stage("index", lambda: fetched.payload_index(payloads))
+            index = ledger.run_stage(f"index-{number}", lambda: fetched.payload_index(payloads))
             twice = payload_source.repeated_addresses(index).take(1)
             if twice:
                 raise ValueError(
                     f"{twice[0].url_archive} has {twice[0].payloads} payloads; "
                     "choose one with one_per_address when the payload table is made"
                 )
-            done = ledger.run_stage("outcomes", lambda: self.outcomes(rows, index))
-            final = overlay.apply_outcomes(rows, done)
+            done = ledger.run_stage(f"outcomes-{number}", lambda: self.outcomes(rows, index))
             files = fetched.stored_files(done, payloads)
-            tree.write_snapshot_tree(files, f"{ledger.root}/{self.job_id}/tree")
-        result_source.write_results(final, f"{ledger.root}/{self.job_id}/results")
-        return JobTables(lines, numbered, final, ledger)
+            tree.write_snapshot_tree(files, ledger.stage_path(f"tree/run={number}"))
+            final = ledger.run_stage(f"final-{number}", lambda: overlay.apply_outcomes(rows, done))
+        written = ledger.stage_path(f"results/run={number}")
+        result_source.write_results(final, written)
+        tables = JobTables(lines, numbered, final, ledger, written)
+        counts = report.counts(final)
+        text = report_columns.progress_text(F.col("handled"), F.col("total")).alias("progress")
+        state = counts.select("total", text).first()
+        ledger.enter(f"run-{number}", state.total, state.progress)
+        return tables
 
 
 @dataclass(frozen=True)
@@ -140,6 +158,7 @@ class JobTables:
     versions: DataFrame
     final: DataFrame
     ledger: Ledger
+    results_path: str
 
     def status(self) -> DataFrame:
         return report.job_status(self.final, "done")

@@ -51,6 +51,10 @@ class Ledger:
     def is_done(self, stage: str) -> bool:
         return bool(self.entries().where((F.col("stage") == stage) & F.col("done")).take(1))
 
+    def runs(self) -> int:
+        """How many runs of this job have finished."""
+        return self.entries().where("stage LIKE 'run-%'").count()
+
     def run_stage(self, stage: str, build: Callable[[], DataFrame], progress: str = "") -> DataFrame:
         """The stage's table, built only if no earlier run finished it."""
         path = self.stage_path(stage)

@@ -63,24 +63,58 @@ def test_run_rerun_and_resume(spark, folder):
     assert tables.status().first().asDict() == dict(task="done", current=3, total=4, progress="75%")
     assert tables.summary().first().asDict() == dict(downloaded=2, skipped=2)
     stages = {r.stage: r.rows for r in tables.ledger.entries().collect()}
-    assert stages == {"lines": 8, "versions": 4, "numbered": 4, "index": 2, "outcomes": 2}
-    stored = spark.read.parquet(f"{root}/{job.job_id}/tree").collect()
+    assert stages == {
+        "lines": 8, "versions": 4, "numbered": 4, "overlaid-1": 4, "index-1": 2, "outcomes-1": 2, "final-1": 4, "run-1": 4,
+    }
+    assert tables.ledger.entries().where("stage = 'run-1'").first().progress == "3 / 4"
+    stored = spark.read.parquet(tables.ledger.stage_path("tree/run=1")).collect()
     assert {(r.domain, r.rel_path): bytes(r.body) for r in stored} == {
         ("a.com", "a.com/about.html"): b"<html>about",
         ("a.com", "a.com/moved.html"): b"<html>about",
     }
 
-    # a rerun finds every stage done, even with its listing gone
+    # a rerun finds the selection done, even with its listing gone, and changes nothing
     again = job.run(spark, folder + "/no-such-listing", root, payloads(spark))
     assert final_rows(again) == want
-    assert again.ledger.entries().count() == 5
+    assert spark.read.parquet(again.ledger.stage_path("outcomes-2")).count() == 0
+
+    # payloads that came later close what was open; places taken stay taken
+    late = spark.createDataFrame(
+        [(at("20240101000000", "http://a.com/open"), 302, at("20240201000000", "http://www.a.com/about"), None, None)],
+        PAYLOADS,
+    )
+    more = job.run(spark, folder + "/no-such-listing", root, payloads(spark).unionByName(late))
+    assert final_rows(more) == {**want, "http://a.com/open": ("302", "a.com/open.html")}
+    assert [r.rel_path for r in spark.read.parquet(more.ledger.stage_path("tree/run=3")).collect()] == ["a.com/open.html"]
 
     # another folder, but the earlier results: only the open capture is left to do
-    earlier = f"{root}/{job.job_id}/results"
-    assert results.scan_results(spark, earlier).count() == 3
-    third = job.run(spark, path, folder + "/second", payloads(spark), earlier)
+    assert results.scan_results(spark, tables.results_path).count() == 3
+    third = job.run(spark, path, folder + "/second", payloads(spark), tables.results_path)
     assert final_rows(third) == want
-    assert third.ledger.spark.read.parquet(third.ledger.stage_path("outcomes")).count() == 0
+    assert spark.read.parquet(third.ledger.stage_path("outcomes-1")).count() == 0
+
+
+def test_a_run_that_died_goes_on(spark, folder, monkeypatch):
+    path, root = listing_file(folder), folder + "/run"
+    monkeypatch.setattr(tree, "write_snapshot_tree", lambda *_: (_ for _ in ()).throw(RuntimeError("lost")))
+    with pytest.raises(RuntimeError):
+        CaptureJob().run(spark, path, root, payloads(spark))
+    monkeypatch.undo()
+    tables = CaptureJob().run(spark, folder + "/no-such-listing", root, payloads(spark))
+    assert final_rows(tables)["http://a.com/moved"] == ("302", "a.com/moved.html")
+    assert tables.ledger.runs() == 1
+    assert spark.read.parquet(tables.ledger.stage_path("tree/run=1")).count() == 2
+
+
+def test_places_of_earlier_runs(spark):
+    from palimpsest.operators import fetched
+
+    stored = spark.createDataFrame([("h/a/b",), ("h/c",)], "rel_path string")
+    files = spark.createDataFrame([(1, "h/a", True), (2, "h/c", True), (3, "h/d", True)], "scid long, rel_path string, is_html boolean")
+    settled = fetched.settle_conflicts(files, stored)
+    assert {r.scid: r.rel_path for r in settled.collect()} == {1: "h/a/index.html", 2: "h/c", 3: "h/d"}
+    done = {r.scid: r.outcome for r in fetched.write_once(settled, stored).collect()}
+    assert done == {1: "SUCCESS", 2: "EXISTING", 3: "SUCCESS"}
 
 
 def test_a_stage_that_failed_is_built_again(spark, folder):
