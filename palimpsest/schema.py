@@ -28,23 +28,6 @@ def _strings(*names: str) -> list[T.StructField]:
 
 RESULTS = T.StructType(_strings(*RESULT_FIELDS))
 
-CAPTURES = T.StructType(
-    [T.StructField("scid", T.LongType())]
-    + _strings(
-        "timestamp",
-        "url_archive",
-        "url_origin",
-        "url_key",
-        "digest",
-        "mimetype",
-        "statuscode",
-        "redirect_url",
-        "redirect_timestamp",
-        "response",
-        "file",
-    )
-)
-
 PAYLOADS = T.StructType(
     [
         T.StructField("url_archive", T.StringType()),
