@@ -44,7 +44,7 @@ RULES = (
     Rule("symbols", "n_symbols", "n_words", None, 30),
     Rule("stop_words", "n_stop_words", "n_words", 2, None),
     Rule("letter_words", "n_letter_words", "n_words", 60, None),
-    Rule("dup_lines", "n_dup_lines", "n_lines", None, 30),
+    Rule("dup_lines", "n_dup_lines", "n_lines", None, 50),
     Rule("bullet_lines", "n_bullet_lines", "n_lines", None, 90),
     Rule("ellipsis_lines", "n_ellipsis_lines", "n_lines", None, 50),
 )

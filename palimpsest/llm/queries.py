@@ -56,7 +56,7 @@ ORACLE["op2_quality_rules"] = rf"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t,
          regexp_extract_all(coalesce(text, ''), '{quality_rules.WORD}') AS w,
-         list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '{quality_rules.WORD}')) AS l
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{quality_rules.WORD}')) AS l
   FROM documents),
 w AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM d),
 t AS (SELECT doc_id, i, x, lead(x) OVER o AS y, lead(x, 2) OVER o AS z FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
@@ -67,10 +67,10 @@ m AS (
          length(regexp_replace(t, '[^{quality_rules.SYMBOLS}]', '', 'g'))::BIGINT AS n_symbols,
          (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words,
          len(l)::BIGINT AS n_lines,
-         len(list_filter(w, x -> lower(x) IN ({_STOP_LIST})))::BIGINT AS n_stop_words,
-         len(list_filter(w, x -> regexp_matches(x, '\p{{L}}')))::BIGINT AS n_letter_words,
-         len(list_filter(l, x -> regexp_matches(x, '{quality_rules.BULLET}')))::BIGINT AS n_bullet_lines,
-         len(list_filter(l, x -> regexp_matches(x, '{quality_rules.ELLIPSIS}')))::BIGINT AS n_ellipsis_lines
+         len(list_filter(w, lambda x: lower(x) IN ({_STOP_LIST})))::BIGINT AS n_stop_words,
+         len(list_filter(w, lambda x: regexp_matches(x, '\p{{L}}')))::BIGINT AS n_letter_words,
+         len(list_filter(l, lambda x: regexp_matches(x, '{quality_rules.BULLET}')))::BIGINT AS n_bullet_lines,
+         len(list_filter(l, lambda x: regexp_matches(x, '{quality_rules.ELLIPSIS}')))::BIGINT AS n_ellipsis_lines
   FROM d LEFT JOIN c ON c.doc_id = d.doc_id),
 b AS (SELECT *, n_words < {quality_rules.MIN_WORDS}
              OR 100 * n_repeat_words > {quality_rules.MAX_REPEATED_PERCENT} * n_words AS base_failed FROM m)
