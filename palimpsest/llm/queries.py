@@ -4,10 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import exact_dedup, quality_rules, simhash
+from palimpsest.llm import bpe, exact_dedup, langid, packing, quality_rules, simhash, token_counts, token_files, toxicity
+from palimpsest.llm.work import held_out, scratch_path, texts
+
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+# The vocabulary's special token ends documents in flat files, where texts cannot hold it.
+FLAT_END_ID = 50256
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -78,8 +84,61 @@ SELECT *, NOT base_failed AND {_rules_sql()} AS kept FROM b
 """
 
 
+@_query
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, found in flat files by their end ids alone."""
+    folder = scratch_path(spark, "flat-files")
+    written = token_counts.write_flat_files(_documents(spark, sf_dir), folder, VOCABULARY, FLAT_END_ID)
+    counted = token_counts.count_tokens(spark, folder, FLAT_END_ID)
+    return written.join(counted, ["shard", "ordinal"]).select("doc_id", "shard", "ordinal", "start", "n_tokens")
+
+
+@_query
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded again."""
+    return bpe.round_trip(_documents(spark, sf_dir), VOCABULARY)
+
+
+@_query
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids as read back from compressed token files."""
+    folder = scratch_path(spark, "token-files")
+    return token_files.read_token_files(token_files.write_token_files(_documents(spark, sf_dir), folder, VOCABULARY))
+
+
+@_query
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its place in a sequence."""
+    return packing.pack_documents(_documents(spark, sf_dir), VOCABULARY)
+
+
+@_query
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; four fifths of the labelled ones are learned from."""
+    docs = texts(_documents(spark, sf_dir))
+    apart = held_out(F.col("doc_id"), 5, 0)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~apart)
+    found = toxicity.score(docs, toxicity.train(docs.where(~apart), labels))
+    return found.select(
+        "doc_id",
+        apart.alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        F.size("offending").cast("long").alias("n_offending"),
+    )
+
+
 @_query
 def op9_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     found = simhash.simhash_components(_documents(spark, sf_dir))
     return found.select("doc_id", simhash.hex_of(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+@_query
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; three quarters of them are learned from."""
+    docs = _documents(spark, sf_dir)
+    apart = held_out(F.col("doc_id"), 4, 2)
+    found = langid.identify(docs, langid.prototypes(docs.where(~apart)))
+    return found.select("doc_id", apart.alias("held_out"), "lang_pred", "score")
