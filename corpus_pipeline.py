@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import exact_dedup, quality_rules, simhash
+from palimpsest.llm import exact_dedup, packing, paragraph_dedup, quality_rules, simhash
+from palimpsest.llm.queries import VOCABULARY
 from palimpsest.llm.work import cut_lineage
 
 
@@ -23,7 +24,17 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.drop_near_duplicates(docs)
 
 
-STAGES = [("quality", quality), ("exact", exact), ("near", near)]
+def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the paragraphs that an earlier document has too."""
+    return paragraph_dedup.drop_repeated_passages(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row per piece of a document with its place in a training sequence."""
+    return packing.pack_documents(docs, VOCABULARY)
+
+
+STAGES = [("quality", quality), ("exact", exact), ("near", near), ("passages", passages), ("pack", pack)]
 
 # Fingerprints, components of paragraphs and packing are beyond SQL.
 ORACLE_SQL = None

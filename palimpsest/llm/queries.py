@@ -8,7 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import bpe, exact_dedup, langid, packing, quality_rules, simhash, token_counts, token_files, toxicity
+from palimpsest.llm import (
+    bpe,
+    exact_dedup,
+    langid,
+    packing,
+    paragraph_dedup,
+    quality_rules,
+    simhash,
+    token_counts,
+    token_files,
+    toxicity,
+)
 from palimpsest.llm.work import held_out, scratch_path, texts
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -84,6 +95,12 @@ SELECT *, NOT base_failed AND {_rules_sql()} AS kept FROM b
 """
 
 
+@_query
+def op3_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every paragraph that several documents share, with the document that keeps it."""
+    return paragraph_dedup.repeated_passages(_documents(spark, sf_dir)).drop("version")
+
+
 @_query
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document, found in flat files by their end ids alone."""
