@@ -9,15 +9,41 @@ from palimpsest.checks import oracle as o
 from palimpsest.checks.registry import query
 from palimpsest.operators import links
 
-# every value an attribute or a style can give, quote by quote
-_PATTERNS = [rf"{a}=[\"'']?([^\"''>]+)" for a in links.LINK_ATTRIBUTES]
-_STYLES = [r"url\(([^''\")]+)\)", r"url\(''([^''\")]+)''\)", r"url\(\"([^''\")]+)\"\)"]
-_FOUND = " || ".join(f"regexp_extract_all(html, '{p}', 1)" for p in [*_PATTERNS, *_STYLES])
+# Links are marked where they stand, kind by kind, with characters that no page holds, and the text
+# is cut at the marks.
+_NAMES = "|".join(links.LINK_ATTRIBUTES)
+_KINDS = [
+    rf"""((?:^|[^\w:.\-])(?:{_NAMES})\s*=\s*")([^"]*)(")""",
+    rf"""((?:^|[^\w:.\-])(?:{_NAMES})\s*=\s*'')([^'']*)('')""",
+    rf"""((?:^|[^\w:.\-])(?:{_NAMES})\s*=\s*)([^\s"''<>`]+)()""",
+    rf"""((?:^|[^\w\-]){links.STYLE_FUNCTION}\(\s*")([^"]*)("\s*\))""",
+    rf"""((?:^|[^\w\-]){links.STYLE_FUNCTION}\(\s*'')([^'']*)(''\s*\))""",
+    rf"""((?:^|[^\w\-]){links.STYLE_FUNCTION}\(\s*)([^\s"''()]+)(\s*\))""",
+]
+_MARKED = "html"
+for _kind in _KINDS:
+    _MARKED = rf"regexp_replace({_MARKED}, '(?i){_kind}', '\1' || chr(1) || '\2' || chr(2) || '\3', 'g')"
+_FOUND = f"""list_filter(list_transform(string_split({_MARKED}, chr(1))[2:], lambda x: split_part(x, chr(2), 1)), lambda x: x <> '')"""
+
+# the pages, with links of every spelling behind their text
+_MORE = (
+    "<img src=/i/{0}.png alt=x><img data-src=''late/{0}.png''><video poster = ''//cdn.org/p.jpg''></video>"
+    "<a href=\"/\">home</a><a href=\"\">none</a><b style=\"a:url(/s/{0}.css) url( ''../t.css'' )\">/i/{0}.png</b>"
+)
+_MORE_SQL = "'" + _MORE.replace("{0}", "' || page_id || '") + "'"
+ALL_KINDS = f"""(SELECT page_id, url, html || {_MORE_SQL} AS html FROM pages)"""
+
+
+def _pages(spark, sf):
+    text = _MORE.replace("''", "'").split("{0}")
+    more = F.concat(*[x for piece in text for x in (F.lit(piece), F.col("page_id").cast("string"))][:-1])
+    return d.table(spark, sf, "pages").select("page_id", "url", F.concat("html", more).alias("html"))
+
 
 PAGES = f"""placed AS (
   SELECT page_id, url, html, url_key, domain_raw AS domain, CASE WHEN depth <= 1 THEN './' ELSE repeat('../', depth) END AS steps,
     list_distinct({_FOUND}) AS found
-  FROM (SELECT *, len(string_split(url_key, '/')) - 2 AS depth FROM {o.url_parts('pages', 'url')}))"""
+  FROM (SELECT *, len(string_split(url_key, '/')) - 2 AS depth FROM {o.url_parts(ALL_KINDS, 'url')}))"""
 EACH = f"""each AS (
   SELECT *, {o.host(o.bare('link'))} AS link_host,
     link <> '' AND (starts_with(link, '//') OR ({o.host(o.bare('link'))} <> domain AND contains(link, '://'))) AS external
@@ -51,7 +77,7 @@ LOCALIZED = [*LINKED, NORMAL, LOCAL]
 
 @query("extract_links", o.stmt([PAGES], "SELECT page_id, unnest(found) AS link FROM placed"))
 def extract_links(spark, sf):
-    return links.extract_links(d.table(spark, sf, "pages"))
+    return links.extract_links(_pages(spark, sf))
 
 
 @query(
@@ -60,12 +86,12 @@ def extract_links(spark, sf):
 )
 def link_set(spark, sf):
     found = links.link_sets(links.page_links(F.col("html")), F.array("url"))
-    return d.table(spark, sf, "pages").select("page_id", F.array_join(F.array_sort(found), " ").alias("links"))
+    return _pages(spark, sf).select("page_id", F.array_join(F.array_sort(found), " ").alias("links"))
 
 
 @query("steps_to_root", o.stmt([PAGES], "SELECT page_id, domain, steps FROM placed"))
 def steps_to_root(spark, sf):
-    return links.with_page_place(d.table(spark, sf, "pages")).select("page_id", "domain", "steps")
+    return links.with_page_place(_pages(spark, sf)).select("page_id", "domain", "steps")
 
 
 # links as pages hold them, plus each page's own address and other spellings of a link
@@ -78,7 +104,7 @@ SPELLED = [PAGES.replace("placed AS (", "pages_placed AS (", 1), SPELLINGS_SQL,
 
 def _spelled(spark, sf):
     """``(page_id, domain, steps, link)`` with every spelling of a link."""
-    placed = links.with_page_place(d.table(spark, sf, "pages"))
+    placed = links.with_page_place(_pages(spark, sf))
     page = F.col("page_id").cast("string")
     more = F.array(
         F.col("url"),
@@ -118,14 +144,16 @@ def localize_link(spark, sf):
     "rewrite_html",
     o.stmt(
         LOCALIZED,
-        """SELECT page_id, md5(coalesce(rewritten, html)) AS html_md5 FROM placed LEFT JOIN (
-          SELECT page_id, list_reduce([struct_pack(src := '', dst := any_value(html))] || list(struct_pack(src := link, dst := local) ORDER BY length(link) DESC, encode(link)),
-            lambda acc, l: struct_pack(src := '', dst := replace(acc.dst, l.src, l.dst))).dst AS rewritten
-          FROM localized JOIN placed USING (page_id) GROUP BY page_id) USING (page_id)""",
+        f"""SELECT p.page_id, md5(string_agg(CASE WHEN i = 1 THEN piece
+              ELSE coalesce(local, split_part(piece, chr(2), 1)) || split_part(piece, chr(2), 2) END, '' ORDER BY i)) AS html_md5
+            FROM (SELECT page_id, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS i
+                  FROM (SELECT page_id, string_split({_MARKED}, chr(1)) AS pieces FROM placed)) p
+            LEFT JOIN localized l ON l.page_id = p.page_id AND i > 1 AND l.link = split_part(piece, chr(2), 1)
+            GROUP BY p.page_id""",
     ),
 )
 def rewrite_html(spark, sf):
-    return links.rewrite_html(d.table(spark, sf, "pages")).select("page_id", F.md5("html").alias("html_md5"))
+    return links.rewrite_html(_pages(spark, sf)).select("page_id", F.md5("html").alias("html_md5"))
 
 
 @query(
@@ -138,7 +166,7 @@ def rewrite_html(spark, sf):
     ),
 )
 def resolve_links(spark, sf):
-    placed = links.with_page_place(d.table(spark, sf, "pages"))
+    placed = links.with_page_place(_pages(spark, sf))
     found = links.link_sets(links.page_links(F.col("html")), F.array("url"))
     each = placed.select("page_id", "domain", F.explode(found).alias("link"))
     absolute = F.when(F.col("link").contains("://"), F.col("link")).otherwise(
