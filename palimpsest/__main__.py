@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+from datetime import date
 
 from pyspark.sql import SparkSession
 
@@ -31,6 +32,9 @@ def parse(args: list[str] | None = None) -> argparse.Namespace:
     cli.add_argument("--statuscode", type=_listed, default=(), help="status codes, comma separated")
     cli.add_argument("--keep-www", action="store_true", help="tell www hosts apart")
     cli.add_argument("--no-redirect", action="store_true", help="do not follow redirects")
+    cli.add_argument("--skip-first", action="store_true", help="set 301 and 404 aside before choosing versions")
+    cli.add_argument("--embedded", choices=("cut", "keep"), default="cut", help="what to do with addresses inside addresses")
+    cli.add_argument("--as-of", type=date.fromisoformat, help="day that --years counts back from")
     cli.add_argument("--payloads", help="table name of payloads")
     cli.add_argument("--results", help="result file of an earlier run")
     return cli.parse_args(args)
@@ -49,6 +53,9 @@ def job_of(opts: argparse.Namespace) -> CaptureJob:
         statuscode=opts.statuscode,
         merge_www=not opts.keep_www,
         redirects=not opts.no_redirect,
+        skip_first=opts.skip_first,
+        embedded=opts.embedded,
+        as_of=opts.as_of,
     )
 
 
@@ -58,7 +65,7 @@ def main(args: list[str] | None = None) -> None:
     payloads = spark.table(opts.payloads) if opts.payloads else None
     job = job_of(opts)
     tables = job.run(spark, opts.listing, opts.root, payloads, opts.results)
-    tables.funnel(job.mode).show(truncate=False)
+    tables.funnel().show(truncate=False)
     tables.status().show(truncate=False)
     tables.summary().show(truncate=False)
 

@@ -12,6 +12,7 @@ from palimpsest.checks import derived as d
 from palimpsest.checks import oracle as o
 from palimpsest.checks.registry import query
 from palimpsest.functions import archive, content, paths, report, urls
+from palimpsest.schema import NAME_SPECIALS, URL_SPECIALS
 
 
 
@@ -44,12 +45,12 @@ _over_addresses(
 _over_addresses("pct_encode_special", lambda: {"encoded": urls.pct_encode_special(U())}, f"{o._enc('url')} AS encoded")
 _over_addresses("pct_space", lambda: {"spaced": urls.pct_space(U())}, "replace(url, '%20', ' ') AS spaced")
 _over_addresses("contain_traversal", lambda: {"contained": urls.contain_traversal(U())}, f"{o._contain('url')} AS contained")
-_over_addresses("sanitize_url", lambda: {"clean": paths.sanitize_url(U())}, f"{o._enc('url', o._PLAIN)} AS clean")
+_over_addresses("sanitize_url", lambda: {"clean": paths.sanitize_url(U())}, f"{o._enc('url', URL_SPECIALS)} AS clean")
 _over_addresses(
     "sanitize_name",
     lambda: {"name": paths.sanitize_name(U())},
     "array_to_string(list_filter(string_split(translate(url, '{}', '{}'), '.'), lambda x: x <> ''), '.') AS name".format(
-        o._NAME.replace("'", "''"), "." * len(o._NAME)
+        "".join(NAME_SPECIALS).replace("'", "''"), "." * len(NAME_SPECIALS)
     ),
 )
 _over_addresses(

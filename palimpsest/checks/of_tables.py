@@ -24,156 +24,52 @@ WORKED_SQL = ", ".join(WORKED_COLUMNS)
 # ---------------------------------------------------------------- listing
 
 
-def _listing_file(spark, sf) -> str:
-    """The derived listing as text files in arrival order: header first, `]]` at the end."""
+HEADER = '[["timestamp","digest","mimetype","statuscode","original"],'
+FILES = 4
+
+
+def _listing_files(spark, sf) -> list[str]:
+    """The derived listing as folders of one text file, in arrival order.
+
+    Each file has a header first, and the last closes with `]]`.
+    """
     path = scratch_path(spark, "listing")
     lines = d.listing_lines(spark, sf)
     last = lines.agg(F.max("line_no")).scalar()
     closed = F.when(
         F.col("line_no") == last, F.concat(F.regexp_replace("line", r",\z", ""), F.lit("]"))
     ).otherwise(F.col("line"))
-    header = spark.range(1).select(
-        F.lit(-1).cast("long").alias("line_no"),
-        F.lit('[["timestamp","digest","mimetype","statuscode","original"],').alias("value"),
+    first_round = lines.where(F.col("line_no") < d.LATER).agg(F.max("line_no")).scalar()
+    early = F.floor(F.col("line_no") * (FILES - 1) / (first_round + 1))
+    body = lines.select(
+        F.when(F.col("line_no") < d.LATER, early).otherwise(FILES - 1).alias("file"), "line_no", closed.alias("value")
     )
-    body = lines.select("line_no", closed.alias("value"))
-    header.unionByName(body).orderBy("line_no").select("value").write.text(path)
-    return path
+    headers = spark.range(FILES).select(F.col("id").alias("file"), F.lit(-1).cast("long"), F.lit(HEADER))
+    rows = headers.union(body).repartition("file").sortWithinPartitions("file", "line_no")
+    rows.select("file", "value").write.partitionBy("file").text(path)
+    return [f"{path}/file={k}" for k in range(FILES)]
 
 
 @query("scan_cdx", o.stmt(o.LISTING, "SELECT line FROM lines"))
 def scan_cdx(spark, sf):
-    return listing.scan_listing(spark, _listing_file(spark, sf)).select("line")
-
-
-@query("count_cdx_rows", o.stmt(o.LISTING, "SELECT count(*) AS listing_rows FROM raw"))
-def count_cdx_rows(spark, sf):
-    return listing.count_rows(listing.scan_listing(spark, _listing_file(spark, sf)))
-
-
-@query(
-    "parse_cdx",
-    o.stmt(o.CAPTURED, "SELECT line_no, timestamp, digest, mimetype, statuscode, url_origin, verdict FROM parsed"),
-)
-def parse_cdx(spark, sf):
-    return d.parsed(spark, sf).drop("line")
-
-
-@query("quarantine", o.stmt(o.CAPTURED, "SELECT line_no, line, verdict FROM parsed WHERE verdict IN ('faulty', 'malformed')"))
-def quarantine(spark, sf):
-    return listing.quarantine(d.parsed(spark, sf))
-
-
-@query("drop_faulty", o.stmt(o.CAPTURED, "SELECT line_no, url_origin FROM parsed WHERE verdict NOT IN ('faulty', 'malformed')"))
-def drop_faulty(spark, sf):
-    return listing.drop_faulty(d.parsed(spark, sf)).select("line_no", "url_origin")
-
-
-@query("drop_mailto", o.stmt(o.CAPTURED, "SELECT line_no, url_origin FROM parsed WHERE url_origin NOT ILIKE 'mailto%'"))
-def drop_mailto(spark, sf):
-    return listing.drop_mailto(d.parsed(spark, sf)).select("line_no", "url_origin")
-
-
-@query("land_captures", o.stmt(o.CAPTURED, f"SELECT domain, {CAPTURE_SQL} FROM captures"))
-def land_captures(spark, sf):
-    path = scratch_path(spark, "captures")
-    listing.land_captures(d.captures(spark, sf), path)
-    return spark.read.parquet(path).select("domain", *CAPTURE_COLUMNS)
-
-
-# ---------------------------------------------------------------- results, tree, ledger
-
-
-@query(
-    "write_results",
-    o.stmt(
-        o.WORK,
-        "SELECT timestamp, url_archive, url_origin, redirect_url, redirect_timestamp, response, file FROM worked WHERE response IS NOT NULL",
-    ),
-)
-def write_results(spark, sf):
-    return results.result_rows(d.worked(spark, sf))
-
-
-@query(
-    "scan_results",
-    o.stmt(
-        [*o.DISTINCTS, o.EARLIER],
-        "SELECT timestamp, url_archive, url_origin, redirect_url, redirect_timestamp, response, file FROM earlier",
-    ),
-)
-def scan_results(spark, sf):
-    path = scratch_path(spark, "results")
-    results.write_results(d.earlier_results(spark, sf), path)
-    return results.scan_results(spark, path).drop("src_file", "csv_line")
+    return listing.scan_listing(spark, _listing_files(spark, sf)).select("line")
 
 
-@query(
-    "write_snapshot_tree",
-    o.stmt([*o.KEPT, o.PAYLOADS], "SELECT domain, url_key AS rel_path, md5(body) AS body_md5 FROM kept JOIN payloads USING (url_archive)"),
-)
-def write_snapshot_tree(spark, sf):
-    path = scratch_path(spark, "tree")
-    kept = d.kept(spark, sf).join(d.payloads(spark, sf), "url_archive")
-    tree.write_snapshot_tree(kept.withColumn("rel_path", F.col("url_key")), path)
-    stored = spark.read.schema("domain string, rel_path string, body binary").parquet(path)
-    return stored.select("domain", "rel_path", F.md5("body").alias("body_md5"))
+@query("scan_cdx_order", o.stmt(o.LISTING, "SELECT row_number() OVER (ORDER BY line_no) AS place, line FROM lines"))
+def scan_cdx_order(spark, sf):
+    """Every line with its place: files by name, lines as they stand in their file."""
+    scanned = listing.scan_listing(spark, _listing_files(spark, sf))
+    stored = cut_lineage(scanned.withColumn("scid", F.col("line_no")), "scanned")
+    return versions.enumerate_captures(stored, into="place").select("place", "line")
 
 
-@query(
-    "stage_ledger",
-    o.stmt(
-        o.KEPT,
-        """SELECT 'captures' AS stage, true AS done, count(*) AS rows, 2 AS asked, 1 AS built FROM captures
-        UNION ALL SELECT 'versions', true, count(*), 2, 1 FROM kept""",
-    ),
-)
-def stage_ledger(spark, sf):
-    """Every stage is asked for twice and built once."""
-    ledger = Ledger(spark, scratch_path(spark, "ledger"), CaptureJob().job_id)
-    built = {"captures": 0, "versions": 0}
-
-    def stage(name, build):
-        def counted():
-            built[name] += 1
-            return build()
-
-        return ledger.run_stage(name, counted)
-
-    for _ in range(2):
-        captures = stage("captures", lambda: d.captures(spark, sf))
-        stage("versions", lambda: versions.keep_versions(captures, "last"))
-    times = F.create_map(*[F.lit(v) for pair in built.items() for v in pair])
-    return ledger.entries().select(
-        "stage", "done", "rows", F.lit(2).alias("asked"), F.element_at(times, F.col("stage")).alias("built")
-    )
-
+@query("job_filter_url_apart", o.stmt(o.CAPTURED, "SELECT scid, url_origin FROM captures WHERE domain = 'blog.tionsh.example.net'"))
+def job_filter_url_apart(spark, sf):
+    """One site in a job that tells www hosts apart: both of its hosts are asked for."""
+    job = CaptureJob(url="http://blog.tionsh.example.net/", merge_www=False)
+    keyed = urls.with_url_parts(d.parsed(spark, sf), "url_origin", False, keep=("domain", "url_key"))
+    return job.captures(job.selected(keyed)).select("scid", "url_origin")
 
-# ---------------------------------------------------------------- filters
-
-
-def _filtered(name: str, sql_where: str, fn) -> None:
-    @query(name, o.stmt(o.CAPTURED, f"SELECT {CAPTURE_SQL} FROM captures WHERE {sql_where}"))
-    def run(spark, sf):
-        return fn(d.captures(spark, sf)).select(*CAPTURE_COLUMNS)
-
-
-_filtered(
-    "filter_time",
-    "timestamp >= '20240105' AND left(timestamp, 8) <= '20240120'",
-    lambda df: filters.filter_time(df, "20240105", "20240120"),
-)
-_filtered(
-    "filter_range",
-    "CAST(left(timestamp, 4) AS INTEGER) >= 2024",
-    lambda df: filters.filter_range(df, 2, date(2026, 6, 1)),
-)
-_filtered("filter_statuscode", "statuscode IN ('200', '302')", lambda df: filters.filter_statuscode(df, ["200", "302"]))
-_filtered(
-    "filter_filetype",
-    "ends_with(url_origin, '.html') OR ends_with(url_origin, '.css')",
-    lambda df: filters.filter_filetype(df, ["HTML", "css"]),
-)
 
 _SITE = "blog.tionsh.example.net"
 _canon = f"domain || rtrim({o.path('split_part(url_origin, chr(58) || chr(47) || chr(47), 2)')}, '/')"
@@ -187,9 +83,14 @@ _filtered("handled", "response IS NOT NULL", filters.handled)
 _filtered("skip_statuscode", "response IN ('404', '301')", filters.skip_statuscode)
 
 
-@query("limit_captures", o.stmt(o.CAPTURED, "SELECT line_no, line FROM parsed ORDER BY line_no LIMIT 100"))
+@query(
+    "limit_captures",
+    o.stmt(o.CAPTURED, "SELECT 'part-' || line_no % 3 AS src_file, line_no, line FROM parsed ORDER BY 1, line_no LIMIT 100"),
+)
 def limit_captures(spark, sf):
-    return filters.limit_captures(d.parsed(spark, sf), 100).select("line_no", "line")
+    """The first lines of a listing of three files, which begin in another order than they are named."""
+    file = F.concat(F.lit("part-"), (F.col("line_no") % 3).cast("string"))
+    return filters.limit_captures(d.parsed(spark, sf).withColumn("src_file", file), 100).select("src_file", "line_no", "line")
 
 
 @query("succeeded", o.stmt(o.WORK, f"SELECT {WORKED_SQL} FROM worked WHERE file IS NOT NULL AND file <> ''"))
@@ -599,11 +500,22 @@ def capture_run(spark, sf):
     results.write_results(ordered, earlier)
     payloads = cut_lineage(d.payloads(spark, sf), "payloads")
     tables = CaptureJob(mode="last").run(
-        spark, _listing_file(spark, sf), scratch_path(spark, "run"), payloads, earlier
+        spark, _listing_files(spark, sf), scratch_path(spark, "run"), payloads, earlier
     )
     return tables.final.select(*FINISHED_COLUMNS)
 
 
+_RESUMED = ["timestamp", "url_origin", "url_archive", "url_key", "statuscode", "response"]
+
+
+@query("capture_resume", o.stmt(o.KEPT, f"SELECT {', '.join(_RESUMED)} FROM kept"))
+def capture_resume(spark, sf):
+    """A run over half of a listing's files, then one over all: the versions are those of a single run."""
+    files, root = _listing_files(spark, sf), scratch_path(spark, "run")
+    CaptureJob().run(spark, files[: FILES // 2], root)
+    return CaptureJob().run(spark, files, root).versions.select(*_RESUMED)
+
+
 @query(
     "stored_files",
     o.stmt(
@@ -661,29 +573,34 @@ def job_summary(spark, sf):
     return report.job_summary(d.worked(spark, sf))
 
 
-def _funnel_sql(mode: str) -> str:
+def _funnel_sql(mode: str, skip_first: bool = False) -> str:
     kept = "distinct_captures" if mode == "all" else "kept"
     ctes = o.DISTINCTS if mode == "all" else [*o.DISTINCTS, o.kept_cte(mode)]
+    if skip_first:
+        kept = "(SELECT * FROM distinct_captures WHERE response IS NULL QUALIFY row_number() OVER (PARTITION BY url_key ORDER BY timestamp DESC, scid) = 1)"
+    aside = "(SELECT count(response) FROM distinct_captures)" if skip_first else "0"
     return o.stmt(
         ctes,
-        f"""SELECT *, kept - skip_statuscode AS to_utilize FROM (
+        f"""SELECT *, kept - skip_statuscode + {aside} AS to_utilize FROM (
         SELECT (SELECT count(*) FROM raw) AS total,
           (SELECT count(*) FROM parsed WHERE verdict = 'faulty') AS faulty,
           (SELECT count(*) FROM parsed WHERE verdict = 'malformed') AS malformed,
           (SELECT count(*) FROM parsed WHERE verdict = 'mailto') AS mailto,
           (SELECT count(*) FROM captures) - (SELECT count(*) FROM distinct_captures) AS duplicates,
-          (SELECT count(*) FROM distinct_captures) - (SELECT count(*) FROM {kept}) AS versions,
+          (SELECT count(*) FROM distinct_captures) - (SELECT count(*) FROM {kept}) - {aside} AS versions,
           (SELECT count(*) FROM {kept}) AS kept,
-          (SELECT count(response) FROM {kept}) AS skip_statuscode)""",
+          (SELECT count(response) FROM {kept}) + {aside} AS skip_statuscode, 0 AS skip_existing)""",
     )
 
 
-def _funnel(name: str, mode: str) -> None:
-    @query(name, _funnel_sql(mode))
+def _funnel(name: str, mode: str, skip_first: bool = False) -> None:
+    @query(name, _funnel_sql(mode, skip_first))
     def run(spark, sf):
-        return report.capture_funnel(urls.with_url_parts(d.parsed(spark, sf)), mode)
+        lines = cut_lineage(urls.with_url_parts(d.parsed(spark, sf)), "lines")
+        return report.capture_funnel(lines, mode, skip_first)
 
 
 _funnel("capture_funnel", "last")
 _funnel("capture_funnel_first", "first")
 _funnel("capture_funnel_all", "all")
+_funnel("capture_funnel_skip_first", "last", True)

@@ -10,14 +10,10 @@ from __future__ import annotations
 from http import HTTPStatus
 
 from palimpsest.checks.derived import EARLIER_RUN, LATER, STEP
+from palimpsest.schema import PATH_SPECIALS
 
-# Characters encoded in paths, and those encoded in plain addresses.
-_PATH = [":", "*", "?", "&", "=", "<", ">", "\\", "|", "#", "!", "~"]
-_PLAIN = [":", "*", "?", "&", "=", "<", ">", "\\", "|"]
-_NAME = "<>:\"/\\|?*=#!~"
 
-
-def _enc(text: str, chars: list[str] = _PATH) -> str:
+def _enc(text: str, chars: list[str] = PATH_SPECIALS) -> str:
     for ch in chars:
         text = f"replace({text}, '{ch}', '%{ord(ch):02x}')"
     return text

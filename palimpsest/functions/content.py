@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gzip
 import zlib
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -13,6 +14,9 @@ from pyspark.sql import types as T
 # Fixed value: how many leading bytes decide whether a body is HTML.
 SNIFF_BYTES = 2048
 
+# Unpacked bytes that travel back in one batch; a larger body travels alone.
+BATCH_BYTES = 256 << 20
+
 # first element of an HTML file, after blanks and comments
 _HTML_START = r"(?is)^\s*(?:<!--.*?-->\s*)*<(?:!doctype html|html|head|title|body|script)"
 
@@ -30,6 +34,8 @@ def is_html(body: Column) -> Column:
 def _gunzip(bodies: Column) -> Column:
     """Unpacked bodies, NULL for those that are not gzip."""
 
+    most = BATCH_BYTES
+
     # nested, so that it travels to the executors by value
     def unpack(body: bytes) -> bytes | None:
         try:
@@ -37,9 +43,19 @@ def _gunzip(bodies: Column) -> Column:
         except (OSError, EOFError, zlib.error):
             return None
 
+    # an Arrow array holds two gigabytes; rows may come back in more batches than they went
     @F.arrow_udf(T.BinaryType())
-    def unpack_all(batch: pa.Array) -> pa.Array:
-        return pa.array([unpack(b) if b is not None else None for b in batch.to_pylist()], pa.binary())
+    def unpack_all(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            done, size = [], 0
+            for item in batch:
+                body = unpack(item.as_py()) if item.is_valid else None
+                if size and size + len(body or b"") > most:
+                    yield pa.array(done, pa.binary())
+                    done, size = [], 0
+                done.append(body)
+                size += len(body or b"")
+            yield pa.array(done, pa.binary())
 
     return unpack_all(bodies)
 

@@ -6,11 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from palimpsest.functions import urls
+from palimpsest.schema import NAME_SPECIALS, URL_SPECIALS
 
-# Characters that become dots in a single file name.
-NAME_SPECIALS = ["<", ">", ":", '"', "/", "\\", "|", "?", "*", "=", "#", "!", "~"]
-# Characters that are percent-encoded in a plain address.
-URL_SPECIALS = [":", "*", "?", "&", "=", "<", ">", "\\", "|"]
 # Fixed value: longest full path some file systems take.
 PATH_LIMIT = 255
 

@@ -13,8 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Characters that are awkward in file and folder names.
-PATH_SPECIALS = [":", "*", "?", "&", "=", "<", ">", "\\", "|", "#", "!", "~"]
+from palimpsest.schema import PATH_SPECIALS
+
 # Fixed value: file name of an address that ends in a folder.
 DEFAULT_FILE = "index.html"
 

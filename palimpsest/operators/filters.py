@@ -71,13 +71,15 @@ def canonical_address(url: Column) -> Column:
 def at_address(url: str, explicit: bool = False, domain: Column | None = None) -> Column:
     """At one address, or at it and everything below when not ``explicit``.
 
-    The domain test comes on its own: given a stored ``domain`` it prunes the scan.
+    Host variants are one site here, as in an index, whatever the file keys do with them. The
+    domain test comes on its own: given a stored ``domain``, merged or not, it prunes the scan.
     """
     wanted = canonical_address(F.lit(url))
     here = canonical_address(F.col("url_origin"))
     below = F.lit(False) if explicit else here.startswith(F.concat(wanted, F.lit("/")))
-    domain = urls.url_domain(F.col("url_origin")) if domain is None else domain
-    return (domain == urls.url_domain(F.lit(url))) & ((here == wanted) | below)
+    host = urls.url_domain(F.lit(url))
+    stored = urls.url_domain(F.col("url_origin")) if domain is None else domain
+    return stored.isin(host, F.concat(F.lit("www."), host)) & ((here == wanted) | below)
 
 
 def filter_url(df: DataFrame, url: str, explicit: bool = False) -> DataFrame:
@@ -86,8 +88,8 @@ def filter_url(df: DataFrame, url: str, explicit: bool = False) -> DataFrame:
 
 
 def limit_captures(df: DataFrame, n: int) -> DataFrame:
-    """First ``n`` lines of the listing."""
-    return df.orderBy("line_no").limit(n)
+    """First ``n`` lines of the listing, its files by name."""
+    return df.orderBy(*[c for c in ("src_file", "line_no") if c in df.columns]).limit(n)
 
 
 def handled(df: DataFrame) -> DataFrame:

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.functions import report
+from palimpsest.functions import archive, report
+from palimpsest.operators import versions
 from palimpsest.operators.filters import has_file
-from palimpsest.schema import PRESET_CODES
 
 
 def counts(captures: DataFrame) -> DataFrame:
@@ -46,63 +46,47 @@ def outcome_lines(outcomes: DataFrame, total: int | None = None) -> DataFrame:
     return outcomes.select("counter", line.alias("line"))
 
 
-def _latest_first(timestamp: Column) -> Column:
-    """Digits turned round, so that the smallest value is the latest time."""
-    return F.rpad(F.translate(timestamp, "0123456789", "9876543210"), 14, ":")
+def capture_funnel(
+    lines: DataFrame, mode: str = "last", skip_first: bool = False, overlaid: DataFrame | None = None
+) -> DataFrame:
+    """Where the lines of a listing went.
 
-
-def capture_funnel(lines: DataFrame, mode: str = "last") -> DataFrame:
-    """Where the lines of a listing went, from one scan.
-
-    ``lines`` are parsed lines with ``url_key``. First they are grouped to distinct
-    captures, then to files; both steps combine before their shuffle, so neither a
-    capture repeated a million times nor a file with a million versions weighs on one
-    task. Unreadable lines ride along as groups without key.
+    ``lines`` are parsed lines with ``url_key``; ``mode`` and ``skip_first`` are those of the job.
+    ``overlaid`` are its captures with earlier results laid over them: what they close besides
+    the preset codes is ``skip_existing``. Lines, distinct captures and kept versions are counted
+    apart; the latter two are the same group-limited windows that choose them, so no key weighs
+    on a task. ``lines`` is read three times and should be a stored table.
     """
-    ok = F.col("verdict") == "ok"
-    several = "src_file" in lines.columns
-    arrived = F.struct("src_file", "line_no") if several else F.col("line_no")
-    preset = {c: F.min(F.when(ok & (F.col("statuscode") == c), arrived)) for c in PRESET_CODES}
-    distinct = lines.groupBy(
-        "verdict",
-        F.when(ok, F.col("url_key")).alias("url_key"),
-        F.when(ok, F.col("timestamp")).alias("timestamp"),
-        F.when(ok, F.col("url_origin")).alias("url_origin"),
-    ).agg(
-        F.count("*").alias("rows"),
-        F.min(arrived).alias("first"),
-        *[c.alias(f"first_{code}") for code, c in preset.items()],
-    )
-    closed = F.lit(False)
-    for code in PRESET_CODES:
-        closed = closed | F.coalesce(F.col(f"first_{code}") == F.col("first"), F.lit(False))
-    if mode == "all":
-        kept, shut = F.count("*"), F.count_if(closed)
-    else:
-        time = _latest_first(F.col("timestamp")) if mode == "last" else F.col("timestamp")
-        best = F.min(F.struct(time.alias("time"), "first", closed.alias("closed")))
-        kept, shut = F.lit(1), best["closed"].cast("int")
-    files = distinct.groupBy("verdict", "url_key").agg(
-        F.sum("rows").alias("rows"),
-        F.count("*").alias("captures"),
-        F.when(ok, kept).otherwise(0).alias("kept"),
-        F.when(ok, shut).otherwise(0).alias("closed"),
+    rows = lines.where("verdict = 'ok'").withColumn("scid", F.col("line_no"))
+    rows = rows.withColumn("response", archive.preset_response(F.col("statuscode")))
+    order = [c for c in ("src_file", "scid") if c in rows.columns]
+    rows = rows.select(*order, "url_key", "timestamp", "url_origin", "response")
+
+    def counted(df: DataFrame) -> Column:
+        preset = F.count_if(F.col("response").isNotNull())
+        return df.agg(F.struct(F.count("*").alias("rows"), preset.alias("preset"))).scalar()
+
+    captures = counted(versions.dedup_first(rows))
+    kept = counted(versions.keep_versions(rows, mode, skip_first))
+    existing = F.lit(0).cast("long")
+    if overlaid is not None:
+        later = F.col("response").isNotNull() & archive.preset_response(F.col("statuscode")).isNull()
+        existing = overlaid.agg(F.count_if(later)).scalar()
+    set_aside = captures["preset"] if skip_first else F.lit(0).cast("long")
+    closed = kept["preset"]
+    seen = lines.agg(
+        F.count("*").alias("total"),
+        *[F.count_if(F.col("verdict") == v).alias(v) for v in ("faulty", "malformed", "mailto", "ok")],
     )
-    is_ok = F.col("verdict") == "ok"
-
-    def of(verdict: str):
-        return F.coalesce(F.sum(F.when(F.col("verdict") == verdict, F.col("rows"))), F.lit(0))
-
-    return (
-        files.agg(
-            F.coalesce(F.sum("rows"), F.lit(0)).alias("total"),
-            of("faulty").alias("faulty"),
-            of("malformed").alias("malformed"),
-            of("mailto").alias("mailto"),
-            F.coalesce(F.sum(F.when(is_ok, F.col("rows") - F.col("captures"))), F.lit(0)).alias("duplicates"),
-            F.coalesce(F.sum(F.when(is_ok, F.col("captures") - F.col("kept"))), F.lit(0)).alias("versions"),
-            F.coalesce(F.sum("kept"), F.lit(0)).alias("kept"),
-            F.coalesce(F.sum("closed"), F.lit(0)).alias("skip_statuscode"),
-        )
-        .withColumn("to_utilize", F.col("kept") - F.col("skip_statuscode"))
+    return seen.select(
+        "total",
+        "faulty",
+        "malformed",
+        "mailto",
+        (F.col("ok") - captures["rows"]).alias("duplicates"),
+        (captures["rows"] - set_aside - kept["rows"]).alias("versions"),
+        kept["rows"].alias("kept"),
+        (set_aside + closed).alias("skip_statuscode"),
+        existing.alias("skip_existing"),
+        (kept["rows"] - closed - existing).alias("to_utilize"),
     )

@@ -6,6 +6,7 @@ import hashlib
 import json
 from dataclasses import asdict, dataclass
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +20,10 @@ from palimpsest.sources import payloads as payload_source
 from palimpsest.sources import results as result_source
 
 
+# Spark numbers the rows of one scan below this many bits; intakes are numbered above them.
+INTAKE_BITS = 57
+
+
 @dataclass(frozen=True)
 class CaptureJob:
     """What to take from a listing and how.
@@ -69,14 +74,34 @@ class CaptureJob:
         rows = parsed.where(F.col("verdict").isin("faulty", "malformed") | asked)
         return filters.limit_captures(rows, self.limit) if self.limit else rows
 
-    def lines(self, spark: SparkSession, path: str | list[str]) -> DataFrame:
-        """Parsed and selected lines of a listing; only unread ones keep their text."""
-        parsed = listing.parse_listing(listing.scan_listing(spark, path))
+    def lines(self, spark: SparkSession, path: str | list[str], intake: int = 1) -> DataFrame:
+        """Parsed and selected lines of a listing; only unread ones keep their text.
+
+        Lines of a later intake are numbered behind those of all before it.
+        """
+        bad = listing.header_problems(spark, path).take(1)
+        if bad:
+            raise ValueError(f"{bad[0].src_file} holds {bad[0].headers} header lines instead of one")
+        scanned = listing.scan_listing(spark, path)
+        scanned = scanned.withColumn("line_no", F.col("line_no") + F.lit((intake - 1) << INTAKE_BITS))
+        parsed = listing.parse_listing(scanned)
         keep = ("domain", "url_key")
         keyed = urls.with_url_parts(parsed, "url_origin", self.merge_www, self.embedded, keep)
         unread = F.col("verdict").isin("faulty", "malformed")
         return self.selected(keyed).withColumn("line", F.when(unread, F.col("line")))
 
+    def all_lines(self, spark: SparkSession, path: str | list[str], ledger: Ledger) -> tuple[DataFrame, int]:
+        """Stored lines of all intakes, and how many there are. Only new files are read."""
+        intakes = ledger.take_in(listing.listing_files(spark, path))
+        tables = []
+        for k in range(1, intakes + 1):
+            # as many rows as the listing has files
+            names = [r.src_file for r in spark.read.parquet(ledger.stage_path(f"files-{k}")).collect()]
+            tables.append(ledger.run_stage(f"lines-{k}", lambda k=k, names=names: self.lines(spark, names, k)))
+        lines = reduce(DataFrame.unionByName, tables)
+        # the first lines of all intakes are among the first lines of each
+        return (filters.limit_captures(lines, self.limit) if self.limit else lines), intakes
+
     def captures(self, parsed: DataFrame) -> DataFrame:
         return listing.to_captures(parsed, self.merge_www, self.embedded)
 
@@ -116,33 +141,38 @@ class CaptureJob:
 
         Every run lays earlier results over the captures, those of ``results_path`` or of
         the last run, works on the captures still open, and writes all results anew. With
-        a payload table that has grown, a further run so takes up what was missing.
+        a payload table that has grown, a further run so takes up what was missing. Files that
+        came to the listing are read and join the lines of earlier runs, so the versions are
+        those of one run over all files; a listing that lost or changed a file is refused.
         """
         ledger = Ledger(spark, root, self.job_id)
-        lines = ledger.run_stage("lines", lambda: self.lines(spark, listing_path))
-        kept = ledger.run_stage("versions", lambda: self.versions(self.captures(lines)))
-        numbered = ledger.run_stage("numbered", lambda: versions.enumerate_captures(kept))
+        lines, intakes = self.all_lines(spark, listing_path, ledger)
+        kept = ledger.run_stage(f"versions-{intakes}", lambda: self.versions(self.captures(lines)))
+        numbered = ledger.run_stage(f"numbered-{intakes}", lambda: versions.enumerate_captures(kept))
 
         number = ledger.runs() + 1
         earlier = results_path or (ledger.stage_path(f"results/run={number - 1}") if number > 1 else None)
         results = result_source.scan_results(spark, earlier) if earlier else None
-        rows = ledger.run_stage(f"overlaid-{number}", lambda: self.overlaid(numbered, results))
+        # what a run that died left behind counts only for the same inputs
+        tag = f"{number}-{intakes}"
+        rows = ledger.run_stage(f"overlaid-{tag}", lambda: self.overlaid(numbered, results))
         final = rows
         if payloads is not None:
-            index = ledger.run_stage(f"index-{number}", lambda: fetched.payload_index(payloads))
+            tag = f"{tag}-{payload_source.fingerprint(payloads)}"
+            index = ledger.run_stage(f"index-{tag}", lambda: fetched.payload_index(payloads))
             twice = payload_source.repeated_addresses(index).take(1)
             if twice:
                 raise ValueError(
                     f"{twice[0].url_archive} has {twice[0].payloads} payloads; "
                     "choose one with one_per_address when the payload table is made"
                 )
-            done = ledger.run_stage(f"outcomes-{number}", lambda: self.outcomes(rows, index))
+            done = ledger.run_stage(f"outcomes-{tag}", lambda: self.outcomes(rows, index))
             files = fetched.stored_files(done, payloads)
             tree.write_snapshot_tree(files, ledger.stage_path(f"tree/run={number}"))
-            final = ledger.run_stage(f"final-{number}", lambda: overlay.apply_outcomes(rows, done))
+            final = ledger.run_stage(f"final-{tag}", lambda: overlay.apply_outcomes(rows, done))
         written = ledger.stage_path(f"results/run={number}")
         result_source.write_results(final, written)
-        tables = JobTables(lines, numbered, final, ledger, written)
+        tables = JobTables(self, lines, numbered, rows, final, ledger, written)
         counts = report.counts(final)
         text = report_columns.progress_text(F.col("handled"), F.col("total")).alias("progress")
         state = counts.select("total", text).first()
@@ -154,8 +184,10 @@ class CaptureJob:
 class JobTables:
     """Tables of a run and the reports over them."""
 
+    job: CaptureJob
     lines: DataFrame
     versions: DataFrame
+    overlaid: DataFrame
     final: DataFrame
     ledger: Ledger
     results_path: str
@@ -166,8 +198,8 @@ class JobTables:
     def summary(self) -> DataFrame:
         return report.job_summary(self.final)
 
-    def funnel(self, mode: str = "last") -> DataFrame:
-        return report.capture_funnel(self.lines, mode)
+    def funnel(self) -> DataFrame:
+        return report.capture_funnel(self.lines, self.job.mode, self.job.skip_first, self.overlaid)
 
     def too_long(self, root: str = "", limit: int = paths.PATH_LIMIT) -> DataFrame:
         files = self.final.where(filters.has_file()).withColumn("rel_path", F.col("file"))

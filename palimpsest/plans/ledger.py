@@ -15,7 +15,8 @@ class Ledger:
 
     A stage is written as parquet and entered into the record only after its commit, so a
     run that dies half way repeats just the stage it was in. Writing a stage also cuts the
-    lineage: later stages read files and never recompute what came before.
+    lineage: later stages read files and never recompute what came before. Runs of one job
+    are to follow one another: two at a time would write the same stages.
     """
 
     def __init__(self, spark: SparkSession, root: str, job_id: str) -> None:
@@ -34,18 +35,21 @@ class Ledger:
         entry = [(self.job_id, stage, True, rows, progress)]
         self.spark.createDataFrame(entry, LEDGER).coalesce(1).write.mode("append").parquet(self.record_path)
 
+    def _exists(self, path: str) -> bool:
+        """Whether there is such a folder, as the file system that Spark uses says."""
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        system = place.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
+        return system.exists(place)
+
     def entries(self) -> DataFrame:
-        """Last entry per stage of this job."""
-        try:
-            record = self.spark.read.schema(LEDGER).parquet(self.record_path)
-        except Exception as err:  # nothing entered yet
-            if "PATH_NOT_FOUND" not in str(err):
-                raise
+        """The entry of each stage of this job; of repeated ones that with most rows."""
+        if not self._exists(self.record_path):
             return self.spark.createDataFrame([], LEDGER)
+        record = self.spark.read.schema(LEDGER).parquet(self.record_path)
         return (
             record.where(F.col("job_id") == self.job_id)
             .groupBy("job_id", "stage", "done")
-            .agg(F.max("rows").alias("rows"), F.max("progress").alias("progress"))
+            .agg(F.max("rows").alias("rows"), F.max_by("progress", "rows").alias("progress"))
         )
 
     def is_done(self, stage: str) -> bool:
@@ -55,6 +59,28 @@ class Ledger:
         """How many runs of this job have finished."""
         return self.entries().where("stage LIKE 'run-%'").count()
 
+    def take_in(self, files: DataFrame) -> int:
+        """Enter files that earlier runs did not see; how many intakes there are now.
+
+        ``files`` has ``src_file, length, modified``. Every file belongs to one intake, and a
+        stage is built from the files of its intake, so none is read twice and none ignored. A
+        listing that lacks a file of an earlier run, or holds it changed, is refused.
+        """
+        taken = self.entries().where("stage LIKE 'files-%'").count()
+        new = files
+        if taken:
+            known = self.spark.read.schema(files.schema).parquet(
+                *[self.stage_path(f"files-{k}") for k in range(1, taken + 1)]
+            )
+            changed = known.exceptAll(files.select(*known.columns)).take(1)
+            if changed:
+                raise ValueError(f"{changed[0].src_file} was read by an earlier run; it is gone or has changed")
+            new = files.join(known.select("src_file"), "src_file", "left_anti").select(*files.columns)
+            if new.isEmpty():
+                return taken
+        self.run_stage(f"files-{taken + 1}", lambda: new)
+        return taken + 1
+
     def run_stage(self, stage: str, build: Callable[[], DataFrame], progress: str = "") -> DataFrame:
         """The stage's table, built only if no earlier run finished it."""
         path = self.stage_path(stage)

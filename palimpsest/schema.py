@@ -21,6 +21,12 @@ RESULT_FIELDS = [
 # Listed status codes that are final without fetching anything.
 PRESET_CODES = ["301", "404"]
 
+# Characters encoded in paths, those encoded in plain addresses, and those that
+# become dots in a single file name.
+PATH_SPECIALS = [":", "*", "?", "&", "=", "<", ">", "\\", "|", "#", "!", "~"]
+URL_SPECIALS = [":", "*", "?", "&", "=", "<", ">", "\\", "|"]
+NAME_SPECIALS = ["<", ">", ":", '"', "/", "\\", "|", "?", "*", "=", "#", "!", "~"]
+
 
 def _strings(*names: str) -> list[T.StructField]:
     return [T.StructField(n, T.StringType()) for n in names]

@@ -36,11 +36,12 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder shared by all executors")
     named = spark.conf.get("palimpsest.local.dir", None)
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder shared by all executors")
     named = tempfile.mkdtemp(prefix="palimpsest-", dir="/tmp")
     spark.conf.set("palimpsest.local.dir", named)
     return named

@@ -34,17 +34,15 @@ def clean_line(text: Column) -> Column:
 
 
 def scan_listing(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Lines of one or many listings as ``([src_file,] line_no, line)``, headers dropped.
+    """Lines of one or many listings as ``(src_file, line_no, line)``, headers dropped.
 
     ``line_no`` rises with the position inside a file, because Spark numbers rows by
-    partition and plans the splits of a file in offset order. Several files follow each
-    other by name, so their lines carry ``src_file`` as well. Large files are split and
-    read in parallel.
+    partition and plans the splits of a file in offset order. Files follow each other by
+    name. Large files are split and read in parallel.
     """
     raw = spark.read.text(path)
-    several = len(raw.inputFiles()) > 1
-    source = [F.col("_metadata.file_path").alias("src_file")] if several else []
-    numbered = raw.select(*source, F.monotonically_increasing_id().alias("line_no"), "value")
+    source = F.col("_metadata.file_path").alias("src_file")
+    numbered = raw.select(source, F.monotonically_increasing_id().alias("line_no"), "value")
     return (
         numbered.where(~is_header(F.col("value")))
         .withColumn("line", clean_line(F.col("value")))
@@ -52,6 +50,12 @@ def scan_listing(spark: SparkSession, path: str | list[str]) -> DataFrame:
     )
 
 
+def listing_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Names, sizes and times of a listing's files; nothing of their content is read."""
+    found = spark.read.format("binaryFile").load(path)
+    return found.select(F.col("path").alias("src_file"), "length", F.col("modificationTime").alias("modified"))
+
+
 def is_header(text: Column) -> Column:
     """The header opens the listing, so it alone starts with two brackets."""
     return F.ltrim(text).startswith(HEADER_MARK)

@@ -31,6 +31,14 @@ def with_sniffed(payloads: DataFrame) -> DataFrame:
     )
 
 
+def fingerprint(payloads: DataFrame) -> str:
+    """A text that changes with the rows of a payload table, from its narrow columns alone."""
+    row = payloads.agg(
+        F.count(F.lit(1)).alias("rows"), F.bit_xor(F.xxhash64("url_archive", "status", "location")).alias("mix")
+    ).first()
+    return f"{row.rows}-{(row.mix or 0) & 0xFFFFFFFF:08x}"
+
+
 def repeated_addresses(index: DataFrame) -> DataFrame:
     """Addresses with more than one payload; a narrow count that moves no bodies."""
     counts = index.groupBy("url_archive").agg(F.count("*").alias("payloads"))

@@ -61,6 +61,8 @@ def _arrival(captures: DataFrame, sign: int) -> list:
 
 
 def _winner(captures: DataFrame, keys: list[str], mode: str) -> DataFrame:
+    if mode not in ("first", "last"):
+        raise ValueError(f"a stream keeps the first or the last version of a file, not {mode!r}")
     value = F.struct("timestamp", "scid", *[c for c in CARRIED if c not in keys])
     # latest time, then first arrival; or earliest time, then first arrival
     if mode == "last":

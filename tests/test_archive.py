@@ -130,3 +130,14 @@ def test_save_answers(spark):
     args = [F.col(c) for c in ("status", "location", "ts")]
     got = df.select("want", "wait", report.classify_save_response(*args).alias("g"), report.save_wait_minutes(*args).alias("w")).collect()
     assert [(r.g, r.w) for r in got] == [(r.want, r.wait) for r in got]
+
+
+def test_bodies_of_one_batch_beyond_two_gigabytes(spark):
+    import gzip
+
+    packed = gzip.compress(b"x" * (1 << 20))
+    rows = spark.range(2200).repartition(1).select(
+        F.col("id").cast("string").alias("url_archive"), F.lit("gzip").alias("encoding"), F.lit(packed).alias("body")
+    )
+    sizes = content.decode_payload(rows).select(F.octet_length("body").alias("n"), "decode_ok")
+    assert [tuple(r) for r in sizes.groupBy("n", "decode_ok").count().collect()] == [(1 << 20, True, 2200)]

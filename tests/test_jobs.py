@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from palimpsest.plans.job import CaptureJob
 from palimpsest.plans.ledger import Ledger
 from palimpsest.schema import PAYLOADS
+from palimpsest.sources import payloads as payload_source
 from palimpsest.sources import results, tree
 from palimpsest import session
 
@@ -59,12 +60,14 @@ def test_run_rerun_and_resume(spark, folder):
     }
     assert final_rows(tables) == want
     funnel = tables.funnel().first().asDict()
-    assert funnel == dict(total=8, faulty=1, malformed=0, mailto=1, duplicates=1, versions=1, kept=4, skip_statuscode=1, to_utilize=3)
+    assert funnel == dict(total=8, faulty=1, malformed=0, mailto=1, duplicates=1, versions=1, kept=4, skip_statuscode=1, skip_existing=0, to_utilize=3)
     assert tables.status().first().asDict() == dict(task="done", current=3, total=4, progress="75%")
     assert tables.summary().first().asDict() == dict(downloaded=2, skipped=2)
+    print_of = "2-" + payload_source.fingerprint(payloads(spark)).split("-")[1]
     stages = {r.stage: r.rows for r in tables.ledger.entries().collect()}
     assert stages == {
-        "lines": 8, "versions": 4, "numbered": 4, "overlaid-1": 4, "index-1": 2, "outcomes-1": 2, "final-1": 4, "run-1": 4,
+        "files-1": 1, "lines-1": 8, "versions-1": 4, "numbered-1": 4, "overlaid-1-1": 4, f"index-1-1-{print_of}": 2,
+        f"outcomes-1-1-{print_of}": 2, f"final-1-1-{print_of}": 4, "run-1": 4,
     }
     assert tables.ledger.entries().where("stage = 'run-1'").first().progress == "3 / 4"
     stored = spark.read.parquet(tables.ledger.stage_path("tree/run=1")).collect()
@@ -73,17 +76,25 @@ def test_run_rerun_and_resume(spark, folder):
         ("a.com", "a.com/moved.html"): b"<html>about",
     }
 
-    # a rerun finds the selection done, even with its listing gone, and changes nothing
-    again = job.run(spark, folder + "/no-such-listing", root, payloads(spark))
+    # a rerun finds the selection done and changes nothing
+    again = job.run(spark, path, root, payloads(spark))
     assert final_rows(again) == want
-    assert spark.read.parquet(again.ledger.stage_path("outcomes-2")).count() == 0
+    assert again.funnel().first().skip_existing == 2 and again.funnel().first().to_utilize == 1
+    assert spark.read.parquet(again.ledger.stage_path(f"outcomes-2-1-{print_of}")).count() == 0
+
+    # another listing, or a changed one, is not taken for the one that was read
+    other = os.path.join(folder, "b.cdx")
+    with open(other, "w") as out:
+        out.write(HEADER + '\n["20240101000000","D","text/html","200","http://b.com/"]]')
+    with pytest.raises(ValueError, match="gone or has changed"):
+        job.run(spark, other, root, payloads(spark))
 
     # payloads that came later close what was open; places taken stay taken
     late = spark.createDataFrame(
         [(at("20240101000000", "http://a.com/open"), 302, at("20240201000000", "http://www.a.com/about"), None, None)],
         PAYLOADS,
     )
-    more = job.run(spark, folder + "/no-such-listing", root, payloads(spark).unionByName(late))
+    more = job.run(spark, path, root, payloads(spark).unionByName(late))
     assert final_rows(more) == {**want, "http://a.com/open": ("302", "a.com/open.html")}
     assert [r.rel_path for r in spark.read.parquet(more.ledger.stage_path("tree/run=3")).collect()] == ["a.com/open.html"]
 
@@ -91,7 +102,12 @@ def test_run_rerun_and_resume(spark, folder):
     assert results.scan_results(spark, tables.results_path).count() == 3
     third = job.run(spark, path, folder + "/second", payloads(spark), tables.results_path)
     assert final_rows(third) == want
-    assert spark.read.parquet(third.ledger.stage_path("outcomes-1")).count() == 0
+    assert spark.read.parquet(third.ledger.stage_path(f"outcomes-1-1-{print_of}")).count() == 0
+
+    # files that came to the listing join it
+    wider = job.run(spark, [path, other], root, payloads(spark))
+    assert set(final_rows(wider)) == {*want, "http://b.com/"}
+    assert wider.lines.count() == 9 and wider.funnel().first().kept == wider.versions.count() == 5
 
 
 def test_a_run_that_died_goes_on(spark, folder, monkeypatch):
@@ -100,7 +116,7 @@ def test_a_run_that_died_goes_on(spark, folder, monkeypatch):
     with pytest.raises(RuntimeError):
         CaptureJob().run(spark, path, root, payloads(spark))
     monkeypatch.undo()
-    tables = CaptureJob().run(spark, folder + "/no-such-listing", root, payloads(spark))
+    tables = CaptureJob().run(spark, path, root, payloads(spark))
     assert final_rows(tables)["http://a.com/moved"] == ("302", "a.com/moved.html")
     assert tables.ledger.runs() == 1
     assert spark.read.parquet(tables.ledger.stage_path("tree/run=1")).count() == 2
@@ -127,6 +143,39 @@ def test_a_stage_that_failed_is_built_again(spark, folder):
     assert not Ledger(spark, folder, "other").is_done("s")
 
 
+def test_funnels_of_all_options(spark, folder):
+    path = listing_file(folder)
+    for mode in ("all", "first", "last"):
+        for skip_first in (False, True):
+            tables = CaptureJob(mode=mode, skip_first=skip_first).run(spark, path, folder + "/run")
+            funnel = tables.funnel().first()
+            assert funnel.kept == tables.versions.count()
+            assert funnel.to_utilize == tables.final.where("response IS NULL").count()
+            gone = funnel.faulty + funnel.malformed + funnel.mailto + funnel.duplicates + funnel.versions
+            assert funnel.total == gone + funnel.kept + (funnel.skip_statuscode if skip_first else 0)
+
+
+def test_a_site_in_a_job_that_tells_hosts_apart(spark, folder):
+    job = CaptureJob(url="a.com", merge_www=False)
+    found = job.run(spark, listing_file(folder), folder + "/run").versions.collect()
+    assert {r.url_key for r in found} >= {"www.a.com/about", "a.com/about"}
+
+
+def test_limit_over_files(spark, folder):
+    for name, days in (("b.cdx", ("01",)), ("a.cdx", ("02", "03", "04"))):
+        with open(os.path.join(folder, name), "w") as out:
+            out.write("\n".join([HEADER] + [f'["202401{d}000000","D","m","200","http://a.com/{name}{d}"],' for d in days]))
+    found = CaptureJob(limit=2).run(spark, folder, folder + "-run").versions.collect()
+    assert {r.url_origin for r in found} == {"http://a.com/a.cdx02", "http://a.com/a.cdx03"}
+
+
+def test_a_listing_without_header_is_refused(spark, folder):
+    with open(os.path.join(folder, "a.cdx"), "w") as out:
+        out.write('["20240101000000","D","m","200","http://a.com/"]]')
+    with pytest.raises(ValueError, match="header"):
+        CaptureJob().run(spark, folder, folder + "-run")
+
+
 def test_job_ids(spark):
     base = CaptureJob(url="a.com")
     assert base.job_id == CaptureJob(url="a.com").job_id

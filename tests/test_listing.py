@@ -70,7 +70,7 @@ def test_scan_keeps_the_order_of_one_split_file(spark, folder, conf):
     lines[-1] = lines[-1][:-1] + "]"
     path = write(folder, "one.cdx", lines)
     scanned = listing.scan_listing(spark, path)
-    assert scanned.columns == ["line_no", "line"]
+    assert scanned.columns == ["src_file", "line_no", "line"]
     assert scanned.rdd.getNumPartitions() > 4
     parsed = listing.parse_listing(scanned).orderBy("line_no").collect()
     assert [r.url_origin for r in parsed] == [f"http://a.com/{i}" for i in range(2000)]
