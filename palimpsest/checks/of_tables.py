@@ -71,6 +71,146 @@ def job_filter_url_apart(spark, sf):
     return job.captures(job.selected(keyed)).select("scid", "url_origin")
 
 
+@query("count_cdx_rows", o.stmt(o.LISTING, "SELECT count(*) AS listing_rows FROM raw"))
+def count_cdx_rows(spark, sf):
+    return listing.count_rows(listing.scan_listing(spark, _listing_files(spark, sf)))
+
+
+@query(
+    "parse_cdx",
+    o.stmt(o.CAPTURED, "SELECT line_no, timestamp, digest, mimetype, statuscode, url_origin, verdict FROM parsed"),
+)
+def parse_cdx(spark, sf):
+    return d.parsed(spark, sf).drop("line")
+
+
+@query("quarantine", o.stmt(o.CAPTURED, "SELECT line_no, line, verdict FROM parsed WHERE verdict IN ('faulty', 'malformed')"))
+def quarantine(spark, sf):
+    return listing.quarantine(d.parsed(spark, sf))
+
+
+@query("drop_faulty", o.stmt(o.CAPTURED, "SELECT line_no, url_origin FROM parsed WHERE verdict NOT IN ('faulty', 'malformed')"))
+def drop_faulty(spark, sf):
+    return listing.drop_faulty(d.parsed(spark, sf)).select("line_no", "url_origin")
+
+
+@query("drop_mailto", o.stmt(o.CAPTURED, "SELECT line_no, url_origin FROM parsed WHERE url_origin NOT ILIKE 'mailto%'"))
+def drop_mailto(spark, sf):
+    return listing.drop_mailto(d.parsed(spark, sf)).select("line_no", "url_origin")
+
+
+@query("land_captures", o.stmt(o.CAPTURED, f"SELECT domain, {CAPTURE_SQL} FROM captures"))
+def land_captures(spark, sf):
+    path = scratch_path(spark, "captures")
+    listing.land_captures(d.captures(spark, sf), path)
+    return spark.read.parquet(path).select("domain", *CAPTURE_COLUMNS)
+
+
+# ---------------------------------------------------------------- results, tree, ledger
+
+
+@query(
+    "write_results",
+    o.stmt(
+        o.WORK,
+        "SELECT timestamp, url_archive, url_origin, redirect_url, redirect_timestamp, response, file FROM worked WHERE response IS NOT NULL",
+    ),
+)
+def write_results(spark, sf):
+    return results.result_rows(d.worked(spark, sf))
+
+
+@query(
+    "scan_results",
+    o.stmt(
+        [*o.DISTINCTS, o.EARLIER],
+        "SELECT timestamp, url_archive, url_origin, redirect_url, redirect_timestamp, response, file FROM earlier",
+    ),
+)
+def scan_results(spark, sf):
+    path = scratch_path(spark, "results")
+    results.write_results(d.earlier_results(spark, sf), path)
+    return results.scan_results(spark, path).drop("src_file", "csv_line")
+
+
+@query(
+    "write_snapshot_tree",
+    o.stmt([*o.KEPT, o.PAYLOADS], "SELECT domain, url_key AS rel_path, md5(body) AS body_md5 FROM kept JOIN payloads USING (url_archive)"),
+)
+def write_snapshot_tree(spark, sf):
+    path = scratch_path(spark, "tree")
+    kept = d.kept(spark, sf).join(d.payloads(spark, sf), "url_archive")
+    tree.write_snapshot_tree(kept.withColumn("rel_path", F.col("url_key")), path)
+    stored = spark.read.schema("domain string, rel_path string, body binary").parquet(path)
+    return stored.select("domain", "rel_path", F.md5("body").alias("body_md5"))
+
+
+@query(
+    "stage_ledger",
+    o.stmt(
+        o.KEPT,
+        """SELECT 'captures' AS stage, true AS done, count(*) AS rows, 2 AS asked, 1 AS built FROM captures
+        UNION ALL SELECT 'versions', true, count(*), 2, 1 FROM kept""",
+    ),
+)
+def stage_ledger(spark, sf):
+    """Every stage is asked for twice and built once."""
+    ledger = Ledger(spark, scratch_path(spark, "ledger"), CaptureJob().job_id)
+    built = {"captures": 0, "versions": 0}
+
+    def stage(name, build):
+        def counted():
+            built[name] += 1
+            return build()
+
+        return ledger.run_stage(name, counted)
+
+    for _ in range(2):
+        captures = stage("captures", lambda: d.captures(spark, sf))
+        stage("versions", lambda: versions.keep_versions(captures, "last"))
+    times = F.create_map(*[F.lit(v) for pair in built.items() for v in pair])
+    return ledger.entries().select(
+        "stage", "done", "rows", F.lit(2).alias("asked"), F.element_at(times, F.col("stage")).alias("built")
+    )
+
+
+# ---------------------------------------------------------------- filters
+
+
+def _filtered(name: str, sql_where: str, fn) -> None:
+    @query(name, o.stmt(o.CAPTURED, f"SELECT {CAPTURE_SQL} FROM captures WHERE {sql_where}"))
+    def run(spark, sf):
+        return fn(d.captures(spark, sf)).select(*CAPTURE_COLUMNS)
+
+
+_filtered(
+    "filter_time",
+    "timestamp >= '20240105' AND left(timestamp, 8) <= '20240120'",
+    lambda df: filters.filter_time(df, "20240105", "20240120"),
+)
+_filtered("filter_statuscode", "statuscode IN ('200', '302')", lambda df: filters.filter_statuscode(df, ["200", "302"]))
+_filtered(
+    "filter_filetype",
+    "ends_with(url_origin, '.html') OR ends_with(url_origin, '.css')",
+    lambda df: filters.filter_filetype(df, ["HTML", "css"]),
+)
+
+
+@query(
+    "filter_range",
+    o.stmt(
+        o.CAPTURED,
+        f"""SELECT {CAPTURE_SQL} FROM (SELECT * REPLACE (CAST(left(timestamp, 4) AS INTEGER) - scid % 5 || substr(timestamp, 5) AS timestamp)
+          FROM captures) WHERE CAST(left(timestamp, 4) AS INTEGER) >= 2023""",
+    ),
+)
+def filter_range(spark, sf):
+    """Captures dealt over five years, of which the cut leaves some."""
+    year = F.left("timestamp", F.lit(4)).cast("int") - F.col("scid") % 5
+    dealt = d.captures(spark, sf).withColumn("timestamp", F.concat(year.cast("string"), F.substr("timestamp", F.lit(5))))
+    return filters.filter_range(dealt, 2, date(2025, 6, 1)).select(*CAPTURE_COLUMNS)
+
+
 _SITE = "blog.tionsh.example.net"
 _canon = f"domain || rtrim({o.path('split_part(url_origin, chr(58) || chr(47) || chr(47), 2)')}, '/')"
 _filtered(
