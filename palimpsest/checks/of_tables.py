@@ -44,7 +44,9 @@ def _listing_files(spark, sf) -> list[str]:
     body = lines.select(
         F.when(F.col("line_no") < d.LATER, early).otherwise(FILES - 1).alias("file"), "line_no", closed.alias("value")
     )
-    headers = spark.range(FILES).select(F.col("id").alias("file"), F.lit(-1).cast("long"), F.lit(HEADER))
+    headers = spark.range(FILES).select(
+        F.col("id").alias("file"), F.lit(-1).cast("long").alias("line_no"), F.lit(HEADER).alias("value")
+    )
     rows = headers.union(body).repartition("file").sortWithinPartitions("file", "line_no")
     rows.select("file", "value").write.partitionBy("file").text(path)
     return [f"{path}/file={k}" for k in range(FILES)]
