@@ -27,6 +27,32 @@ def payload_index(payloads: DataFrame) -> DataFrame:
     )
 
 
+def narrow_index(payloads: DataFrame) -> DataFrame:
+    """Status and location per address, and ``is_html`` where the table holds it, else NULL.
+
+    Enough to follow redirects; no body is read.
+    """
+    html = F.col("is_html") if "is_html" in payloads.columns else F.lit(None).cast("boolean").alias("is_html")
+    return payloads.select("url_archive", "status", "location", html)
+
+
+def wanted_bodies(payloads: DataFrame, addresses: DataFrame) -> DataFrame:
+    """Unpacked bodies of the addresses that will be written, with ``is_html``.
+
+    ``addresses`` is a stored table of one column: small enough, it is sent to the bodies, and a
+    table bucketed by address is read without a shuffle. Only bodies that are left are unpacked.
+    """
+    goals = addresses.toDF("url_archive")
+    left = content.decode_payload(payloads.join(goals, "url_archive", "left_semi"))
+    return left.select("url_archive", "body", content.is_html(F.col("body")).alias("is_html"))
+
+
+def with_sniffed(followed: DataFrame, bodies: DataFrame) -> DataFrame:
+    """``followed`` with ``is_html`` of the body each row ends at."""
+    known = bodies.select(F.col("url_archive").alias("body_address"), "is_html")
+    return followed.drop("is_html").join(known, "body_address", "left")
+
+
 def attach_payloads(captures: DataFrame, payloads: DataFrame) -> DataFrame:
     """Give every open capture its payload; ``payloads`` has one row per address.
 
@@ -137,14 +163,14 @@ def without_redirects(attached: DataFrame) -> DataFrame:
     )
 
 
-def with_output_path(captures: DataFrame, mode: str, merge_www: bool = True) -> DataFrame:
+def with_output_path(captures: DataFrame, mode: str, merge_www: bool = True, embedded: str = "cut") -> DataFrame:
     """Add ``rel_path``, the place below the output root; mode ``all`` adds a time level.
 
     Rows without key get it from the address inside their archive address.
     """
     key = F.coalesce(
         F.nullif(F.col("url_key"), F.lit("")),
-        urls.url_key(archive.url_from_archive(F.col("url_archive")), merge_www),
+        urls.url_key(archive.url_from_archive(F.col("url_archive")), merge_www, embedded),
     )
     stamp = F.col("timestamp") if mode == "all" else None
     return captures.withColumn("rel_path", paths.output_path(key, stamp))
@@ -219,7 +245,13 @@ def write_once(files: DataFrame, stored: DataFrame | None = None) -> DataFrame:
     return files.join(winners, "scid", "left").withColumn("outcome", outcome).drop("__first")
 
 
-def with_outcomes(fetched: DataFrame, mode: str, stored: DataFrame | None = None) -> DataFrame:
+def with_outcomes(
+    fetched: DataFrame,
+    mode: str,
+    stored: DataFrame | None = None,
+    merge_www: bool = True,
+    embedded: str = "cut",
+) -> DataFrame:
     """Outcome of every capture that has a payload; ``stored`` are paths of earlier runs.
 
     ``fetched`` carries ``status``, ``final_status`` and ``is_html``, no bodies. Adds
@@ -228,7 +260,7 @@ def with_outcomes(fetched: DataFrame, mode: str, stored: DataFrame | None = None
     the narrow rows are stored between the steps.
     """
     had = cut_lineage(fetched.where(F.col("status").isNotNull()), "fetched")
-    good = with_output_path(had.where("final_status = 200"), mode)
+    good = with_output_path(had.where("final_status = 200"), mode, merge_www, embedded)
     placed = paths.add_html_ext(F.col("rel_path"), F.coalesce("is_html", F.lit(False)))
     files = cut_lineage(good.select(*arrival(good), placed.alias("rel_path"), "is_html"), "placed")
     marks = write_once(cut_lineage(settle_conflicts(files, stored), "settled"), stored)
@@ -242,7 +274,7 @@ def with_outcomes(fetched: DataFrame, mode: str, stored: DataFrame | None = None
 
 
 def stored_files(outcomes: DataFrame, payloads: DataFrame) -> DataFrame:
-    """Files to write with their unpacked bodies: the one place where bodies move.
+    """Files to write with their bodies, unpacked if ``payloads`` has an ``encoding``.
 
     Files of the captured address itself are unique by address. With payloads bucketed by
     address their bodies are not shuffled at all. Files a redirect led to may share one
@@ -256,11 +288,13 @@ def stored_files(outcomes: DataFrame, payloads: DataFrame) -> DataFrame:
         F.split_part(F.col("file"), F.lit("/"), F.lit(1)).alias("domain"),
         F.col("file").alias("rel_path"),
     )
-    bodies = payloads.select(F.col("url_archive").alias("body_address"), "encoding", "body")
+    packed = [c for c in ("encoding",) if c in payloads.columns]
+    bodies = payloads.select(F.col("url_archive").alias("body_address"), *packed, "body")
     own = F.col("url_archive") == F.col("body_address")
     led = files.where(~own)
     goals = led.select("body_address").distinct()
     shared = cut_lineage(bodies.join(goals, "body_address", "left_semi"), "targets")
     joined = files.where(own).join(bodies, "body_address").unionByName(led.join(shared, "body_address"))
     # unpacking comes after the joins: a Python step would hide the table's bucketing
-    return content.decode_payload(joined).drop("encoding", "decode_ok", "body_address")
+    plain = content.decode_payload(joined).drop("encoding", "decode_ok") if packed else joined
+    return plain.drop("body_address")

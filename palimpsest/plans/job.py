@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Callable
 from dataclasses import asdict, dataclass
 from datetime import date
 from functools import reduce
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,9 +17,11 @@ from palimpsest.functions import paths, urls
 from palimpsest.functions import report as report_columns
 from palimpsest.operators import fetched, filters, overlay, report, versions
 from palimpsest.plans.ledger import Ledger
+from palimpsest.session import cut_lineage
 from palimpsest.sources import listing, tree
 from palimpsest.sources import payloads as payload_source
 from palimpsest.sources import results as result_source
+from palimpsest.streaming.progress import notify
 
 
 # Spark numbers the rows of one scan below this many bits; intakes are numbered above them.
@@ -108,20 +112,30 @@ class CaptureJob:
     def versions(self, captures: DataFrame) -> DataFrame:
         return versions.keep_versions(captures, self.mode, self.skip_first)
 
-    def outcomes(self, captures: DataFrame, index: DataFrame) -> DataFrame:
+    def outcomes(
+        self,
+        captures: DataFrame,
+        index: DataFrame,
+        bodies: Callable[[DataFrame], DataFrame] | None = None,
+    ) -> DataFrame:
         """Outcome of every open capture that the payload index knows.
 
-        Files that captures already have are places taken.
+        Files that captures already have are places taken. ``bodies`` is asked for the addresses
+        that files will be made of, when the index does not know which are HTML.
         """
         joined = fetched.attach_payloads(captures, index)
         if self.redirects:
             joined = fetched.follow_redirects(joined, index)
         else:
             joined = fetched.without_redirects(joined)
+        if bodies is not None:
+            joined = cut_lineage(joined, "followed")
+            goals = joined.where("final_status = 200").select("body_address").distinct()
+            joined = fetched.with_sniffed(joined, bodies(cut_lineage(goals, "goals")))
         stored = None
         if "file" in captures.columns:
             stored = captures.where(filters.has_file()).select(F.col("file").alias("rel_path"))
-        return fetched.with_outcomes(joined, self.mode, stored)
+        return fetched.with_outcomes(joined, self.mode, stored, self.merge_www, self.embedded)
 
     def overlaid(self, captures: DataFrame, results: DataFrame | None = None) -> DataFrame:
         """Captures with the results of earlier runs laid over them."""
@@ -136,6 +150,8 @@ class CaptureJob:
         root: str,
         payloads: DataFrame | None = None,
         results_path: str | None = None,
+        export_root: str | None = None,
+        progress: Callable[[dict[str, Any]], None] | None = None,
     ) -> JobTables:
         """Run stage by stage below ``root``; stages an earlier run finished are kept.
 
@@ -144,6 +160,9 @@ class CaptureJob:
         a payload table that has grown, a further run so takes up what was missing. Files that
         came to the listing are read and join the lines of earlier runs, so the versions are
         those of one run over all files; a listing that lost or changed a file is refused.
+
+        ``export_root`` also gets the stored files one by one. ``progress`` is called with the
+        status before and after payloads are taken up.
         """
         ledger = Ledger(spark, root, self.job_id)
         lines, intakes = self.all_lines(spark, listing_path, ledger)
@@ -156,23 +175,41 @@ class CaptureJob:
         # what a run that died left behind counts only for the same inputs
         tag = f"{number}-{intakes}"
         rows = ledger.run_stage(f"overlaid-{tag}", lambda: self.overlaid(numbered, results))
-        final = rows
+        final, done = rows, None
+
+        def tell(task: str, captures: DataFrame) -> None:
+            if progress is not None:
+                for row in report.job_status(captures, task).take(1):
+                    notify(progress, row.asDict())
+
+        tell("select", rows)
         if payloads is not None:
             tag = f"{tag}-{payload_source.fingerprint(payloads)}"
-            index = ledger.run_stage(f"index-{tag}", lambda: fetched.payload_index(payloads))
+            index = ledger.run_stage(f"index-{tag}", lambda: fetched.narrow_index(payloads))
             twice = payload_source.repeated_addresses(index).take(1)
             if twice:
                 raise ValueError(
                     f"{twice[0].url_archive} has {twice[0].payloads} payloads; "
                     "choose one with one_per_address when the payload table is made"
                 )
-            done = ledger.run_stage(f"outcomes-{tag}", lambda: self.outcomes(rows, index))
-            files = fetched.stored_files(done, payloads)
-            tree.write_snapshot_tree(files, ledger.stage_path(f"tree/run={number}"))
+            sniffed = "is_html" in payloads.columns
+
+            def bodies(goals: DataFrame) -> DataFrame:
+                return ledger.run_stage(f"bodies-{tag}", lambda: fetched.wanted_bodies(payloads, goals))
+
+            done = ledger.run_stage(
+                f"outcomes-{tag}", lambda: self.outcomes(rows, index, None if sniffed else bodies)
+            )
+            plain = payloads if sniffed else spark.read.parquet(ledger.stage_path(f"bodies-{tag}"))
+            files = fetched.stored_files(done, plain)
+            tree.write_snapshot_tree(files, ledger.stage_path(f"tree/run={number}"), self.mode == "all")
+            if export_root:
+                tree.export_files(files, export_root)
             final = ledger.run_stage(f"final-{tag}", lambda: overlay.apply_outcomes(rows, done))
+            tell("download", final)
         written = ledger.stage_path(f"results/run={number}")
         result_source.write_results(final, written)
-        tables = JobTables(self, lines, numbered, rows, final, ledger, written)
+        tables = JobTables(self, lines, numbered, rows, done, final, ledger, written)
         counts = report.counts(final)
         text = report_columns.progress_text(F.col("handled"), F.col("total")).alias("progress")
         state = counts.select("total", text).first()
@@ -188,6 +225,7 @@ class JobTables:
     lines: DataFrame
     versions: DataFrame
     overlaid: DataFrame
+    outcomes: DataFrame | None
     final: DataFrame
     ledger: Ledger
     results_path: str
@@ -201,6 +239,12 @@ class JobTables:
     def funnel(self) -> DataFrame:
         return report.capture_funnel(self.lines, self.job.mode, self.job.skip_first, self.overlaid)
 
+    def outcome_lines(self) -> DataFrame:
+        """A line of text per capture that was taken up, by its number; needs payloads."""
+        if self.outcomes is None:
+            raise ValueError("the run had no payloads")
+        return report.outcome_lines(self.outcomes, self.final.count())
+
     def too_long(self, root: str = "", limit: int = paths.PATH_LIMIT) -> DataFrame:
         files = self.final.where(filters.has_file()).withColumn("rel_path", F.col("file"))
         return fetched.flag_long_paths(files, limit, root).where("too_long")

@@ -1,4 +1,4 @@
-"""Stored files, as a table laid out by domain or as loose files."""
+"""Stored files, as a table clustered by domain or as loose files."""
 
 from __future__ import annotations
 
@@ -10,18 +10,26 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 
-def write_snapshot_tree(stored: DataFrame, path: str, by_timestamp: bool = False) -> None:
-    """Write ``(domain, [timestamp,] rel_path, body)`` as parquet below ``domain=``.
+# Folders of the table, and tasks that write to each.
+PARTS = 256
+WRITERS = 8
 
-    Rows are range partitioned by domain and path first: a task then opens few folders,
-    and a domain that holds much of the data is shared among many tasks.
+
+def write_snapshot_tree(stored: DataFrame, path: str, by_timestamp: bool = False, parts: int = PARTS) -> None:
+    """Write ``(domain, [timestamp,] rel_path, body)`` as parquet below ``part=``.
+
+    A domain lies in one of ``parts`` folders, sorted by domain, time and path, so that the number of
+    folders does not grow with the web. Rows are dealt by hashes, which need no second look at
+    the bodies; a domain that holds much of the data is shared among ``WRITERS`` tasks.
     """
     levels = ["domain", "timestamp"] if by_timestamp else ["domain"]
+    part = F.pmod(F.xxhash64("domain"), F.lit(parts)).alias("part")
     (
-        stored.select(*levels, "rel_path", "body")
-        .repartitionByRange(*levels, "rel_path")
+        stored.select(part, *levels, "rel_path", "body")
+        .repartition(F.col("part"), F.pmod(F.xxhash64("rel_path"), F.lit(WRITERS)))
+        .sortWithinPartitions("part", *levels, "rel_path")
         .write.mode("overwrite")
-        .partitionBy(*levels)
+        .partitionBy("part")
         .parquet(path)
     )
 

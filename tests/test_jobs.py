@@ -66,7 +66,7 @@ def test_run_rerun_and_resume(spark, folder):
     print_of = "2-" + payload_source.fingerprint(payloads(spark)).split("-")[1]
     stages = {r.stage: r.rows for r in tables.ledger.entries().collect()}
     assert stages == {
-        "files-1": 1, "lines-1": 8, "versions-1": 4, "numbered-1": 4, "overlaid-1-1": 4, f"index-1-1-{print_of}": 2,
+        "files-1": 1, "lines-1": 8, "versions-1": 4, "numbered-1": 4, "overlaid-1-1": 4, f"index-1-1-{print_of}": 2, f"bodies-1-1-{print_of}": 1,
         f"outcomes-1-1-{print_of}": 2, f"final-1-1-{print_of}": 4, "run-1": 4,
     }
     assert tables.ledger.entries().where("stage = 'run-1'").first().progress == "3 / 4"
@@ -213,7 +213,8 @@ def test_loose_files(spark, folder):
 def test_tree_by_timestamp(spark, folder):
     rows = [("a.com", "2024", "a.com/2024/x", bytearray(b"1"))]
     tree.write_snapshot_tree(spark.createDataFrame(rows, "domain string, timestamp string, rel_path string, body binary"), folder + "/t", by_timestamp=True)
-    assert os.path.isdir(folder + "/t/domain=a.com/timestamp=2024")
+    assert [d for d in os.listdir(folder + "/t") if "=" in d][0].startswith("part=")
+    assert spark.read.parquet(folder + "/t").select("domain", "timestamp", "rel_path").collect() == [("a.com", "2024", "a.com/2024/x")]
 
 
 def test_shared_folder_comes_from_the_session(spark):
@@ -230,3 +231,22 @@ def test_shell_options():
     for wrong in (["in", "out"], ["in", "out", "--first", "--last"]):
         with pytest.raises(SystemExit):
             parse(wrong)
+
+
+def test_loose_files_progress_and_lines_of_a_run(spark, folder):
+    seen = []
+    tables = CaptureJob().run(
+        spark, listing_file(folder), folder + "/run", payloads(spark), export_root=folder + "/out", progress=seen.append
+    )
+    assert [(s["task"], s["current"], s["total"]) for s in seen] == [("select", 1, 4), ("download", 3, 4)]
+    assert open(folder + "/out/a.com/about.html", "rb").read() == open(folder + "/out/a.com/moved.html", "rb").read()
+    assert len(tables.outcome_lines().collect()) == 2
+
+
+def test_only_wanted_bodies_are_read(spark, folder):
+    from palimpsest.operators import fetched
+
+    rows = payloads(spark)
+    assert "body" not in fetched.narrow_index(rows).columns
+    goals = spark.createDataFrame([(at("20240201000000", "http://www.a.com/about"),)], "body_address string")
+    assert [(r.url_archive, r.is_html) for r in fetched.wanted_bodies(rows, goals).collect()] == [(goals.first()[0], True)]
