@@ -68,18 +68,20 @@ def canonical_address(url: Column) -> Column:
     return F.concat(urls.url_domain(url, embedded="keep"), F.rtrim(path, F.lit("/")))
 
 
-def at_address(url: str, explicit: bool = False, domain: Column | None = None) -> Column:
+def at_address(url: str, explicit: bool = False, domain: Column | None = None, merged: bool = True) -> Column:
     """At one address, or at it and everything below when not ``explicit``.
 
     Host variants are one site here, as in an index, whatever the file keys do with them. The
-    domain test comes on its own: given a stored ``domain``, merged or not, it prunes the scan.
+    domain test comes on its own: given a stored ``domain`` it prunes the scan. ``merged`` says
+    whether host variants share that domain.
     """
     wanted = canonical_address(F.lit(url))
     here = canonical_address(F.col("url_origin"))
     below = F.lit(False) if explicit else here.startswith(F.concat(wanted, F.lit("/")))
     host = urls.url_domain(F.lit(url))
     stored = urls.url_domain(F.col("url_origin")) if domain is None else domain
-    return stored.isin(host, F.concat(F.lit("www."), host)) & ((here == wanted) | below)
+    same = stored == host if merged else stored.isin(host, F.concat(F.lit("www."), host))
+    return same & ((here == wanted) | below)
 
 
 def filter_url(df: DataFrame, url: str, explicit: bool = False) -> DataFrame:

@@ -66,7 +66,7 @@ class CaptureJob:
         asked = F.lit(True)
         if self.url:
             domain = F.col("domain") if "domain" in parsed.columns else None
-            asked = asked & filters.at_address(self.url, self.explicit, domain)
+            asked = asked & filters.at_address(self.url, self.explicit, domain, self.merge_www)
         if self.range_years:
             asked = asked & filters.in_time(filters.range_start(self.range_years, self.as_of))
         else:
