@@ -1,7 +1,7 @@
 """Toxicity by multiple-instance learning: documents are labelled, sentences are scored.
 
-A sentence's logit is the sum of the weights of its words' features: the word, and its parts of a few
-letters, hashed. A document is toxic if one of its sentences is: its probability is the noisy-or
+A sentence's logit is a bias and the weights of its distinct words' features: the word, and its parts of a
+few letters. Features are those that toxic documents hold more often than chance explains. A document is toxic if one of its sentences is: its probability is the noisy-or
 ``1 - prod(1 - p)`` over sentences, and the weights are fitted to document labels through it. Afterwards
 each sentence has a probability of its own, which locates what offends.
 
@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -24,12 +25,14 @@ from palimpsest.llm.work import Batches, cut_lineage, map_arrow, texts
 
 # Bound of the sample: documents of each label, and characters of all of them that one task holds.
 SAMPLE_PER_LABEL = 4000
-SLOTS = 1 << 18
 GRAMS = (4, 5)
-EPOCHS = 80
-RATE = 0.3
-L2 = 1e-5
-# A word holds this many features at most; longer ones are taken from its start.
+# Features that speak for a label by this many standard errors are learned, the strongest up to a bound.
+LEAST_Z = 4.0
+MOST_FEATURES = 8192
+EPOCHS = 200
+RATE = 0.5
+L2 = 1e-4
+# A word's parts are taken from so many letters of its start.
 LONG_WORD = 40
 REMEMBERED = 400_000
 _SENTENCE = re.compile(r"[.!?\n]+")
@@ -48,55 +51,86 @@ def sentences(text: str) -> Iterator[tuple[int, int]]:
 
 
 def features(word: str) -> list[int]:
-    """Slots of a lower-case word and of its parts, each once."""
+    """Hashes of a lower-case word and of its parts, each once."""
     marked = f"<{word[:LONG_WORD]}>"
     parts = {marked} | {marked[i : i + n] for n in GRAMS for i in range(len(marked) - n + 1)}
-    return [zlib.crc32(p.encode()) % SLOTS for p in parts]
+    return [zlib.crc32(p.encode()) for p in parts]
 
 
-def fit(bodies: list[str], labels: list[int]) -> np.ndarray:
-    """Weights by slot, the bias last: gradient steps through the noisy-or."""
+class Model(NamedTuple):
+    """A bias and a weight per feature that was learned."""
+
+    bias: float
+    names: np.ndarray
+    weights: np.ndarray
+
+
+def _chosen(docs: list[np.ndarray], of_word: list[np.ndarray], positive: np.ndarray, n: int) -> np.ndarray:
+    """Features more frequent in positive documents than chance explains, the strongest first."""
+    seen = np.zeros((2, n))
+    for words, label in zip(docs, positive, strict=True):
+        if len(words):
+            seen[int(label), np.unique(np.concatenate([of_word[w] for w in words]))] += 1
+    ones, zeros = positive.sum(), (~positive).sum()
+    share = (seen.sum(axis=0) + 1) / (ones + zeros + 2)
+    z = (seen[1] / ones - seen[0] / zeros) / np.sqrt(share * (1 - share) * (1 / ones + 1 / zeros))
+    strong = np.flatnonzero(z > LEAST_Z)
+    return strong[np.argsort(-z[strong], kind="stable")][:MOST_FEATURES]
+
+
+def fit(bodies: list[str], labels: list[int]) -> Model:
+    """Choose features by documents, then fit their weights by gradient steps through the noisy-or."""
+    nothing = Model(-6.0, np.zeros(0, np.int64), np.zeros(0))
     numbers: dict[str, int] = {}
-    words, sentence_ends, doc_ends = [], [], []
+    words, sentence_ends, doc_ends, by_doc = [], [], [], []
     for body in bodies:
-        low = body.lower()
+        low, start = body.lower(), len(words)
         for a, b in sentences(low):
-            words += [numbers.setdefault(w, len(numbers)) for w in _WORD.findall(low, a, b)]
+            words += [numbers.setdefault(w, len(numbers)) for w in dict.fromkeys(_WORD.findall(low, a, b))]
             sentence_ends.append(len(words))
         doc_ends.append(len(sentence_ends))
-    weights = np.zeros(SLOTS + 1)
-    weights[-1] = -4.0
-    if not sentence_ends or len(set(labels)) < 2:
-        return weights
-    slots = [features(w) for w in numbers]
-    of_word = np.repeat(np.arange(len(slots)), [len(s) for s in slots])
-    slot = np.concatenate([np.array(s, np.int64) for s in slots])
-    word = np.array(words, np.int64)
-    sentence_sizes, doc_sizes = np.diff([0, *sentence_ends]), np.diff([0, *doc_ends])
-    of_sentence = np.repeat(np.arange(len(sentence_ends)), sentence_sizes)
-    of_doc = np.repeat(np.arange(len(doc_ends)), doc_sizes)
+        by_doc.append(np.unique(np.array(words[start:], np.int32)))
     positive = np.array(labels, bool)
-    balance = np.where(positive, 1.0, positive.sum() / max(1, (~positive).sum()))
-    seen = np.zeros_like(weights)
+    if not words or positive.all() or not positive.any():
+        return nothing
+    raw = [np.array(features(w), np.int64) for w in numbers]
+    names, number = np.unique(np.concatenate(raw), return_inverse=True)
+    of_word = np.split(number, np.cumsum([len(r) for r in raw])[:-1])
+    chosen = _chosen(by_doc, of_word, positive, len(names))
+    if not len(chosen):
+        return nothing
+    place = np.full(len(names), -1)
+    place[chosen] = np.arange(len(chosen))
+    # a row per chosen feature of a word's occurrence: few words have any
+    kept = [p[p >= 0] for p in (place[f] for f in of_word)]
+    held = np.array([len(k) for k in kept])
+    word = np.array(words, np.int64)
+    of_sentence = np.repeat(np.arange(len(sentence_ends)), np.diff([0, *sentence_ends]))
+    telling = held[word] > 0
+    feature = np.concatenate([kept[w] for w in word[telling]])
+    sentence = np.repeat(of_sentence[telling], held[word[telling]])
+    of_doc = np.repeat(np.arange(len(doc_ends)), np.diff([0, *doc_ends]))
+    balance = np.where(positive, 1.0, positive.sum() / (~positive).sum())
+    weights = np.zeros(len(chosen) + 1)
+    weights[-1] = nothing.bias
+    squares = np.zeros_like(weights)
     for _ in range(EPOCHS):
-        of_words = np.bincount(of_word, weights[slot], len(slots))
-        logit = weights[-1] + np.bincount(of_sentence, of_words[word], len(sentence_ends))
+        logit = weights[-1] + np.bincount(sentence, weights[feature], len(sentence_ends))
         chance = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
         # -log(1 - p) of a document is the sum over its sentences
         none = np.bincount(of_doc, np.logaddexp(0, logit), len(doc_ends))
         miss = np.exp(-np.clip(none, 1e-6, 50))
         pull = np.where(positive, -miss / (1 - miss), 1.0) * balance
         step = pull[of_doc] * chance
-        by_word = np.bincount(word, step[of_sentence], len(slots))
-        gradient = np.append(np.bincount(slot, by_word[of_word], SLOTS), step.sum())
-        gradient = gradient / len(doc_ends) + L2 * weights
-        seen += gradient**2
-        weights -= RATE * gradient / (np.sqrt(seen) + 1e-9)
-    return weights
+        gradient = np.append(np.bincount(feature, step[sentence], len(chosen)), step.sum())
+        gradient = gradient / len(doc_ends) + L2 * np.append(weights[:-1], 0)
+        squares += gradient**2
+        weights -= RATE * gradient / (np.sqrt(squares) + 1e-9)
+    return Model(float(weights[-1]), names[chosen], weights[:-1])
 
 
-def train(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL) -> np.ndarray:
-    """Weights from documents (``doc_id, text``) and labels (``doc_id, toxic``).
+def train(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL) -> Model:
+    """The model from documents (``doc_id, text``) and labels (``doc_id, toxic``).
 
     Of each label the ``per_label`` documents that come first in a hash of their id are taken. Rows
     without a label, an id or a text are left out; of several labels of a document the higher counts.
@@ -109,24 +143,30 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL)
 
     def run(batches: Batches) -> Batches:
         rows = sorted(r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("doc_id", "toxic", "text"))))
-        weights = fit([r[2] for r in rows], [r[1] for r in rows])
-        yield pa.RecordBatch.from_arrays([pa.array([weights.astype("<f4").tobytes()], pa.binary())], ["weights"])
+        model = fit([r[2] for r in rows], [r[1] for r in rows])
+        columns = [pa.array([model.bias]), pa.array([model.names.tolist()]), pa.array([model.weights.tolist()])]
+        kinds = [pa.float64(), pa.list_(pa.int64()), pa.list_(pa.float64())]
+        yield pa.RecordBatch.from_arrays([c.cast(k) for c, k in zip(columns, kinds)], ["bias", "names", "weights"])
 
     # a bounded number of rows, which one task holds
-    fitted = map_arrow(sample.repartition(1), run, "weights binary")
+    fitted = map_arrow(sample.repartition(1), run, "bias double, names array<long>, weights array<double>")
     rows = cut_lineage(fitted, "toxicity-weights").collect()
-    return np.frombuffer(rows[0]["weights"], "<f4") if rows else fit([], []).astype("<f4")
+    if not rows:
+        return fit([], [])
+    return Model(rows[0]["bias"], np.array(rows[0]["names"], np.int64), np.array(rows[0]["weights"], float))
 
 
 class Scorer:
     """Scores texts with fitted weights, remembering words up to a bound."""
 
-    def __init__(self, weights: np.ndarray) -> None:
-        self.weights, self.bias = weights, float(weights[-1])
+    def __init__(self, model: Model) -> None:
+        self.bias = model.bias
+        self.weights = dict(zip(model.names.tolist(), model.weights.tolist(), strict=True))
         self.words: dict[str, float] = {}
 
     def _word(self, word: str) -> float:
-        logit = float(self.weights[features(word)].sum())
+        get = self.weights.get
+        logit = sum(get(f, 0.0) for f in features(word))
         if len(self.words) < REMEMBERED and len(word) <= LONG_WORD:
             self.words[word] = logit
         return logit
@@ -139,24 +179,23 @@ class Scorer:
             low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
         for a, b in sentences(low):
             logit = self.bias
-            for word in _WORD.findall(low, a, b):
+            for word in dict.fromkeys(_WORD.findall(low, a, b)):
                 found = known(word)
                 logit += self._word(word) if found is None else found
             out.append((a, b, logit))
         return out
 
 
-def score(docs: DataFrame, weights: np.ndarray, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, score, offending`` per row.
 
     ``score`` is the noisy-or over sentences, 0 for texts without any and for NULL. ``offending`` lists
     ``start, end, score`` of the sentences with a probability of a half or more.
     """
-    packed = weights.astype("<f4").tobytes()
     span = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])
 
     def run(batches: Batches) -> Batches:
-        scorer = Scorer(np.frombuffer(packed, "<f4"))
+        scorer = Scorer(model)
         for batch in batches:
             scores, offending = [], []
             for body in batch.column("text"):
