@@ -24,7 +24,7 @@ def _large_star(links: DataFrame) -> DataFrame:
     least = around.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
     # only links to larger neighbours move; each link has one larger end, so none is lost
     moved = around.where("v > u").join(least, "u").where("m < v")
-    return moved.select(F.col("m").alias("u"), "v").distinct()
+    return moved.select(F.col("m").alias("u"), "v")
 
 
 def _small_star(links: DataFrame) -> DataFrame:
@@ -36,8 +36,12 @@ def _small_star(links: DataFrame) -> DataFrame:
     return stars.distinct()
 
 
-def _stamp(links: DataFrame) -> tuple:
-    return tuple(links.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
+def _all_stars(links: DataFrame) -> bool:
+    """Whether no node is a larger end twice, or both a larger and a smaller end."""
+    ends = links.select(F.col("u").alias("node"), F.lit(1).alias("small"), F.lit(0).alias("large"))
+    ends = ends.union(links.select("v", F.lit(0), F.lit(1)))
+    per_node = ends.groupBy("node").agg(F.max("small").alias("small"), F.sum("large").alias("large"))
+    return per_node.where("large > 1 OR (large = 1 AND small = 1)").isEmpty()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -47,10 +51,8 @@ def components(links: DataFrame) -> DataFrame:
     """
     links = links.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     links = cut_lineage(links, "links")
-    stamp, before = _stamp(links), None
-    while stamp != before:
+    while not _all_stars(links):
         links = cut_lineage(_small_star(_large_star(links)), "links")
-        stamp, before = _stamp(links), stamp
     # at the end every link leads from the smallest node to another one
     return links.select(F.col("v").alias("node"), F.col("u").alias("component")).union(
         links.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct()
