@@ -31,7 +31,7 @@ from palimpsest.llm.work import Batches, cut_lineage, map_arrow, row_key, texts
 CAPACITY = 1024
 END_ID = 2
 # Pieces of one length that one task numbers at most, about.
-RANK_ROWS = 200_000
+RANK_ROWS = 1000
 _PIECES = "key long, doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -73,10 +73,11 @@ def pieces(
     return cut_lineage(map_arrow(texts(docs, doc_id, text), run, _PIECES), "pieces")
 
 
-def _ranked(short: DataFrame) -> DataFrame:
-    """Pieces numbered from 0 inside their length, in buckets, so that one length is many tasks' work."""
-    buckets = 1 + short.count() // RANK_ROWS
-    dealt = short.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
+def _ranked(short: DataFrame, lengths: dict[int, int]) -> DataFrame:
+    """Pieces numbered from 0 inside their length, in buckets, so that a frequent length is many tasks' work."""
+    rows = [(n, 1 + count // RANK_ROWS) for n, count in lengths.items()]
+    dealt = short.join(_small(short, rows, "length long, buckets long"), "length")
+    dealt = dealt.withColumn("bucket", F.pmod(F.xxhash64("key"), F.col("buckets"))).drop("buckets")
     inside = Window.partitionBy("length", "bucket").orderBy("key")
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sizes = dealt.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))
@@ -213,8 +214,9 @@ def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """
     whole = found.where(F.col("length") == capacity)
     whole = whole.withColumns({"sequence_id": -F.col("key") - 1, "offset": F.lit(0).cast("long")})
-    ranked = cut_lineage(_ranked(found.where(F.col("length") < capacity)), "ranked-pieces")
-    lengths = {r["length"]: r["n"] for r in ranked.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
+    short = found.where(F.col("length") < capacity)
+    lengths = {r["length"]: r["n"] for r in short.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
+    ranked = cut_lineage(_ranked(short, lengths), "ranked-pieces")
     sweeper, gaps = Sweeper(lengths, capacity), None
     parts = [whole.select(*_OUT)]
     while any(sweeper.left.values()):
@@ -233,12 +235,16 @@ def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             )
             placed = new.unionByName(old.select(*new.columns))
         placed = placed.withColumn("offset", F.lit(capacity) - F.col("m_gap") + F.col("nth") * F.col("length"))
-        placed = cut_lineage(placed.select(*_OUT, "nth", "opens"), "placed-pieces")
+        # the first piece of a new sequence tells what its round leaves of it
+        begun = F.col("sequence_id") - F.col("first_gap")
+        filled = F.least("each", F.col("end_piece") - F.col("first_piece") - begun * F.col("each")) * F.col("length")
+        rest = F.when(F.col("opens") & (F.col("nth") == 0), capacity - filled)
+        placed = cut_lineage(placed.select(*_OUT, rest.alias("rest")), "placed-pieces")
         parts.append(placed.select(*_OUT))
         steps = _small(ranked, moves, _MOVE)
         inside = lambda rank: (rank >= F.col("first")) & (rank < F.col("end"))
-        began = placed.where("opens AND nth = 0").select("sequence_id").join(
-            steps.where("opens"), inside(F.col("sequence_id"))
+        began = placed.where("rest IS NOT NULL").select("sequence_id", "rest").join(
+            steps.where("opens"), (F.col("rest") == F.col("new_gap")) & inside(F.col("sequence_id"))
         )
         shape = ["sequence_id", F.col("new_gap").alias("gap")]
         after = began.select(*shape, (F.col("first_new") + F.col("sequence_id") - F.col("first")).alias("g_rank"))
