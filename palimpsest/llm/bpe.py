@@ -3,7 +3,7 @@
 A short word holds its part boundaries and the ranks of adjacent pairs in two arrays. The smallest rank is
 sought by scanning, its boundary is deleted and the two ranks beside it are looked up anew. That is
 quadratic, so words of many bytes keep their pairs in a heap instead; both merge the leftmost pair of the
-smallest rank. Words are remembered per worker up to a bound.
+smallest rank. The first words and chunks that a worker meets are remembered, up to a bound.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from palimpsest.llm.work import Batches, map_arrow, texts
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 # Words of more bytes are merged with a heap.
 SHORT = 48
-REMEMBERED = 150_000
+REMEMBERED = 400_000
 _NONE = 1 << 60
 
 
@@ -38,7 +38,7 @@ def _byte_letters() -> list[str]:
 
 
 class Remembered(dict):
-    """Answers by short text, computed when missing; starts anew when full."""
+    """Answers by short text, computed when missing; once full, only the first ones are kept."""
 
     def __init__(self, compute: Callable[[str], bytes], most: int) -> None:
         super().__init__()
@@ -46,9 +46,7 @@ class Remembered(dict):
 
     def __missing__(self, text: str) -> bytes:
         answer = self.compute(text)
-        if len(text) <= SHORT:
-            if len(self) >= self.most:
-                self.clear()
+        if len(self) < self.most and len(text) <= SHORT:
             self[text] = answer
         return answer
 
