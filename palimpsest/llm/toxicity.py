@@ -25,6 +25,8 @@ from palimpsest.llm.work import Batches, cut_lineage, map_arrow, texts
 
 # Bound of the sample: documents of each label, and characters of all of them that one task holds.
 SAMPLE_PER_LABEL = 4000
+# Values of the hash that documents are sampled by.
+PLACES = 1 << 30
 GRAMS = (4, 5)
 # Features that speak for a label by this many standard errors are learned, the strongest up to a bound.
 LEAST_Z = 4.0
@@ -136,9 +138,16 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL)
     without a label, an id or a text are left out; of several labels of a document the higher counts.
     """
     labelled = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    first = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    # the window keeps that many rows per task and label before anything moves
-    chosen = labelled.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= per_label).drop("nth")
+    labelled = labelled.withColumn("place", F.pmod(F.xxhash64("doc_id"), F.lit(PLACES)))
+    # twice as many as wanted are let through to the window, however many labels there are
+    reach = {r["toxic"]: 1 + int(PLACES * min(1.0, 2 * per_label / r["n"])) for r in
+             labelled.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    near = F.lit(False)
+    for label, end in reach.items():
+        near |= (F.col("toxic") == label) & (F.col("place") < end)
+    first = Window.partitionBy("toxic").orderBy("place", "doc_id")
+    chosen = labelled.where(near).withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= per_label)
+    chosen = chosen.select("doc_id", "toxic")
     sample = docs.where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")
 
     def run(batches: Batches) -> Batches:
