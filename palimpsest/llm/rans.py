@@ -25,7 +25,7 @@ import numpy as np
 
 MAGIC = b"RANSTOK1"
 SCALE_BITS = 20
-LANES = 512
+LANES = 2048
 # Steps from one checkpoint to the next, and ids after which a block ends with its document.
 CHECKPOINT_STEPS = 256
 BLOCK_IDS = 4 * LANES * CHECKPOINT_STEPS
@@ -132,15 +132,22 @@ def _pack(values: np.ndarray) -> bytes:
     return zlib.compress(values.astype("<i8").tobytes(), 1)
 
 
+def _counts(raws: list[bytes]) -> np.ndarray:
+    """How often each id occurs, counted over many documents at a time."""
+    counts, held, size = np.zeros(1, np.int64), [], 0
+    for i, raw in enumerate(raws):
+        held.append(raw)
+        size += len(raw) // 4
+        if size >= BLOCK_IDS or i == len(raws) - 1:
+            found = np.bincount(np.frombuffer(b"".join(held), "<u4"), minlength=len(counts))
+            found[: len(counts)] += counts
+            counts, held, size = found, [], 0
+    return counts
+
+
 def write_file(out: object, documents: list[tuple[int | None, bytes]]) -> list[Block]:
     """Write documents ``(id, ids)``, in the given order, to an open binary file."""
-    counts = np.zeros(1, np.int64)
-    for _, raw in documents:
-        found = np.bincount(np.frombuffer(raw, "<u4"))
-        if len(found) > len(counts):
-            counts = np.concatenate([counts, np.zeros(len(found) - len(counts), np.int64)])
-        counts[: len(found)] += found
-    table = Table.scaled(counts)
+    table = Table.scaled(_counts([raw for _, raw in documents]))
     packed = zlib.compress(table.freq.astype("<u4").tobytes(), 6)
     head = _HEAD.pack(MAGIC, SCALE_BITS, len(table.freq), len(packed), zlib.crc32(packed))
     out.write(head + packed)

@@ -8,7 +8,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from palimpsest.llm import rans
 from palimpsest.llm.files import opened, size_of, whole_file
@@ -18,6 +17,8 @@ from palimpsest.llm.work import Batches, cut_lineage, map_arrow, running_total,
 END_ID = 2
 # Ids after which a task begins a new file: what it holds in memory at most, and a document.
 FILE_IDS = 16_000_000
+# Blocks that a task decodes, about.
+BLOCKS_PER_TASK = 4
 _BLOCKS = "part long, file long, block long, path string, n_ids long, n_docs long"
 
 
@@ -86,6 +87,7 @@ def read_token_files(blocks: DataFrame) -> DataFrame:
                     [pa.array(c, pa.int64()) for c in columns], ["doc_id", "start", "n_tokens", "ids_crc32"]
                 )
 
-    placed = running_total(blocks, "part", ["file", "block"], "n_ids", "base")
-    dealt = placed.select("path", "block", "base").repartition(F.col("path"), F.col("block"))
+    placed = running_total(blocks, "part", ["file", "block"], "n_ids", "base").select("path", "block", "base")
+    # a row stands for megabytes: by their size alone the rows would all go to one task
+    dealt = placed.repartition(1 + blocks.count() // BLOCKS_PER_TASK, "path", "block")
     return map_arrow(dealt, run, "doc_id long, start long, n_tokens long, ids_crc32 long")
