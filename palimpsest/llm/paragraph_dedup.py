@@ -7,7 +7,8 @@ rows as it has members. Everything these candidate links connect is compared by
 of word shingles, in tasks of bounded size, and links of similar paragraphs are clustered by components.
 
 In a cluster the document with the smallest id keeps its paragraphs, the others lose theirs. A paragraph that
-occurs in one document only stays however often it does. Rows of one id are one document. Rows without an
+occurs in one document only stays however often it does. In what is left, word runs that an earlier document
+has too are removed wherever they stand in lines (``runs``). Rows of one id are one document. Rows without an
 id or a text stay as they are.
 """
 
@@ -23,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.components import components
+from palimpsest.llm.runs import REMEMBERED, WordHashes, repeated_runs
 from palimpsest.llm.vocab import groups, strings
 from palimpsest.llm.work import Batches, cut_lineage, map_arrow, texts
 
@@ -36,7 +38,6 @@ MAX_HASHES = 64
 # Paragraphs that one task compares with as many others.
 BLOCK = 2048
 _SENTENCE_END = re.compile(r"(?<=[.!?])\s+")
-_REMEMBERED = 200_000
 
 
 def tuned(similarity: float = SIMILARITY, recall: float = RECALL, most: int = MAX_HASHES) -> tuple[int, int]:
@@ -82,15 +83,6 @@ def node_of(words: list[str]) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: str) -> int:
-        value = xxhash.xxh3_64_intdigest(word)
-        if len(self) >= _REMEMBERED:
-            self.clear()
-        self[word] = value
-        return value
-
-
 def _mixed(values: np.ndarray) -> np.ndarray:
     values = (values ^ (values >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
     return values ^ (values >> np.uint64(29))
@@ -154,7 +146,7 @@ def _bands(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     """``band, node``: the buckets of every node, once per task as far as it can be remembered."""
 
     def run(batches: Batches) -> Batches:
-        known, seen = _WordHashes(), set()
+        known, seen = WordHashes(), set()
         for batch in batches:
             bodies = strings(batch.column("text"))
             for a, b in groups(bodies):
@@ -166,7 +158,7 @@ def _bands(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                             new[node] = words
                 if not new:
                     continue
-                if len(seen) > _REMEMBERED:
+                if len(seen) > REMEMBERED:
                     seen.clear()
                 seen.update(new)
                 keys = band_keys(*shingle_hashes(list(new.values()), known), bands, rows)
@@ -228,7 +220,7 @@ def _verified(least: float) -> object:
     """Links of every run of equal ``component, part`` in sorted rows of ``node, text``."""
 
     def run(batches: Batches) -> Batches:
-        known = _WordHashes()
+        known = WordHashes()
 
         def links(nodes: list[int], bodies: list[str]) -> pa.RecordBatch:
             hashes, starts = shingle_hashes([t.lower().split() for t in bodies], known)
@@ -277,10 +269,11 @@ def _similar_links(docs: DataFrame, occurrences: DataFrame, least: float, block:
 def repeated_passages(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, block: int = BLOCK
 ) -> DataFrame:
-    """Every paragraph of a cluster that several documents share, also those that stay.
+    """Every paragraph of a cluster that several documents share, also those that stay, and the runs that go.
 
     ``doc_id, version, nth, start, end, n_words, cluster, keep_id, removed``; ``version`` is a hash of
-    the text that the places belong to, ``keep_id`` the document that keeps its paragraphs.
+    the text that the places belong to, ``keep_id`` the document that keeps its paragraphs. A run has -1 for
+    ``nth``, its first gram as ``cluster``, and the smallest document that keeps a part of it as ``keep_id``.
     """
     whole = texts(docs, doc_id, text)
     occurrences = cut_lineage(_occurrences(whole), "paragraphs")
@@ -293,7 +286,17 @@ def repeated_passages(
     # a stored row per node on the right, so that a passage with many occurrences can be split
     labels = cut_lineage(of_node.join(shared, "cluster").select("node", "cluster", "keep_id"), "passages")
     found = occurrences.join(labels, "node").withColumn("removed", F.col("doc_id") != F.col("keep_id"))
-    return found.select("doc_id", "version", "nth", "start", "end", "n_words", "cluster", "keep_id", "removed")
+    names = ["doc_id", "version", "nth", "start", "end", "n_words", "cluster", "keep_id", "removed"]
+    found = cut_lineage(found.select(*names), "paragraphs-shared")
+    left = _rows(whole).join(_spans(found.where("removed")), ["doc_id", "version"], "left")
+    runs = repeated_runs(cut_lineage(left, "paragraphs-left"))
+    return found.union(runs.withColumns({"nth": F.lit(-1).cast("long"), "removed": F.lit(True)}).select(*names))
+
+
+def _spans(gone: DataFrame) -> DataFrame:
+    """``doc_id, version, spans``: where the texts lose something, sorted."""
+    spans = F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans")  # of one document
+    return gone.groupBy("doc_id", "version").agg(spans)
 
 
 def _without(text: Column, spans: Column) -> Column:
@@ -307,11 +310,8 @@ def _without(text: Column, spans: Column) -> Column:
 def drop_repeated_passages(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, block: int = BLOCK
 ) -> DataFrame:
-    """All columns of ``docs``, texts without removed paragraphs; documents left without a word go."""
-    gone = repeated_passages(docs, doc_id, text, similarity, block).where("removed")
-    spans = gone.groupBy("doc_id", "version").agg(
-        F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans")  # of one document
-    )
+    """All columns of ``docs``, texts without removed paragraphs and runs; documents left without a word go."""
+    spans = _spans(repeated_passages(docs, doc_id, text, similarity, block).where("removed"))
     row = F.struct(*[docs[c] for c in docs.columns])
     rows = docs.select(row.alias("row"), docs[doc_id].cast("long").alias("doc_id"), F.xxhash64(docs[text]).alias("version"))
     joined = rows.join(spans, ["doc_id", "version"], "left")

@@ -209,3 +209,62 @@ def test_bands_are_tuned_for_recall():
     bands, rows = paragraph_dedup.tuned()
     assert bands * rows <= paragraph_dedup.MAX_HASHES
     assert 1 - (1 - 0.8**rows) ** bands >= 0.999
+
+
+def prose(seed, n):
+    import random
+
+    rnd = random.Random(seed)
+    return [f"s{seed}w{rnd.randrange(4000)}" + ("." if rnd.random() < 0.08 else "") for _ in range(n)]
+
+
+def test_passages_inside_lines_are_removed(spark):
+    shared = {k: " ".join(prose(f"shared{k}", n)) for k, n in enumerate([62, 50, 90, 49])}
+    before, after = lambda d: " ".join(prose(f"b{d}", 44)), lambda d: " ".join(prose(f"a{d}", 44))
+    rows = []
+    for k, body in shared.items():
+        broken = body.split()
+        broken[20] += "\nx" if k == 3 else "\n"  # across a line end; 49 words are no passage
+        for d, text in enumerate([body, body, " ".join(broken)]):
+            doc = 10 * k + d
+            rows.append((doc, f"{before(doc)} {text} {after(doc)}\nlast line {doc}", "x"))
+    left = {r.doc_id: r.text for r in paragraph_dedup.drop_repeated_passages(spark.createDataFrame(rows, DOCS)).collect()}
+    for k in shared:
+        for d in range(3):
+            doc = 10 * k + d
+            whole = d == 0 or k == 3
+            want = rows[doc // 10 * 3 + d][1].split() if whole else f"{before(doc)} {after(doc)} last line {doc}".split()
+            assert left[doc].split() == want, (k, d)
+
+
+def test_runs_against_brute_force(spark):
+    import random
+
+    from palimpsest.llm import runs
+
+    rnd = random.Random(5)
+    base = prose("base", 300)
+    bodies = {}
+    for doc in range(40):
+        words = []
+        for part in range(4):
+            a = rnd.randrange(200)
+            words += prose(f"{doc}own{part}", rnd.randrange(1, 40)) + base[a : a + rnd.choice([30, 49, 50, 51, 70, 100])]
+        bodies[doc] = " ".join(words)
+    rows = spark.createDataFrame([(d, d, t, None) for d, t in bodies.items()],
+                                 "doc_id long, version long, text string, spans array<struct<start: long, end: long>>")
+    got = defaultdict(set)
+    for r in runs.repeated_runs(rows).collect():
+        first = len(bodies[r.doc_id][: r.start].split())
+        assert len(bodies[r.doc_id][r.start : r.end].split()) == r.n_words >= 50
+        got[r.doc_id] |= set(range(first, first + r.n_words))
+    seen, earlier_grams = set(), set()
+    for doc, text in bodies.items():
+        words = text.lower().split()
+        spots = [i for i in range(len(words) - 49) if tuple(words[i : i + 50]) in seen]
+        must = {i + k for i in spots for k in range(50)}
+        grams = [i for i in range(len(words) - 24) if tuple(words[i : i + 25]) in earlier_grams]
+        may = {i + k for i in grams for k in range(25)}
+        assert must <= got[doc] <= may
+        seen |= {tuple(words[i : i + 50]) for i in range(len(words) - 49)}
+        earlier_grams |= {tuple(words[i : i + 25]) for i in range(len(words) - 24)}
