@@ -1,7 +1,7 @@
 """Passages repeated across documents, by MinHash banding of paragraphs.
 
-A paragraph is a line; a line of very many words is cut after sentences, at places that depend on the
-sentence alone. Paragraphs of one word sequence are one node. Nodes that share a band of their MinHash
+A paragraph is a line; a line of very many words is cut after sentences, chosen by their hash once a part has
+words enough. Paragraphs of one word sequence are one node. Nodes that share a band of their MinHash
 signature meet in a bucket, where each is joined to the smallest, so a bucket of any size makes as many
 rows as it has members. Everything these candidate links connect is compared by exact Jaccard similarity
 of word shingles, in tasks of bounded size, and links of similar paragraphs are clustered by components.
@@ -300,11 +300,18 @@ def _spans(gone: DataFrame) -> DataFrame:
 
 
 def _without(text: Column, spans: Column) -> Column:
-    """The text without sorted spans, those behind the last one included."""
-    ends = F.concat(F.array(F.struct(F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("end"))), spans)
-    until = F.concat(F.transform(spans, lambda s: s["start"]), F.array(F.length(text).cast("long")))
-    pieces = F.zip_with(ends, until, lambda a, b: F.substring(text, (a["end"] + 1).cast("int"), (b - a["end"]).cast("int")))
-    return F.array_join(pieces, "")
+    """The text without sorted spans, which may overlap."""
+    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("parts"))
+
+    def further(done: Column, s: Column) -> Column:
+        part = F.substring(text, (done["at"] + 1).cast("int"), F.greatest(s["start"] - done["at"], F.lit(0)).cast("int"))
+        return F.struct(F.greatest(done["at"], s["end"]).alias("at"), F.array_append(done["parts"], part).alias("parts"))
+
+    def joined(done: Column) -> Column:
+        rest = F.substring(text, (done["at"] + 1).cast("int"), F.length(text))
+        return F.concat(F.array_join(done["parts"], ""), rest)
+
+    return F.aggregate(spans, zero, further, joined)
 
 
 def drop_repeated_passages(

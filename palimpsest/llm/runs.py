@@ -1,10 +1,11 @@
 """Word runs that an earlier document has too, wherever they begin and end.
 
-The words of a text are one sequence, line ends included, except that nothing is joined across given spans.
+The words of a text are one sequence, line ends included.
 Of every window of consecutive grams the one with the least hash is an anchor, so equal runs of ``RUN_WORDS``
 words have an anchor in common whatever stands around them. Around anchors that several documents share
 every gram is compared by its hash, and a stretch of ``RUN_WORDS`` words or more all of whose grams occur in
-documents with smaller ids is a repeated run. Each gram stays in the smallest document that holds it.
+documents with smaller ids is a repeated run. Each gram stays in the smallest document that holds it. Given spans
+of a text are gone already: grams that reach into them keep nothing, and those inside belong to any run.
 """
 
 from __future__ import annotations
@@ -40,15 +41,6 @@ class WordHashes(dict):
         return value
 
 
-def pieces(text: str, spans: list[dict] | None) -> Iterator[tuple[int, str]]:
-    """``(start, text)`` of what lies between sorted spans."""
-    at = 0
-    for span in spans or ():
-        yield at, text[at : span["start"]]
-        at = span["end"]
-    yield at, text[at:]
-
-
 def grams(words: list[list[str]], known: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
     """Odd hashes of the grams of several pieces of ``GRAM`` words at least, and how many each piece has."""
     sizes = np.array([len(w) for w in words])
@@ -92,77 +84,88 @@ def _columns(values: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v.astype(np.int64, copy=False)) for v in values], names)
 
 
-def _read(batch: pa.RecordBatch, known: WordHashes) -> Iterator[tuple[np.ndarray, np.ndarray, list[tuple[int, int, str]]]]:
-    """Grams of groups of texts, how many each piece has, and row, start and text of these pieces."""
-    bodies, spans = strings(batch.column("text")), batch.column("spans").to_pylist()
+def _read(batch: pa.RecordBatch, known: WordHashes) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+    """Rows of groups of texts that are long enough, their grams, and how many each has."""
+    bodies = strings(batch.column("text"))
     for a, b in groups(bodies):
-        words, of = [], []
-        for row in range(a, b):
-            for start, piece in pieces(bodies[row], spans[row]):
-                found = piece.lower().split()
-                if len(found) >= RUN_WORDS:
-                    words.append(found)
-                    of.append((row, start, piece))
+        words = {row: bodies[row].lower().split() for row in range(a, b)}
+        words = {row: found for row, found in words.items() if len(found) >= RUN_WORDS}
         if words:
-            yield *grams(words, known), of
+            yield list(words), *grams(list(words.values()), known)
 
 
 def _anchors(batches: Batches) -> Batches:
-    names, known = ["gram", "doc_id", "version", "piece", "at"], WordHashes()
+    names, known = ["gram", "doc_id", "version", "at"], WordHashes()
     for batch in batches:
         doc, version = (batch.column(c).to_numpy() for c in ("doc_id", "version"))
-        for hashes, counts, of in _read(batch, known):
+        for rows, hashes, counts in _read(batch, known):
             chosen = anchors(hashes, counts)
             firsts = np.cumsum(counts) - counts
-            piece = np.searchsorted(firsts, chosen, "right") - 1
-            row, start = (np.array([o[i] for o in of])[piece] for i in (0, 1))
-            yield _columns([hashes[chosen].view(np.int64), doc[row], version[row], start, chosen - firsts[piece]], names)
+            text = np.searchsorted(firsts, chosen, "right") - 1
+            row = np.array(rows)[text]
+            yield _columns([hashes[chosen].view(np.int64), doc[row], version[row], chosen - firsts[text]], names)
 
 
 def _near(batches: Batches) -> Batches:
-    """All grams around the anchors of a text, with the characters that they take, blanks behind included."""
-    names = ["gram", "doc_id", "version", "piece", "at", "start", "end"]
+    """The grams around the anchors of a text that are not gone, with the characters that they take.
+
+    ``back`` and ``ahead`` count the grams next to each that are gone as a whole, ``part`` is 1 for those
+    that reach into a span. The characters include blanks behind.
+    """
+    names = ["gram", "doc_id", "version", "at", "start", "end", "back", "ahead", "part"]
     known = WordHashes()
     for batch in batches:
-        doc, version, shared = (batch.column(c).to_pylist() for c in ("doc_id", "version", "anchors"))
-        for hashes, counts, of in _read(batch, known):
+        doc, version, shared, spans, body = (batch.column(c) for c in ("doc_id", "version", "anchors", "spans", "text"))
+        for rows, hashes, counts in _read(batch, known):
             firsts = np.cumsum(counts) - counts
-            for (row, begin, text), first, count in zip(of, firsts.tolist(), counts.tolist(), strict=True):
-                places = np.array([x["at"] for x in shared[row] if x["piece"] == begin], np.int64)
-                if not len(places):
-                    continue
+            for row, first, count in zip(rows, firsts.tolist(), counts.tolist(), strict=True):
+                places = np.array(shared[row].as_py(), np.int64)
                 steps = np.zeros(count + 1, np.int64)
                 np.add.at(steps, np.maximum(places - WINDOW + 1, 0), 1)
                 np.add.at(steps, np.minimum(places + WINDOW, count), -1)
-                at = np.flatnonzero(np.cumsum(steps[:-1]))
-                found = [m.span() for m in _WORD_AND_BLANKS.finditer(text)]
-                edges = np.array(found, np.int64) + begin
+                edges = np.array([m.span() for m in _WORD_AND_BLANKS.finditer(body[row].as_py())], np.int64)
+                gone = np.zeros(len(edges) + 1, np.int64)
+                for span in spans[row].as_py() or ():
+                    a, b = np.searchsorted(edges[:, 0], [span["start"], span["end"]])
+                    gone[a + 1 : b + 1] = 1
+                gone = np.cumsum(gone)
+                held = gone[GRAM:] - gone[:-GRAM]
+                whole = held == GRAM
+                at = np.flatnonzero((np.cumsum(steps[:-1]) > 0) & ~whole)
+                # the last gram before and the first one behind that is not gone as a whole
+                order = np.arange(count)
+                last = np.concatenate([[-1], np.maximum.accumulate(np.where(whole, -1, order))])[at]
+                behind = np.minimum.accumulate(np.where(whole, count, order)[::-1])[::-1]
+                behind = np.concatenate([behind, [count]])[at + 1]
                 same = np.ones(len(at), np.int64)
                 yield _columns(
-                    [hashes[first + at].view(np.int64), same * doc[row], same * version[row], same * begin, at,
-                     edges[at, 0], edges[at + GRAM - 1, 1]], names)
+                    [hashes[first + at].view(np.int64), same * doc[row].as_py(), same * version[row].as_py(), at, edges[at, 0],
+                     edges[at + GRAM - 1, 1], at - last - 1, behind - at - 1, (held[at] > 0)], names)
 
 
 def _stretches(batches: Batches) -> Batches:
-    """Runs from rows sorted by ``doc_id, version, piece, at`` of grams that an earlier document has."""
+    """Runs from rows sorted by ``doc_id, version, at`` of grams that an earlier document has."""
     names = ["doc_id", "version", "start", "end", "n_words", "cluster", "keep_id"]
-    order = ["doc_id", "version", "piece", "at", "start", "end", "gram", "keep_id"]
-    run: list[int] | None = None
+    order = ["doc_id", "version", "at", "start", "end", "gram", "keep_id", "back", "ahead"]
+    run: dict[str, int] | None = None
 
     def ended() -> list[list[int]]:
-        if run is None or run[3] - run[7] + GRAM < RUN_WORDS:
+        # grams that are gone on either side lengthen the run, but are no part of what goes
+        if run is None or run["at"] + run["ahead"] - run["least"] + GRAM < RUN_WORDS:
             return []
-        return [[run[0], run[1], run[4], run[5], run[3] - run[7] + GRAM, run[6], run[8]]]
+        n_words = run["at"] - run["first"] + GRAM
+        return [[*run["key"], run["start"], run["end"], n_words, run["gram"], run["keep"]]]
 
     for batch in batches:
         out = []
-        for doc, version, piece, at, start, end, gram, keep in zip(*(batch.column(c).to_pylist() for c in order), strict=True):
+        for doc, version, at, start, end, gram, keep, back, ahead in zip(*(batch.column(c).to_pylist() for c in order), strict=True):
             # a row that repeats an id and a text gives the same gram again
-            if run and run[:3] == [doc, version, piece] and at - run[3] in (0, 1):
-                run[3], run[5], run[8] = at, end, min(run[8], keep)
+            if run and run["key"] == (doc, version) and (at == run["at"] or at == run["at"] + run["ahead"] + 1):
+                run |= {"at": at, "ahead": ahead, "end": end, "keep": min(run["keep"], keep)}
             else:
                 out += ended()
-                run = [doc, version, piece, at, start, end, gram, at, keep]
+                run = {"key": (doc, version), "first": at, "least": at - back, "at": at, "ahead": ahead,
+                       "start": start, "end": end, "gram": gram, "keep": keep}
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else [()] * 7)], names)
     out = ended()
     if out:
@@ -172,19 +175,20 @@ def _stretches(batches: Batches) -> Batches:
 def repeated_runs(rows: DataFrame) -> DataFrame:
     """``doc_id, version, start, end, n_words, cluster, keep_id`` of the runs in stored rows that go.
 
-    ``rows`` has ``doc_id, version, text`` and ``spans``, sorted structs of ``start, end`` that are set apart.
+    ``rows`` has ``doc_id, version, text`` and ``spans``, sorted structs of ``start, end`` that are gone.
+    Runs may reach into these.
     """
-    keys = "gram long, doc_id long, version long, piece long, at long"
+    keys = "gram long, doc_id long, version long, at long"
     marks = cut_lineage(map_arrow(rows, _anchors, keys), "run-anchors")
     several = F.min("doc_id") < F.max("doc_id")
     met = cut_lineage(marks.groupBy("gram").agg(several.alias("several")).where("several").select("gram"), "run-met")
-    shared = marks.join(met, "gram").groupBy("doc_id", "version").agg(F.collect_set(F.struct("piece", "at")).alias("anchors"))
-    around = map_arrow(rows.join(shared, ["doc_id", "version"]), _near, keys + ", start long, end long")
+    shared = marks.join(met, "gram").groupBy("doc_id", "version").agg(F.collect_set("at").alias("anchors"))
+    around = map_arrow(rows.join(shared, ["doc_id", "version"]), _near, keys + ", start long, end long, back long, ahead long, part long")
     around = cut_lineage(around, "run-grams")
-    seen = around.groupBy("gram").agg(F.min("doc_id").alias("keep_id"), F.max("doc_id").alias("last_id"))
+    seen = around.groupBy("gram").agg(F.min(F.when(F.col("part") == 0, F.col("doc_id"))).alias("keep_id"), F.max("doc_id").alias("last_id"))
     # a stored row per gram on the right, so that a gram of many documents can be split
     seen = cut_lineage(seen.where("keep_id < last_id").drop("last_id"), "run-seen")
     later = around.join(seen, "gram").where("doc_id > keep_id")
-    later = later.repartition("doc_id", "version").sortWithinPartitions("doc_id", "version", "piece", "at")
+    later = later.repartition("doc_id", "version").sortWithinPartitions("doc_id", "version", "at")
     shape = "doc_id long, version long, start long, end long, n_words long, cluster long, keep_id long"
     return map_arrow(later, _stretches, shape)

@@ -268,3 +268,18 @@ def test_runs_against_brute_force(spark):
         assert must <= got[doc] <= may
         seen |= {tuple(words[i : i + 50]) for i in range(len(words) - 49)}
         earlier_grams |= {tuple(words[i : i + 25]) for i in range(len(words) - 24)}
+
+
+def test_passages_inside_long_lines_are_removed(spark):
+    rows = []
+    for k, n in enumerate([55, 80, 120, 400]):
+        for ends in (True, False):
+            body = " ".join(prose(f"long{k}{ends}", n))
+            for d in range(2):
+                doc = 100 * k + 10 * ends + d
+                text = " ".join([*prose(f"l{doc}", 250), body, *prose(f"r{doc}", 250)])
+                rows.append((doc, text if ends else text.replace(".", ""), "x"))
+    left = {r.doc_id: r.text for r in paragraph_dedup.drop_repeated_passages(spark.createDataFrame(rows, DOCS)).collect()}
+    for doc, text, _ in rows:
+        words = text.split()
+        assert left[doc].split() == (words if doc % 10 == 0 else words[:250] + words[-250:])
