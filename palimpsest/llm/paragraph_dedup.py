@@ -1,7 +1,7 @@
 """Passages repeated across documents, by MinHash banding of paragraphs.
 
-A paragraph is a line; a line of very many words is cut after sentences, chosen by their hash once a part has
-words enough. Paragraphs of one word sequence are one node. Nodes that share a band of their MinHash
+A paragraph is a line, or so many short lines in a row as have the words of one; a line of very many words is
+cut after sentences, chosen by their hash once a part has words enough. Paragraphs of one word sequence are one node. Nodes that share a band of their MinHash
 signature meet in a bucket, where each is joined to the smallest, so a bucket of any size makes as many
 rows as it has members. Everything these candidate links connect is compared by exact Jaccard similarity
 of word shingles, in tasks of bounded size, and links of similar paragraphs are clustered by components.
@@ -52,14 +52,22 @@ def tuned(similarity: float = SIMILARITY, recall: float = RECALL, most: int = MA
 
 def paragraphs(text: str) -> Iterator[tuple[int, int, list[str]]]:
     """``(start, end, words)`` of the paragraphs of a text, the end behind the line end."""
-    at = 0
+    at, start, short = 0, 0, []
     for line in text.split("\n"):
         end = min(at + len(line) + 1, len(text))
         words = line.lower().split()
+        if not 0 < len(words) < MIN_WORDS:
+            short = []
         if len(words) > MAX_WORDS:
             yield from _parts(text, at, end)
         elif len(words) >= MIN_WORDS:
             yield at, end, words
+        elif words:
+            start = start if short else at
+            short = short + words
+            if len(short) >= MIN_WORDS:
+                yield start, end, short
+                short = []
         at = end
 
 

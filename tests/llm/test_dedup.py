@@ -283,3 +283,18 @@ def test_passages_inside_long_lines_are_removed(spark):
     for doc, text, _ in rows:
         words = text.split()
         assert left[doc].split() == (words if doc % 10 == 0 else words[:250] + words[-250:])
+
+
+def test_passages_in_short_lines_are_removed(spark):
+    lines = lambda words, n: "\n".join(" ".join(words[i : i + n]) for i in range(0, len(words), n))
+    wrapped, few = lines(prose("wrapped", 96), 12), lines(prose("few", 36), 12)
+    rows = []
+    for d in range(2):
+        rows.append((d, lines(prose(f"h{d}", 30), 11) + "\n" + wrapped + "\n" + lines(prose(f"t{d}", 30), 11), "x"))
+        rows.append((10 + d, f"own {d}\n\n" + few + f"\n\nown end {d}", "x"))
+    left = {r.doc_id: r.text for r in paragraph_dedup.drop_repeated_passages(spark.createDataFrame(rows, DOCS)).collect()}
+    texts = {d: t for d, t, _ in rows}
+    assert left[0] == texts[0] and left[10] == texts[10]
+    assert left[1].split() == prose("h1", 30) + prose("t1", 30)
+    # two lines make a unit, the third has too few words
+    assert left[11].split() == ["own", "1", *prose("few", 36)[24:], "own", "end", "1"]
