@@ -34,7 +34,7 @@ MOST_FEATURES = 8192
 EPOCHS = 200
 RATE = 0.5
 L2 = 1e-4
-# A word's parts are taken from so many letters of its start.
+# Longer words are not remembered.
 LONG_WORD = 40
 REMEMBERED = 400_000
 _SENTENCE = re.compile(r"[.!?\n]+")
@@ -54,7 +54,11 @@ def sentences(text: str) -> Iterator[tuple[int, int]]:
 
 def features(word: str) -> list[int]:
     """Hashes of a lower-case word and of its parts, each once."""
-    marked = f"<{word[:LONG_WORD]}>"
+    marked = f"<{word}>"
+    if len(word) > LONG_WORD:
+        # hashes alone are held, as a word may be a whole text
+        parts = (marked[i : i + n] for n in GRAMS for i in range(len(marked) - n + 1))
+        return sorted({zlib.crc32(marked.encode()), *(zlib.crc32(p.encode()) for p in parts)})
     parts = {marked} | {marked[i : i + n] for n in GRAMS for i in range(len(marked) - n + 1)}
     return [zlib.crc32(p.encode()) for p in parts]
 

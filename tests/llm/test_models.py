@@ -82,3 +82,15 @@ def test_profiles_bundle_bound_letters():
     want = sum(n * profiles.gram([ord(c) for c in g]) for g, n in counts.items())
     assert np.allclose(whole, want) and not np.allclose(short, 0)
     assert profiles.of_texts(["", "12"]) == pytest.approx(0) or np.allclose(profiles.of_texts(["", "12"]), 0)
+
+
+def test_words_count_behind_their_first_letters():
+    lead = "q" * 45
+    assert toxicity.features(lead + "clean") != toxicity.features(lead + "vilest")
+    assert set(toxicity.features("vilest")) & set(toxicity.features(lead + "_vilest_" + lead))
+    # without blanks a clause is one word; what offends stands at its end
+    rnd = random.Random(4)
+    clause = lambda: "".join(rnd.choice("一二三四五六七八九十") for _ in range(60))
+    bodies = [clause() + ("悪口雑言罵詈" if i % 2 else "晴天白雲青空") for i in range(400)]
+    scorer = toxicity.Scorer(toxicity.fit(bodies, [i % 2 for i in range(400)]))
+    assert scorer.sentences(clause() + "悪口雑言罵詈")[0][2] > 0 > scorer.sentences(clause() + "晴天白雲青空")[0][2]
