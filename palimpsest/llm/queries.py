@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm import (
     bpe,
+    decontamination,
     exact_dedup,
     langid,
     packing,
@@ -159,3 +160,40 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     apart = held_out(F.col("doc_id"), 4, 2)
     found = langid.identify(docs, langid.prototypes(docs.where(~apart)))
     return found.select("doc_id", apart.alias("held_out"), "lang_pred", "score")
+
+
+@_query
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that belong to a passage of a benchmark item."""
+    found = decontamination.contamination(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+ORACLE["op13_decontamination"] = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+g AS (
+  SELECT DISTINCT item_id, n, array_to_string(w[s:s + n - 1], ' ') AS gram FROM (
+    SELECT item_id, w, least(10, len(w)) AS n, unnest(generate_series(1, greatest(1, len(w) - 9))) AS s FROM b WHERE len(w) > 0)),
+lengths AS (SELECT DISTINCT n FROM g),
+places AS (SELECT doc_id, w, unnest(generate_series(1, len(w))) AS s FROM d),
+hits AS (
+  SELECT p.doc_id, p.s, g.n, g.item_id FROM (
+    SELECT doc_id, s, n, array_to_string(w[s:s + n - 1], ' ') AS gram FROM places, lengths WHERE s + n - 1 <= len(w)) p
+  JOIN g USING (n, gram)),
+hit AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(generate_series(s, s + n - 1)) AS place FROM hits) GROUP BY doc_id),
+met AS (
+  SELECT doc_id, count(DISTINCT item_id) AS n_items,
+         array_to_string(list_sort(list(DISTINCT item_id::VARCHAR)), ',') AS items FROM hits GROUP BY doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(hit.n_hit, 0)::BIGINT AS n_hit, coalesce(met.n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(met.items, '')) AS items_sha256, coalesce(hit.n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN met USING (doc_id)
+"""
