@@ -296,8 +296,7 @@ def repeated_passages(
     found = occurrences.join(labels, "node").withColumn("removed", F.col("doc_id") != F.col("keep_id"))
     names = ["doc_id", "version", "nth", "start", "end", "n_words", "cluster", "keep_id", "removed"]
     found = cut_lineage(found.select(*names), "paragraphs-shared")
-    left = _rows(whole).join(_spans(found.where("removed")), ["doc_id", "version"], "left")
-    runs = repeated_runs(cut_lineage(left, "paragraphs-left"))
+    runs = repeated_runs(_rows(whole), cut_lineage(_spans(found.where("removed")), "paragraphs-gone"))
     return found.union(runs.withColumns({"nth": F.lit(-1).cast("long"), "removed": F.lit(True)}).select(*names))
 
 

@@ -2,10 +2,14 @@
 
 The words of a text are one sequence, line ends included.
 Of every window of consecutive grams the one with the least hash is an anchor, so equal runs of ``RUN_WORDS``
-words have an anchor in common whatever stands around them. Around anchors that several documents share
-every gram is compared by its hash, and a stretch of ``RUN_WORDS`` words or more all of whose grams occur in
-documents with smaller ids is a repeated run. Each gram stays in the smallest document that holds it. Given spans
-of a text are gone already: grams that reach into them keep nothing, and those inside belong to any run.
+words have an anchor in common whatever stands around them. Every run of ``RUN_WORDS`` words that holds an anchor
+which several documents share is compared by its hash, as a whole. A word goes if and only if it is in such a run
+that a document with a smaller id holds too, in one piece. Given spans of a text are gone already: a run that
+reaches into them in one document does not keep that document's words for others, but goes like any other where
+it is repeated itself; a run inside a span is not looked at.
+
+Rows without id or text have no runs. Rows that repeat an id are one document; where they repeat its text too,
+they give the same run once for each. The smallest id keeps a run, so equal texts of one id keep all of theirs.
 """
 
 from __future__ import annotations
@@ -41,19 +45,19 @@ class WordHashes(dict):
         return value
 
 
-def grams(words: list[list[str]], known: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Odd hashes of the grams of several pieces of ``GRAM`` words at least, and how many each piece has."""
+def grams(words: list[list[str]], known: dict[str, int], width: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
+    """Odd hashes of the runs of ``width`` words of several pieces, which have as many at least, and how many each has."""
     sizes = np.array([len(w) for w in words])
     flat = np.fromiter((known[w] for part in words for w in part), np.uint64, sizes.sum())
-    n = len(flat) - GRAM + 1
+    n = len(flat) - width + 1
     rolled = np.zeros(n, np.uint64)
-    for k in range(GRAM):
+    for k in range(width):
         rolled *= np.uint64(0x100000001B3)
         rolled += flat[k : k + n]
     rolled ^= rolled >> np.uint64(31)
     rolled *= np.uint64(0x9E3779B97F4A7C15)
     rolled ^= rolled >> np.uint64(29)
-    counts = sizes - GRAM + 1
+    counts = sizes - width + 1
     first = np.cumsum(sizes) - sizes
     at = np.arange(counts.sum()) + np.repeat(first - (np.cumsum(counts) - counts), counts)
     return rolled[at] | np.uint64(1), counts
@@ -84,21 +88,21 @@ def _columns(values: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v.astype(np.int64, copy=False)) for v in values], names)
 
 
-def _read(batch: pa.RecordBatch, known: WordHashes) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
-    """Rows of groups of texts that are long enough, their grams, and how many each has."""
+def _read(batch: pa.RecordBatch, known: WordHashes, width: int) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+    """Rows of groups of texts that are long enough, their runs of ``width`` words, and how many each has."""
     bodies = strings(batch.column("text"))
     for a, b in groups(bodies):
         words = {row: bodies[row].lower().split() for row in range(a, b)}
         words = {row: found for row, found in words.items() if len(found) >= RUN_WORDS}
         if words:
-            yield list(words), *grams(list(words.values()), known)
+            yield list(words), *grams(list(words.values()), known, width)
 
 
 def _anchors(batches: Batches) -> Batches:
     names, known = ["gram", "doc_id", "version", "at"], WordHashes()
     for batch in batches:
         doc, version = (batch.column(c).to_numpy() for c in ("doc_id", "version"))
-        for rows, hashes, counts in _read(batch, known):
+        for rows, hashes, counts in _read(batch, known, GRAM):
             chosen = anchors(hashes, counts)
             firsts = np.cumsum(counts) - counts
             text = np.searchsorted(firsts, chosen, "right") - 1
@@ -107,86 +111,76 @@ def _anchors(batches: Batches) -> Batches:
 
 
 def _near(batches: Batches) -> Batches:
-    """The grams around the anchors of a text that are not gone, with the characters that they take.
+    """The runs of ``RUN_WORDS`` words around the anchors of a text that are not gone, with the characters they take.
 
-    ``back`` and ``ahead`` count the grams next to each that are gone as a whole, ``part`` is 1 for those
-    that reach into a span. The characters include blanks behind.
+    ``part`` is 1 for those that reach into a span. The characters include blanks behind.
     """
-    names = ["gram", "doc_id", "version", "at", "start", "end", "back", "ahead", "part"]
-    known = WordHashes()
+    names, known = ["gram", "doc_id", "version", "at", "start", "end", "part"], WordHashes()
     for batch in batches:
         doc, version, shared, spans, body = (batch.column(c) for c in ("doc_id", "version", "anchors", "spans", "text"))
-        for rows, hashes, counts in _read(batch, known):
+        for rows, hashes, counts in _read(batch, known, RUN_WORDS):
             firsts = np.cumsum(counts) - counts
             for row, first, count in zip(rows, firsts.tolist(), counts.tolist(), strict=True):
                 places = np.array(shared[row].as_py(), np.int64)
                 steps = np.zeros(count + 1, np.int64)
-                np.add.at(steps, np.maximum(places - WINDOW + 1, 0), 1)
-                np.add.at(steps, np.minimum(places + WINDOW, count), -1)
+                np.add.at(steps, np.clip(places - WINDOW + 1, 0, count), 1)
+                np.add.at(steps, np.minimum(places + 1, count), -1)
                 edges = np.array([m.span() for m in _WORD_AND_BLANKS.finditer(body[row].as_py())], np.int64)
                 gone = np.zeros(len(edges) + 1, np.int64)
                 for span in spans[row].as_py() or ():
                     a, b = np.searchsorted(edges[:, 0], [span["start"], span["end"]])
                     gone[a + 1 : b + 1] = 1
                 gone = np.cumsum(gone)
-                held = gone[GRAM:] - gone[:-GRAM]
-                whole = held == GRAM
-                at = np.flatnonzero((np.cumsum(steps[:-1]) > 0) & ~whole)
-                # the last gram before and the first one behind that is not gone as a whole
-                order = np.arange(count)
-                last = np.concatenate([[-1], np.maximum.accumulate(np.where(whole, -1, order))])[at]
-                behind = np.minimum.accumulate(np.where(whole, count, order)[::-1])[::-1]
-                behind = np.concatenate([behind, [count]])[at + 1]
+                held = gone[RUN_WORDS:] - gone[:-RUN_WORDS]
+                at = np.flatnonzero((np.cumsum(steps[:-1]) > 0) & (held < RUN_WORDS))
                 same = np.ones(len(at), np.int64)
                 yield _columns(
                     [hashes[first + at].view(np.int64), same * doc[row].as_py(), same * version[row].as_py(), at, edges[at, 0],
-                     edges[at + GRAM - 1, 1], at - last - 1, behind - at - 1, (held[at] > 0)], names)
+                     edges[at + RUN_WORDS - 1, 1], (held[at] > 0)], names)
 
 
 def _stretches(batches: Batches) -> Batches:
-    """Runs from rows sorted by ``doc_id, version, at`` of grams that an earlier document has."""
+    """Runs that follow or overlap each other as one, from rows sorted by ``doc_id, version, at``."""
     names = ["doc_id", "version", "start", "end", "n_words", "cluster", "keep_id"]
-    order = ["doc_id", "version", "at", "start", "end", "gram", "keep_id", "back", "ahead"]
+    order = ["doc_id", "version", "at", "start", "end", "gram", "keep_id"]
     run: dict[str, int] | None = None
 
     def ended() -> list[list[int]]:
-        # grams that are gone on either side lengthen the run, but are no part of what goes
-        if run is None or run["at"] + run["ahead"] - run["least"] + GRAM < RUN_WORDS:
+        if run is None:
             return []
-        n_words = run["at"] - run["first"] + GRAM
-        return [[*run["key"], run["start"], run["end"], n_words, run["gram"], run["keep"]]]
+        return [[*run["key"], run["start"], run["end"], run["at"] - run["first"] + RUN_WORDS, run["gram"], run["keep"]]]
 
     for batch in batches:
         out = []
-        for doc, version, at, start, end, gram, keep, back, ahead in zip(*(batch.column(c).to_pylist() for c in order), strict=True):
-            # a row that repeats an id and a text gives the same gram again
-            if run and run["key"] == (doc, version) and (at == run["at"] or at == run["at"] + run["ahead"] + 1):
-                run |= {"at": at, "ahead": ahead, "end": end, "keep": min(run["keep"], keep)}
+        for doc, version, at, start, end, gram, keep in zip(*(batch.column(c).to_pylist() for c in order), strict=True):
+            # a row that repeats an id and a text gives the same run again
+            if run and run["key"] == (doc, version) and at <= run["at"] + RUN_WORDS:
+                run |= {"at": at, "end": end, "keep": min(run["keep"], keep)}
             else:
                 out += ended()
-                run = {"key": (doc, version), "first": at, "least": at - back, "at": at, "ahead": ahead,
-                       "start": start, "end": end, "gram": gram, "keep": keep}
+                run = {"key": (doc, version), "first": at, "at": at, "start": start, "end": end, "gram": gram, "keep": keep}
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else [()] * 7)], names)
     out = ended()
     if out:
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names)
 
 
-def repeated_runs(rows: DataFrame) -> DataFrame:
-    """``doc_id, version, start, end, n_words, cluster, keep_id`` of the runs in stored rows that go.
+def repeated_runs(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """``doc_id, version, start, end, n_words, cluster, keep_id`` of the runs that go.
 
-    ``rows`` has ``doc_id, version, text`` and ``spans``, sorted structs of ``start, end`` that are gone.
-    Runs may reach into these.
+    ``rows`` has ``doc_id, version, text``, ``gone`` stored ``doc_id, version, spans``: sorted structs of
+    ``start, end`` that are gone. Texts are read twice, and shuffled once where they hold a shared anchor.
     """
     keys = "gram long, doc_id long, version long, at long"
     marks = cut_lineage(map_arrow(rows, _anchors, keys), "run-anchors")
     several = F.min("doc_id") < F.max("doc_id")
     met = cut_lineage(marks.groupBy("gram").agg(several.alias("several")).where("several").select("gram"), "run-met")
     shared = marks.join(met, "gram").groupBy("doc_id", "version").agg(F.collect_set("at").alias("anchors"))
-    around = map_arrow(rows.join(shared, ["doc_id", "version"]), _near, keys + ", start long, end long, back long, ahead long, part long")
+    wanted = cut_lineage(shared.join(gone, ["doc_id", "version"], "left"), "run-places")
+    around = map_arrow(rows.join(wanted, ["doc_id", "version"]), _near, keys + ", start long, end long, part long")
     around = cut_lineage(around, "run-grams")
     seen = around.groupBy("gram").agg(F.min(F.when(F.col("part") == 0, F.col("doc_id"))).alias("keep_id"), F.max("doc_id").alias("last_id"))
-    # a stored row per gram on the right, so that a gram of many documents can be split
+    # a stored row per run on the right, so that a run of many documents can be split
     seen = cut_lineage(seen.where("keep_id < last_id").drop("last_id"), "run-seen")
     later = around.join(seen, "gram").where("doc_id > keep_id")
     later = later.repartition("doc_id", "version").sortWithinPartitions("doc_id", "version", "at")

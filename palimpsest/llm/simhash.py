@@ -175,7 +175,24 @@ def hex_of(fp: Column) -> Column:
 
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of every component, that of the smallest id, with all its columns."""
-    first = simhash_components(docs, doc_id, text).where("doc_id <=> component_id").select("doc_id").distinct()
-    kept = docs.join(first.withColumnRenamed("doc_id", "__first"), docs[doc_id].eqNullSafe(F.col("__first")), "left_semi")
-    return kept
+    """One row of every component, that of the smallest id, with all its columns, whatever their names.
+
+    Of rows that repeat this id one stays for each text. A NULL id stays where a component has no other.
+    Empty and NULL texts are one component; an empty table gives no rows.
+    """
+    firsts = simhash_components(docs, doc_id, text).where("doc_id <=> component_id")
+    firsts = cut_lineage(firsts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "near-firsts")
+    rows = docs.select(
+        F.struct(*[docs[c] for c in docs.columns]).alias("row"),
+        docs[doc_id].cast("long").alias("doc_id"),
+        F.xxhash64(F.coalesce(docs[text].cast("string"), F.lit(""))).alias("version"),
+    )
+
+    def of(ids: DataFrame) -> DataFrame:
+        ids = ids.select(F.col("doc_id").alias("first_id"))
+        return rows.join(ids, F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi")
+
+    kept = of(firsts.where("n = 1"))
+    if not firsts.where("n > 1").isEmpty():
+        kept = kept.unionByName(of(firsts.where("n > 1")).dropDuplicates(["doc_id", "version"]))
+    return kept.select("row.*")

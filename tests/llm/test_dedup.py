@@ -1,6 +1,7 @@
 """Exact and near duplicates against brute force."""
 
 import hashlib
+import re
 from collections import defaultdict
 
 import pytest
@@ -108,6 +109,18 @@ def test_fingerprints_and_components_of_documents(spark):
     assert {r.doc_id for r in left.collect()} == set(want.values())
 
 
+def test_one_row_stays_of_near_duplicates_that_repeat_an_id(spark):
+    text = " ".join(f"w{i}" for i in range(80))
+    rows = [(1, text, "x"), (1, text, "y"), (2, text, "x"), (3, "other words here now", "x"), (3, "quite something else again", "x")]
+    rows += [(None, None, "x"), (None, "", "y"), (7, " ", "z"), (None, "lonely row of its own", "x")]
+    docs = spark.createDataFrame(rows, DOCS).withColumns({"__first": F.lit(1), "row": F.lit(2), "version": F.lit(3), "first_id": F.lit(4)})
+    left = simhash.drop_near_duplicates(docs)
+    assert left.columns == docs.columns
+    found = sorted(((r.doc_id, r.text) for r in left.collect()), key=str)
+    assert found == sorted([(1, text), (3, rows[3][1]), (3, rows[4][1]), (7, " "), (None, "lonely row of its own")], key=str)
+    assert simhash.drop_near_duplicates(docs.limit(0)).collect() == []
+
+
 @pytest.mark.parametrize("block", [4096, 8])
 def test_links_of_fingerprints_in_balls_and_chains(spark, block):
     import random
@@ -251,23 +264,48 @@ def test_runs_against_brute_force(spark):
             a = rnd.randrange(200)
             words += prose(f"{doc}own{part}", rnd.randrange(1, 40)) + base[a : a + rnd.choice([30, 49, 50, 51, 70, 100])]
         bodies[doc] = " ".join(words)
-    rows = spark.createDataFrame([(d, d, t, None) for d, t in bodies.items()],
-                                 "doc_id long, version long, text string, spans array<struct<start: long, end: long>>")
+    # of every third text a stretch is gone already
+    gone = {d: (len(t) // 3, len(t) // 2) if d % 3 == 2 else (0, 0) for d, t in bodies.items()}
+    rows = spark.createDataFrame([(d, d, t) for d, t in bodies.items()], "doc_id long, version long, text string")
+    spans = spark.createDataFrame(
+        [(d, d, [(a, b)]) for d, (a, b) in gone.items() if b], "doc_id long, version long, spans array<struct<start: long, end: long>>"
+    )
     got = defaultdict(set)
-    for r in runs.repeated_runs(rows).collect():
+    for r in runs.repeated_runs(rows, spans).collect():
         first = len(bodies[r.doc_id][: r.start].split())
         assert len(bodies[r.doc_id][r.start : r.end].split()) == r.n_words >= 50
         got[r.doc_id] |= set(range(first, first + r.n_words))
-    seen, earlier_grams = set(), set()
-    for doc, text in bodies.items():
+    assert sum(map(len, got.values())) > 1_000
+    want = brute_runs(bodies, {d: [span] for d, span in gone.items()})
+    assert got == {d: {i + k for i in places for k in range(50)} for d, places in want.items()}
+
+
+def brute_runs(bodies, gone, size=50):
+    """Where the runs of ``size`` words begin that an earlier text holds whole, by id; ``gone`` are spans by id."""
+    held, out = {}, {}
+    for doc, text in sorted(bodies.items()):
+        starts = [m.start() for m in re.finditer(r"\S+", text)]
         words = text.lower().split()
-        spots = [i for i in range(len(words) - 49) if tuple(words[i : i + 50]) in seen]
-        must = {i + k for i in spots for k in range(50)}
-        grams = [i for i in range(len(words) - 24) if tuple(words[i : i + 25]) in earlier_grams]
-        may = {i + k for i in grams for k in range(25)}
-        assert must <= got[doc] <= may
-        seen |= {tuple(words[i : i + 50]) for i in range(len(words) - 49)}
-        earlier_grams |= {tuple(words[i : i + 25]) for i in range(len(words) - 24)}
+        whole = [not any(a <= s < b for a, b in gone.get(doc, ())) for s in starts]
+        kept = []
+        for i in range(len(words) - size + 1):
+            run = tuple(words[i : i + size])
+            if run in held and any(whole[i : i + size]):
+                out.setdefault(doc, []).append(i)
+            if all(whole[i : i + size]):
+                kept.append(run)
+        for run in kept:
+            held.setdefault(run, doc)
+    return out
+
+
+def test_words_that_no_single_document_holds_in_a_row_stay(spark):
+    """Two earlier documents hold overlapping pieces of 38 words, none all 50."""
+    body = prose("pieces", 50)
+    rows = [(1, body[:38]), (2, body[12:]), (3, body)]
+    rows = [(d, " ".join([*prose(f"before{d}", 60), *words, *prose(f"after{d}", 60)]), "x") for d, words in rows]
+    left = {r.doc_id: r.text for r in paragraph_dedup.drop_repeated_passages(spark.createDataFrame(rows, DOCS)).collect()}
+    assert left == {d: t for d, t, _ in rows}
 
 
 def test_passages_inside_long_lines_are_removed(spark):

@@ -1,5 +1,6 @@
 """The pipeline's stages, and its rows against stages written out plainly."""
 
+import re
 import zlib
 from collections import defaultdict
 
@@ -11,7 +12,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from palimpsest.llm import packing, paragraph_dedup, quality_rules
 
-from .test_dedup import brute_components, brute_fingerprint
+from .test_dedup import brute_components, brute_fingerprint, brute_runs
 
 SF = "/root/testdata/sf0.001"
 
@@ -23,6 +24,25 @@ def test_stages_return_the_columns_of_documents(spark):
         assert stage(spark, docs.limit(0), SF).count() == 0
 
 
+def test_stages_take_odd_rows(spark):
+    """NULLs, empty and very long texts, repeated rows and columns that are named like those inside."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(20)
+    whole = docs.orderBy("doc_id").collect()
+    odd = [(None, None), (900, None), (901, ""), (902, " \n"), (903, " ".join(f"w{i}" for i in range(20_000))), (None, whole[0].text)]
+    odd += [(whole[1].doc_id, whole[1].text), (whole[2].doc_id, whole[3].text)]
+    rows = [(d, t, "en", "s", len(t or "")) for d, t in odd]
+    every = docs.unionByName(spark.createDataFrame(rows, docs.schema))
+    every = every.withColumns({c: F.lit(1) for c in ("row", "__first", "version", "span", "start", "end", "left", "key", "length", "n")})
+    ids = {r.doc_id for r in every.collect()}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, every, SF)
+        found = out.collect()
+        assert {r.doc_id for r in found} <= ids and found, name
+        if name != "pack":
+            assert out.dtypes == every.dtypes, name
+            assert len(found) <= every.count(), name
+
+
 def plainly(spark):
     """All stages but packing: ids and texts that are left."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
@@ -43,11 +63,20 @@ def plainly(spark):
     for i, (d, a, b, _) in enumerate(found):
         if d != least[tops[i]]:
             gone[d].append((a, b))
+    for d, places in brute_runs(texts, gone).items():
+        edges = [m.span() for m in re.finditer(r"\S+[^\S\n]*", texts[d])]
+        first = last = None
+        for i in places:
+            if first is not None and i > last + 50:
+                gone[d].append((edges[first][0], edges[last + 49][1]))
+                first = None
+            first, last = i if first is None else first, i
+        gone[d].append((edges[first][0], edges[last + 49][1]))
     left = {}
     for d, t in texts.items():
-        for a, b in sorted(gone[d], reverse=True):
-            t = t[:a] + t[b:]
-        if d not in gone or not gone[d] or t.split():
+        lost = {i for a, b in gone[d] for i in range(a, b)}
+        t = "".join(c for i, c in enumerate(t) if i not in lost)
+        if not lost or t.split():
             left[d] = t
     return left
 
