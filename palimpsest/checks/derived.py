@@ -12,11 +12,14 @@ time order.
 
 from __future__ import annotations
 
+import gzip
 from collections.abc import Callable
 from functools import reduce, wraps
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from palimpsest.functions import archive
 from palimpsest.operators import fetched, overlay, versions
@@ -25,6 +28,8 @@ from palimpsest.sources import listing
 
 LATER = 1_000_000_000
 STEP = 7919
+# a line of so many is cut off, of so many has too few fields; a payload of so many is packed
+CUT_EVERY, SHORT_EVERY, PACKED_EVERY = 211, 223, 7
 # the earlier run of the overlay examples ended here
 EARLIER_RUN = "20240116000000"
 
@@ -120,10 +125,15 @@ def listing_lines(spark: SparkSession, sf: str) -> DataFrame:
         .withColumn("line_no", F.col("line_no") + F.when(F.col("again"), LATER).otherwise(0))
     )
     names = ["timestamp", "digest", "mimetype", "statuscode", "url_origin"]
-    line = F.concat(F.lit('["'), F.concat_ws('","', *names), F.lit('"],'))
+    def line(*fields: str) -> Column:
+        return F.concat(F.lit('["'), F.concat_ws('","', *fields), F.lit('"],'))
+
     return rows.select(
         "line_no",
-        F.when(F.col("line_no") % 211 == 5, F.left(line, F.lit(40))).otherwise(line).alias("line"),
+        F.when(F.col("line_no") % CUT_EVERY == 5, F.left(line(*names), F.lit(40)))
+        .when(F.col("line_no") % SHORT_EVERY == 7, line(*names[:3]))
+        .otherwise(line(*names))
+        .alias("line"),
     )
 
 
@@ -152,17 +162,28 @@ def kept(spark: SparkSession, sf: str, mode: str = "last") -> DataFrame:
     return versions.keep_versions(captures(spark, sf), mode)
 
 
+def _packed(body: Column) -> Column:
+    # nested, so that it travels to the executors by value
+    @F.arrow_udf(T.BinaryType())
+    def pack(bodies: pa.Array) -> pa.Array:
+        return pa.array([None if b is None else gzip.compress(b, 1, mtime=0) for b in bodies.to_pylist()], pa.binary())
+
+    return pack(body)
+
+
 @storable
 def payloads(spark: SparkSession, sf: str) -> DataFrame:
     """A response for every distinct capture, as a crawl would have stored it.
 
     A 302 leads to the capture one line further on; where that line cannot be read it
-    gives a relative location instead. Bodies are the whole pages.
+    gives a relative location instead. Bodies are the whole pages, every seventh one packed.
     """
     found = distinct_captures(spark, sf)
     everyone = captures(spark, sf).where(F.col("scid") < LATER)
     ahead = everyone.select((F.col("scid") - 1).alias("scid"), F.col("url_archive").alias("__to"))
-    page = table(spark, sf, "pages").select(F.upper(F.md5("url")).alias("digest"), "html")
+    html = F.col("html").cast("binary")
+    page = table(spark, sf, "pages").select(F.upper(F.md5("url")).alias("digest"), html.alias("html"), _packed(html).alias("packed"))
+    is_packed = F.col("scid") % PACKED_EVERY == 0
     target = F.coalesce("__to", F.concat(F.lit("/web/"), "timestamp", F.lit("id_/moved/../gone?to="), "digest"))
     return (
         found.select("scid", "timestamp", "digest", "statuscode", "url_archive")
@@ -172,8 +193,8 @@ def payloads(spark: SparkSession, sf: str) -> DataFrame:
             "url_archive",
             F.col("statuscode").cast("int").alias("status"),
             F.when(F.col("statuscode") == "302", target).alias("location"),
-            F.lit(None).cast("string").alias("encoding"),
-            F.col("html").cast("binary").alias("body"),
+            F.when(is_packed, "gzip").alias("encoding"),
+            F.when(is_packed, F.col("packed")).otherwise(F.col("html")).alias("body"),
         )
     )
 

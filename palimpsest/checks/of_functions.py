@@ -74,25 +74,32 @@ def url_domain(spark, sf):
     )
 
 
+def _brief(kind: str, key: str) -> str:
+    return f"CASE WHEN {kind} IN ('document', 'text') THEN md5({key}) ELSE {key} END"
+
+
+_MERGED = f"(SELECT kind, id, url, url_key AS merged FROM {o.url_parts('addresses', 'url', also='kind, id, url')})"
+_APART = f"(SELECT kind, id, url, merged, url_key AS apart FROM {o.url_parts(_MERGED, 'url', merge_www=False, also='kind, id, url, merged')})"
+
+
 @query(
     "url_key",
     o.stmt(
         o.ADDRESSED,
-        f"""SELECT a.kind, a.id, a.url_key, b.url_key AS key_apart, c.url_key AS key_whole
-        FROM {o.url_parts('addresses', 'url', also='kind, id')} a
-        JOIN {o.url_parts('addresses', 'url', merge_www=False, also='kind, id')} b USING (kind, id)
-        JOIN {o.url_parts('addresses', 'url', embedded='keep', also='kind, id')} c USING (kind, id)""",
+        f"""SELECT kind, id, {_brief('kind', 'merged')} AS url_key, {_brief('kind', 'apart')} AS key_apart, {_brief('kind', 'url_key')} AS key_whole
+        FROM {o.url_parts(_APART, 'url', embedded='keep', also='kind, id, merged, apart')}""",
     ),
 )
 def url_key(spark, sf):
+    """Keys of all addresses in three ways; of those made of whole texts a digest."""
     rows = urls.with_url_parts(d.addresses(spark, sf), "url")
-    return rows.select(
-        "kind",
-        "id",
-        "url_key",
-        urls.url_key(U(), merge_www=False).alias("key_apart"),
-        urls.url_key(U(), embedded="keep").alias("key_whole"),
-    )
+    keys = {
+        "url_key": F.col("url_key"),
+        "key_apart": urls.url_key(U(), merge_www=False),
+        "key_whole": urls.url_key(U(), embedded="keep"),
+    }
+    long = F.col("kind").isin("document", "text")
+    return rows.select("kind", "id", *[F.when(long, F.md5(k)).otherwise(k).alias(name) for name, k in keys.items()])
 
 
 @query(

@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 from palimpsest.checks import derived as d
 from palimpsest.checks import oracle as o
 from palimpsest.checks.registry import query
-from palimpsest.functions import urls
+from palimpsest.functions import content, urls
 from palimpsest.operators import fetched, filters, overlay, report, versions
 from palimpsest.plans.job import CaptureJob
 from palimpsest.plans.ledger import Ledger
 from palimpsest.session import cut_lineage, scratch_path
 from palimpsest.sources import listing, results, tree
+from palimpsest.sources.buckets import BucketTable
 
 CAPTURE_COLUMNS = ["scid", "timestamp", "url_origin", "url_archive", "url_key", "statuscode", "response"]
 CAPTURE_SQL = ", ".join(CAPTURE_COLUMNS)
@@ -25,10 +26,12 @@ WORKED_SQL = ", ".join(WORKED_COLUMNS)
 
 
 HEADER = '[["timestamp","digest","mimetype","statuscode","original"],'
+# Files of the derived listing, at least, and lines of a file.
 FILES = 4
+LINES_PER_FILE = 250_000
 
 
-def _listing_files(spark, sf) -> list[str]:
+def listing_files(spark, sf) -> list[str]:
     """The derived listing as folders of one text file, in arrival order.
 
     Each file has a header first, and the last closes with `]]`.
@@ -36,31 +39,32 @@ def _listing_files(spark, sf) -> list[str]:
     path = scratch_path(spark, "listing")
     lines = d.listing_lines(spark, sf)
     last = lines.agg(F.max("line_no")).scalar()
+    files = max(FILES, -(-lines.count() // LINES_PER_FILE))
     closed = F.when(
         F.col("line_no") == last, F.concat(F.regexp_replace("line", r",\z", ""), F.lit("]"))
     ).otherwise(F.col("line"))
     first_round = lines.where(F.col("line_no") < d.LATER).agg(F.max("line_no")).scalar()
-    early = F.floor(F.col("line_no") * (FILES - 1) / (first_round + 1))
+    early = F.floor(F.col("line_no") * (files - 1) / (first_round + 1))
     body = lines.select(
-        F.when(F.col("line_no") < d.LATER, early).otherwise(FILES - 1).alias("file"), "line_no", closed.alias("value")
+        F.when(F.col("line_no") < d.LATER, early).otherwise(files - 1).alias("file"), "line_no", closed.alias("value")
     )
-    headers = spark.range(FILES).select(
+    headers = spark.range(files).select(
         F.col("id").alias("file"), F.lit(-1).cast("long").alias("line_no"), F.lit(HEADER).alias("value")
     )
-    rows = headers.union(body).repartition("file").sortWithinPartitions("file", "line_no")
+    rows = headers.union(body).repartition(files, "file").sortWithinPartitions("file", "line_no")
     rows.select("file", "value").write.partitionBy("file").text(path)
-    return [f"{path}/file={k}" for k in range(FILES)]
+    return [f"{path}/file={k}" for k in range(files)]
 
 
 @query("scan_cdx", o.stmt(o.LISTING, "SELECT line FROM lines"))
 def scan_cdx(spark, sf):
-    return listing.scan_listing(spark, _listing_files(spark, sf)).select("line")
+    return listing.scan_listing(spark, listing_files(spark, sf)).select("line")
 
 
 @query("scan_cdx_order", o.stmt(o.LISTING, "SELECT row_number() OVER (ORDER BY line_no) AS place, line FROM lines"))
 def scan_cdx_order(spark, sf):
     """Every line with its place: files by name, lines as they stand in their file."""
-    scanned = listing.scan_listing(spark, _listing_files(spark, sf))
+    scanned = listing.scan_listing(spark, listing_files(spark, sf))
     stored = cut_lineage(scanned.withColumn("scid", F.col("line_no")), "scanned")
     return versions.enumerate_captures(stored, into="place").select("place", "line")
 
@@ -75,7 +79,7 @@ def job_filter_url_apart(spark, sf):
 
 @query("count_cdx_rows", o.stmt(o.LISTING, "SELECT count(*) AS listing_rows FROM raw"))
 def count_cdx_rows(spark, sf):
-    return listing.count_rows(listing.scan_listing(spark, _listing_files(spark, sf)))
+    return listing.count_rows(listing.scan_listing(spark, listing_files(spark, sf)))
 
 
 @query(
@@ -137,11 +141,11 @@ def scan_results(spark, sf):
 
 @query(
     "write_snapshot_tree",
-    o.stmt([*o.KEPT, o.PAYLOADS], "SELECT domain, url_key AS rel_path, md5(body) AS body_md5 FROM kept JOIN payloads USING (url_archive)"),
+    o.stmt([*o.KEPT, o.NARROW_PAYLOADS], "SELECT domain, url_key AS rel_path, body_md5 FROM kept JOIN payloads USING (url_archive)"),
 )
 def write_snapshot_tree(spark, sf):
     path = scratch_path(spark, "tree")
-    kept = d.kept(spark, sf).join(d.payloads(spark, sf), "url_archive")
+    kept = content.decode_payload(d.kept(spark, sf).join(d.payloads(spark, sf), "url_archive"))
     tree.write_snapshot_tree(kept.withColumn("rel_path", F.col("url_key")), path)
     stored = spark.read.schema("domain string, rel_path string, body binary").parquet(path)
     return stored.select("domain", "rel_path", F.md5("body").alias("body_md5"))
@@ -344,6 +348,21 @@ def overlay_results(spark, sf):
     return d.worked(spark, sf).select(*WORKED_COLUMNS)
 
 
+@query("overlay_update", o.stmt(o.WORK, f"SELECT {WORKED_SQL} FROM worked"))
+def overlay_update(spark, sf):
+    """Results laid over a stored table in place, first those of half of the rows, then all."""
+    empty = {c: F.lit(None).cast("string") for c in ("redirect_url", "redirect_timestamp", "file")}
+    rows = d.distinct_captures(spark, sf).withColumns(empty).select(*WORKED_COLUMNS)
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = BucketTable(spark, scratch_path(spark, "captures"), rows.schema, ["timestamp", "url_origin"], buckets)
+    table.prepare(0, rows)
+    table.replay(0)
+    earlier = cut_lineage(d.earlier_results(spark, sf), "earlier")
+    overlay.overlay_update(table, earlier.where(F.col("csv_line") % 2 == 0), 1)
+    overlay.overlay_update(table, earlier, 2)
+    return table.read().select(*WORKED_COLUMNS)
+
+
 @query(
     "overlay_counts",
     o.stmt(
@@ -372,7 +391,7 @@ _PLAIN = f"""plain AS (
 )
 def apply_outcomes(spark, sf):
     worked = d.worked(spark, sf)
-    joined = fetched.attach_payloads(worked, d.payloads(spark, sf))
+    joined = fetched.attach_payloads(worked, d.payloads(spark, sf).drop("body"))
     good = F.col("status") == 200
     outcomes = joined.select(
         "scid", F.col("status").cast("string").alias("response"), F.when(good, F.col("url_key")).alias("file")
@@ -386,14 +405,15 @@ def apply_outcomes(spark, sf):
 @query(
     "attach_payloads",
     o.stmt(
-        [*o.WORK, o.PAYLOADS],
+        [*o.WORK, o.NARROW_PAYLOADS],
         """SELECT w.scid, w.url_archive, w.response, p.status IS NOT NULL AS fetched, CAST(p.status AS VARCHAR) AS status,
-          p.location, md5(p.body) AS body_md5
+          p.location, p.body_md5
         FROM worked w LEFT JOIN payloads p ON p.url_archive = w.url_archive AND w.response IS NULL""",
     ),
 )
 def attach_payloads(spark, sf):
-    joined = fetched.attach_payloads(d.worked(spark, sf), d.payloads(spark, sf))
+    worked = cut_lineage(d.worked(spark, sf), "worked")
+    joined = content.decode_payload(fetched.attach_payloads(worked, d.payloads(spark, sf)))
     return joined.select(
         "scid",
         "url_archive",
@@ -428,8 +448,8 @@ trails AS (
 @query(
     "payload_index",
     o.stmt(
-        [*o.DISTINCTS, o.PAYLOADS],
-        "SELECT url_archive, CAST(status AS VARCHAR) AS status, location, contains(left(lower(body), 15), '<!doctype html>') AS is_html FROM payloads",
+        [*o.DISTINCTS, o.NARROW_PAYLOADS],
+        "SELECT url_archive, CAST(status AS VARCHAR) AS status, location, is_html FROM payloads",
     ),
 )
 def payload_index(spark, sf):
@@ -455,6 +475,60 @@ def resolve_redirects(spark, sf):
     )
 
 
+# Lines of 41 redirect to the next one; every fifth run of them leads back to its beginning.
+_RUN, _ROUND = 41, 5
+CHAINED = f"""chained AS MATERIALIZED (
+  SELECT a.url_archive, CASE WHEN a.scid % {_RUN} = {_RUN - 1} AND a.scid // {_RUN} % {_ROUND} <> 0 THEN 200 ELSE 302 END AS status,
+    CASE WHEN a.scid % {_RUN} = {_RUN - 1} AND a.scid // {_RUN} % {_ROUND} <> 0 THEN NULL ELSE b.url_archive END AS location
+  FROM distinct_captures a LEFT JOIN (SELECT scid, url_archive FROM captures WHERE scid < {d.LATER}) b
+    ON b.scid = CASE WHEN a.scid % {_RUN} = {_RUN - 1} THEN a.scid - {_RUN - 1} ELSE a.scid + 1 END)"""
+
+
+def _chained(spark, sf):
+    """An index whose redirects make long chains and loops."""
+    found = d.distinct_captures(spark, sf).select("scid", "url_archive")
+    ahead = d.captures(spark, sf).where(F.col("scid") < d.LATER).select(F.col("scid").alias("__to"), F.col("url_archive").alias("location"))
+    last = F.col("scid") % _RUN == _RUN - 1
+    ends = last & (F.floor(F.col("scid") / _RUN) % _ROUND != 0)
+    led = found.withColumn("__to", F.when(last, F.col("scid") - (_RUN - 1)).otherwise(F.col("scid") + 1)).join(ahead, "__to", "left")
+    return cut_lineage(
+        led.select(
+            "scid", "url_archive", F.when(ends, 200).otherwise(302).alias("status"), F.when(~ends, F.col("location")).alias("location")
+        ),
+        "chained",
+    )
+
+
+@query(
+    "resolve_redirects_deep",
+    o.stmt(
+        [
+            *o.DISTINCTS,
+            CHAINED,
+            """walk AS (
+  SELECT url_archive AS start, [url_archive] AS seen, location AS next FROM chained WHERE status = 302 AND location IS NOT NULL
+  UNION ALL
+  SELECT w.start, list_append(w.seen, w.next), c.location
+  FROM walk w LEFT JOIN (SELECT * FROM chained WHERE status = 302) c ON c.url_archive = w.next
+  WHERE w.next IS NOT NULL AND NOT list_contains(w.seen, w.next))""",
+            """ends AS (
+  SELECT start, seen, next FROM walk WHERE next IS NULL OR list_contains(seen, next))""",
+        ],
+        """SELECT d.scid, e.start AS redirect_url, CASE WHEN next IS NULL THEN seen[-1] ELSE start END AS redirect_target,
+          CASE WHEN next IS NULL THEN len(seen) - 1 END AS hops,
+          CASE WHEN next IS NOT NULL THEN list_min(seen[list_position(seen, next):]) END AS loop, CAST(c.status AS VARCHAR) AS final_status
+        FROM ends e JOIN distinct_captures d ON d.url_archive = e.start
+        LEFT JOIN chained c ON c.url_archive = CASE WHEN next IS NULL THEN seen[-1] ELSE start END""",
+        recursive=True,
+    ),
+)
+def resolve_redirects_deep(spark, sf):
+    """Redirects of forty hops and in circles, followed to their ends."""
+    index = _chained(spark, sf)
+    found = fetched.resolve_redirects_fully(index, index.drop("scid"))
+    return found.withColumn("final_status", F.col("final_status").cast("string"))
+
+
 def _files_sql(name: str = "files") -> str:
     """Keys of all pages and, as files, the folders they lie in."""
     return f"""{name} AS (
@@ -642,20 +716,20 @@ def capture_run(spark, sf):
     results.write_results(ordered, earlier)
     payloads = cut_lineage(d.payloads(spark, sf), "payloads")
     tables = CaptureJob(mode="last").run(
-        spark, _listing_files(spark, sf), scratch_path(spark, "run"), payloads, earlier
+        spark, listing_files(spark, sf), scratch_path(spark, "run"), payloads, earlier
     )
     return tables.final.select(*FINISHED_COLUMNS)
 
 
-_RESUMED = ["timestamp", "url_origin", "url_archive", "url_key", "statuscode", "response"]
+RESUMED = ["timestamp", "url_origin", "url_archive", "url_key", "statuscode", "response"]
 
 
-@query("capture_resume", o.stmt(o.KEPT, f"SELECT {', '.join(_RESUMED)} FROM kept"))
+@query("capture_resume", o.stmt(o.KEPT, f"SELECT {', '.join(RESUMED)} FROM kept"))
 def capture_resume(spark, sf):
     """A run over half of a listing's files, then one over all: the versions are those of a single run."""
-    files, root = _listing_files(spark, sf), scratch_path(spark, "run")
-    CaptureJob().run(spark, files[: FILES // 2], root)
-    return CaptureJob().run(spark, files, root).versions.select(*_RESUMED)
+    files, root = listing_files(spark, sf), scratch_path(spark, "run")
+    CaptureJob().run(spark, files[: len(files) // 2], root)
+    return CaptureJob().run(spark, files, root).versions.select(*RESUMED)
 
 
 @query(
@@ -715,15 +789,19 @@ def job_summary(spark, sf):
     return report.job_summary(d.worked(spark, sf))
 
 
-def _funnel_sql(mode: str, skip_first: bool = False) -> str:
+def _funnel_sql(mode: str, skip_first: bool = False, rerun: bool = False) -> str:
     kept = "distinct_captures" if mode == "all" else "kept"
     ctes = o.DISTINCTS if mode == "all" else [*o.DISTINCTS, o.kept_cte(mode)]
+    existing = "0"
+    if rerun:
+        ctes = [*ctes, o.EARLIER, o.worked_cte(kept)]
+        existing = "(SELECT count(*) FROM worked WHERE response IS NOT NULL AND statuscode NOT IN ('301', '404'))"
     if skip_first:
         kept = "(SELECT * FROM distinct_captures WHERE response IS NULL QUALIFY row_number() OVER (PARTITION BY url_key ORDER BY timestamp DESC, scid) = 1)"
     aside = "(SELECT count(response) FROM distinct_captures)" if skip_first else "0"
     return o.stmt(
         ctes,
-        f"""SELECT *, kept - skip_statuscode + {aside} AS to_utilize FROM (
+        f"""SELECT *, kept - skip_statuscode + {aside} - skip_existing AS to_utilize FROM (
         SELECT (SELECT count(*) FROM raw) AS total,
           (SELECT count(*) FROM parsed WHERE verdict = 'faulty') AS faulty,
           (SELECT count(*) FROM parsed WHERE verdict = 'malformed') AS malformed,
@@ -731,7 +809,7 @@ def _funnel_sql(mode: str, skip_first: bool = False) -> str:
           (SELECT count(*) FROM captures) - (SELECT count(*) FROM distinct_captures) AS duplicates,
           (SELECT count(*) FROM distinct_captures) - (SELECT count(*) FROM {kept}) - {aside} AS versions,
           (SELECT count(*) FROM {kept}) AS kept,
-          (SELECT count(response) FROM {kept}) + {aside} AS skip_statuscode, 0 AS skip_existing)""",
+          (SELECT count(response) FROM {kept}) + {aside} AS skip_statuscode, {existing} AS skip_existing)""",
     )
 
 
@@ -741,8 +819,26 @@ def _funnel(name: str, mode: str, skip_first: bool = False) -> None:
         lines = cut_lineage(urls.with_url_parts(d.parsed(spark, sf)), "lines")
         return report.capture_funnel(lines, mode, skip_first)
 
+    @query(name.replace("funnel", "funnel_once"), _funnel_sql(mode, skip_first))
+    def once(spark, sf):
+        return report.capture_funnel_once(urls.with_url_parts(d.parsed(spark, sf)), mode, skip_first)
+
 
 _funnel("capture_funnel", "last")
 _funnel("capture_funnel_first", "first")
 _funnel("capture_funnel_all", "all")
 _funnel("capture_funnel_skip_first", "last", True)
+
+
+def _funnel_rerun(name: str, mode: str) -> None:
+    @query(name, _funnel_sql(mode, rerun=True))
+    def run(spark, sf):
+        """What is left to do in a run that follows another."""
+        lines = cut_lineage(urls.with_url_parts(d.parsed(spark, sf)), "lines")
+        job = CaptureJob(mode=mode)
+        overlaid = job.overlaid(job.versions(job.captures(lines)), d.earlier_results(spark, sf))
+        return report.capture_funnel_once(lines, mode, overlaid=overlaid)
+
+
+_funnel_rerun("capture_funnel_rerun", "last")
+_funnel_rerun("capture_funnel_rerun_all", "all")

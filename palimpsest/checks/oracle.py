@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from http import HTTPStatus
 
-from palimpsest.checks.derived import EARLIER_RUN, LATER, STEP
+from palimpsest.checks.derived import CUT_EVERY, EARLIER_RUN, LATER, SHORT_EVERY, STEP
 from palimpsest.schema import PATH_SPECIALS
 
 
@@ -91,8 +91,9 @@ FETCHES = f"""fetches AS (
   FROM events e JOIN pages p ON p.page_id = e.event_id % (SELECT count(*) FROM pages))"""
 
 RAW = f"""raw AS (
-  SELECT line_no, CASE WHEN line_no % 211 = 5 THEN left(j, 40) ELSE j END AS line FROM (
-    SELECT CASE WHEN again THEN line_no + {LATER} ELSE line_no END AS line_no,
+  SELECT line_no, CASE WHEN line_no % {CUT_EVERY} = 5 THEN left(j, 40)
+      WHEN line_no % {SHORT_EVERY} = 7 THEN '["' || timestamp || '","' || digest || '","' || mimetype || '"],' ELSE j END AS line FROM (
+    SELECT CASE WHEN again THEN line_no + {LATER} ELSE line_no END AS line_no, timestamp, digest, mimetype,
       '["' || timestamp || '","' || digest || '","' || mimetype || '","' || CASE WHEN again THEN '404' ELSE statuscode END || '","' || url_origin || '"],' AS j
     FROM (SELECT *, unnest(CASE WHEN line_no % 10 = 3 THEN [false, true] ELSE [false] END) AS again FROM fetches)))"""
 
@@ -109,13 +110,13 @@ PARSED = """parsed AS (
       j ->> 2 AS mimetype, j ->> 3 AS statuscode, j ->> 4 AS url_origin
     FROM (SELECT line_no, line, json_valid(line) AS good, CASE WHEN json_valid(line) THEN line::JSON END AS j FROM lines)))"""
 
-CAPTURES = f"""captures AS (
+CAPTURES = f"""captures AS MATERIALIZED (
   SELECT line_no, line_no AS scid, timestamp, digest, mimetype, statuscode, url_origin,
     'https://web.archive.org/web/' || timestamp || 'id_/' || url_origin AS url_archive,
     domain, url_key, CASE WHEN statuscode IN ('301', '404') THEN statuscode END AS response
   FROM {url_parts("(SELECT * FROM parsed WHERE verdict = 'ok')", 'url_origin')})"""
 
-DISTINCT = """distinct_captures AS (
+DISTINCT = """distinct_captures AS MATERIALIZED (
   SELECT * FROM captures QUALIFY row_number() OVER (PARTITION BY timestamp, url_origin ORDER BY scid) = 1)"""
 
 
@@ -135,6 +136,17 @@ PAYLOADS = f"""payloads AS (
   LEFT JOIN (SELECT scid - 1 AS before, url_archive FROM captures WHERE scid < {LATER}) a ON a.before = d.scid
   JOIN (SELECT upper(md5(url)) AS digest, html FROM pages) p ON p.digest = d.digest)"""
 
+# The same without bodies: what queries need to know of a body is taken from the page before it meets captures.
+NARROW_PAYLOADS = f"""page_digests AS MATERIALIZED (
+  SELECT upper(md5(url)) AS digest, md5(html) AS body_md5, contains(left(lower(html), 15), '<!doctype html>') AS is_html FROM pages),
+payloads AS (
+  SELECT d.url_archive, CAST(d.statuscode AS INTEGER) AS status,
+    CASE WHEN d.statuscode = '302' THEN coalesce(a.url_archive, '/web/' || d.timestamp || 'id_/moved/../gone?to=' || d.digest) END AS location,
+    p.body_md5, p.is_html
+  FROM distinct_captures d
+  LEFT JOIN (SELECT scid - 1 AS before, url_archive FROM captures WHERE scid < {LATER}) a ON a.before = d.scid
+  JOIN page_digests p ON p.digest = d.digest)"""
+
 EARLIER = f"""earlier AS (
   SELECT scid * 2 + attempt AS csv_line, timestamp, url_archive, url_origin,
     CASE WHEN attempt = 1 THEN url_archive END AS redirect_url,

@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palimpsest.functions import archive, content, paths, urls
 from palimpsest.operators.versions import arrival
 from palimpsest.session import cut_lineage
 
+# Bits of an address filter: this many per address, in whole bitmaps of Spark's size, and 32 MB at most.
+FILTER_BITS = 16
+BITMAP_BITS = 32_768
+MOST_FILTER_BITS = 1 << 28
+
 # Fixed value: requests spent on following one redirect. The first repeats the
 # redirecting address itself, so four further addresses are visited.
 REDIRECT_REQUESTS = 5
@@ -36,14 +42,53 @@ def narrow_index(payloads: DataFrame) -> DataFrame:
     return payloads.select("url_archive", "status", "location", html)
 
 
+def address_filter(addresses: DataFrame) -> tuple[DataFrame, int]:
+    """Bitmaps in which the hash of every address has set a bit, and how many bits they have together.
+
+    ``addresses`` is a stored table of one column. The filter's size follows from their number and is
+    bounded; beyond the bound it lets more other addresses pass, never fewer of its own.
+    """
+    wanted = max(FILTER_BITS * addresses.count(), BITMAP_BITS)
+    bits = min(1 << (wanted - 1).bit_length(), MOST_FILTER_BITS)
+    place = _filter_place(F.col(addresses.columns[0]), bits)
+    places = addresses.select(place.alias("__place"))
+    return (
+        places.groupBy(F.bitmap_bucket_number("__place").alias("__bitmap"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("__place")).alias("__bits")),
+        bits,
+    )
+
+
+def _filter_place(address: Column, bits: int) -> Column:
+    return F.pmod(F.xxhash64(address), F.lit(bits)) + 1
+
+
+def possibly_among(rows: DataFrame, column: str, addresses: DataFrame) -> DataFrame:
+    """Rows whose address is among ``addresses``, and a few others: about one in ``FILTER_BITS``.
+
+    The filter is broadcast, at 32 MB or less, and tested where rows are read, ahead of any shuffle; a
+    bucketed table stays bucketed.
+    """
+    bitmaps, bits = address_filter(addresses)
+    place = _filter_place(F.col(column), bits)
+    position = F.bitmap_bit_position("__at")
+    byte = F.conv(F.hex(F.call_function("substring", F.col("__bits"), F.floor(position / 8).cast("int") + 1, F.lit(1))), 16, 10)
+    is_set = F.call_function("shiftright", byte.cast("int"), (position % 8).cast("int")).bitwiseAND(1) == 1
+    given = rows.withColumn("__at", place).withColumn("__bitmap", F.bitmap_bucket_number("__at"))
+    return given.join(F.broadcast(bitmaps), "__bitmap").where(is_set).select(*rows.columns)
+
+
 def wanted_bodies(payloads: DataFrame, addresses: DataFrame) -> DataFrame:
     """Unpacked bodies of the addresses that will be written, with ``is_html``.
 
     ``addresses`` is a stored table of one column: small enough, it is sent to the bodies, and a
-    table bucketed by address is read without a shuffle. Only bodies that are left are unpacked.
+    table bucketed by address is read without a shuffle. Otherwise a filter of bounded size goes
+    ahead, so that few bodies move that are not wanted. Only bodies that are left are unpacked.
     """
     goals = addresses.toDF("url_archive")
-    left = content.decode_payload(payloads.join(goals, "url_archive", "left_semi"))
+    near = possibly_among(payloads, "url_archive", goals)
+    # an inner join: Spark would move a semi join ahead of the filter
+    left = content.decode_payload(near.join(goals.distinct(), "url_archive"))
     return left.select("url_archive", "body", content.is_html(F.col("body")).alias("is_html"))
 
 
@@ -58,8 +103,13 @@ def attach_payloads(captures: DataFrame, payloads: DataFrame) -> DataFrame:
 
     Any columns come along, whole payloads or an index of them. Closed captures and those
     without payload keep NULLs. The condition on ``response`` sits in the join, not in its
-    key: the key stays unique on both sides and NULLs cannot pile up in one task.
+    key: the key stays unique on both sides and NULLs cannot pile up in one task. Bodies come
+    along only past a filter of the open addresses, ahead of the join; ``captures`` is read
+    once more for it and should be a stored table.
     """
+    if "body" in payloads.columns:
+        asked = cut_lineage(captures.where(F.col("response").isNull()).select("url_archive").distinct(), "asked")
+        payloads = possibly_among(payloads, "url_archive", asked)
     given = payloads.select(
         F.col("url_archive").alias("__address"),
         *[c for c in payloads.columns if c != "url_archive"],
@@ -157,6 +207,77 @@ def follow_redirects(attached: DataFrame, index: DataFrame) -> DataFrame:
     )
 
 
+def redirect_ends(index: DataFrame) -> DataFrame:
+    """Where each redirecting address of an index ends, however many hops away.
+
+    Gives ``address, target, hops, loop``. Pointers are doubled: a round replaces every pointer by the one of the
+    address it points at, so that n hops take log n rounds. A pointer that is still open after more
+    hops than there are addresses to pass runs in circles; ``loop`` is then the smallest
+    address of its circle, ``target`` and ``hops`` are NULL. Locations are resolved against the address
+    that gives them, so a relative one may lead elsewhere than in ``resolve_redirects``. Many addresses may point at one: pointers are a stored table with unique
+    addresses, so that adaptive execution splits such a key.
+    """
+    onward = archive.resolve_url(F.col("url_archive"), F.col("location"))
+    moved = index.where((F.col("status") == 302) & F.col("location").isNotNull())
+    state = moved.select(
+        F.col("url_archive").alias("address"),
+        onward.alias("target"),
+        F.lit(1).cast("long").alias("hops"),
+        onward.alias("least"),
+        F.lit(True).alias("open"),
+    )
+    state, reach = cut_lineage(state, "pointers"), 1
+    while running := state.where("open").count():
+        # an address that is still open and in no circle has at most this many hops to go
+        enough = running + reach
+        there = state.select(
+            F.col("address").alias("target"),
+            F.col("target").alias("__target"),
+            F.col("hops").alias("__hops"),
+            F.col("least").alias("__least"),
+            F.col("open").alias("__open"),
+        )
+        on = F.col("__target").isNotNull()
+        jumped = state.where("open").join(there, "target", "left").select(
+            "address",
+            F.coalesce("__target", "target").alias("target"),
+            F.when(on, F.col("hops") + F.col("__hops")).otherwise(F.col("hops")).alias("hops"),
+            F.when(on, F.least("least", "__least")).otherwise(F.col("least")).alias("least"),
+            F.coalesce("__open", F.lit(False)).alias("open"),
+        )
+        state = cut_lineage(state.where("NOT open").unionByName(jumped), "pointers")
+        reach *= 2
+        if reach >= enough:
+            break
+    ended = state.where("NOT open").select("address", "target", "hops", F.lit(None).cast("string").alias("loop"))
+    circling = state.where("open")
+    # a pointer this long stands inside its circle, and the one from there has been all round it
+    names = circling.select(F.col("address").alias("target"), F.col("least").alias("loop"))
+    looping = circling.select("address", "target").join(names, "target").select(
+        "address", F.lit(None).cast("string").alias("target"), F.lit(None).cast("long").alias("hops"), "loop"
+    )
+    return ended.unionByName(looping)
+
+
+def resolve_redirects_fully(attached: DataFrame, index: DataFrame) -> DataFrame:
+    """``resolve_redirects`` without a limit of requests.
+
+    Gives ``scid, redirect_url, redirect_target, hops, final_status, loop``; in a loop the target is the
+    address itself and ``final_status`` its own 302.
+    """
+    ends = cut_lineage(redirect_ends(index), "redirect-ends")
+    moved = attached.where((F.col("status") == 302) & F.col("location").isNotNull()).select("scid", F.col("url_archive").alias("address"))
+    known = index.select(F.col("url_archive").alias("redirect_target"), F.col("status").alias("final_status"))
+    led = moved.join(ends, "address").select(
+        "scid",
+        F.col("address").alias("redirect_url"),
+        F.coalesce("target", "address").alias("redirect_target"),
+        "hops",
+        "loop",
+    )
+    return led.join(known, "redirect_target", "left").select("scid", "redirect_url", "redirect_target", "hops", "final_status", "loop")
+
+
 def without_redirects(attached: DataFrame) -> DataFrame:
     return attached.withColumns(
         {"final_status": F.col("status"), "body_address": F.col("url_archive")}
@@ -181,28 +302,33 @@ def flag_long_paths(df: DataFrame, limit: int = paths.PATH_LIMIT, root: str = ""
     return df.withColumn("too_long", paths.path_too_long(full, limit))
 
 
+def _folder_order(path: Column) -> Column:
+    """A text in whose order a path is followed by what lies below it, before any other path.
+
+    The slash becomes the lowest character; that one and the next are written as two.
+    """
+    free = F.replace(F.replace(path, F.lit("\x01"), F.lit("\x01\x01")), F.lit("\x00"), F.lit("\x01\x00"))
+    return F.replace(free, F.lit("/"), F.lit("\x00"))
+
+
 def path_conflicts(files: DataFrame, stored: DataFrame | None = None) -> DataFrame:
     """Distinct paths of ``files`` that are also a folder of another path.
 
-    ``stored`` holds paths of earlier runs, whose folders count as well. Every path names
-    its folders; both sets are made distinct before they meet, so a folder shared by a
-    third of all files is one row per input partition at most.
+    ``stored`` holds paths of earlier runs, whose folders count as well. Paths are sorted over ranges so that
+    whatever lies below a path comes next to it: a path is a folder if its successor begins
+    with it. The successor of a range's last path is the first one of the next range, a row per range.
+    One row per path is shuffled, however deep it lies.
     """
-    paths_ = files.select("rel_path")
-    every = paths_ if stored is None else paths_.unionByName(stored.select("rel_path"))
-    depths = F.sequence(F.lit(1), F.size("__parts") - 1)
-    folders = (
-        every.distinct()
-        .withColumn("__parts", F.split("rel_path", "/", -1))
-        .where(F.size("__parts") > 1)
-        .select(
-            F.explode(
-                F.transform(depths, lambda n: F.array_join(F.slice("__parts", F.lit(1), n), "/"))
-            ).alias("rel_path")
-        )
-        .distinct()
-    )
-    return paths_.distinct().join(folders, "rel_path", "left_semi")
+    own = files.select("rel_path", F.lit(True).alias("__own"))
+    every = own if stored is None else own.unionByName(stored.select("rel_path", F.lit(False).alias("__own")))
+    distinct = every.where("rel_path IS NOT NULL").groupBy("rel_path").agg(F.max("__own").alias("__own"))
+    ranges = distinct.withColumn("__key", _folder_order(F.col("rel_path"))).repartitionByRange("__key")
+    ordered = cut_lineage(ranges.withColumn("__range", F.spark_partition_id()), "sorted-paths")
+    firsts = ordered.groupBy("__range").agg(F.min_by("rel_path", "__key").alias("__first"))
+    carried = firsts.select("__range", F.lead("__first").over(W.orderBy("__range")).alias("__carried"))
+    following = F.coalesce(F.lead("rel_path").over(W.partitionBy("__range").orderBy("__key")), F.col("__carried"))
+    below = F.coalesce(F.col("__next").startswith(F.concat("rel_path", F.lit("/"))), F.lit(False))
+    return ordered.join(carried, "__range").withColumn("__next", following).where(F.col("__own") & below).select("rel_path")
 
 
 def settle_conflicts(files: DataFrame, stored: DataFrame | None = None) -> DataFrame:

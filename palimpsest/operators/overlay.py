@@ -6,18 +6,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from palimpsest.session import cut_lineage
+from palimpsest.sources.buckets import BucketTable
+
 IDENTITY = ["timestamp", "url_origin", "url_archive"]
 # columns a result row overwrites
 CARRIED = ["url_archive", "redirect_url", "redirect_timestamp", "response", "file"]
 
 
-def anti_existing(new: DataFrame, existing: DataFrame) -> DataFrame:
-    """Rows of ``new`` that ``existing`` does not hold yet.
+def anti_existing(new: DataFrame, existing: DataFrame, identity: list[str] = IDENTITY) -> DataFrame:
+    """Rows of ``new`` that ``existing`` does not hold yet, by the columns that make a capture.
 
     Both sides come down to one row per identity first (for ``new`` the caller's
     ``dedup_first``, here a partial aggregation for ``existing``), so no key is hot.
     """
-    return new.join(existing.select(*IDENTITY).distinct(), IDENTITY, "left_anti")
+    return new.join(existing.select(*identity).distinct(), identity, "left_anti")
 
 
 def append_new(new: DataFrame, existing: DataFrame) -> DataFrame:
@@ -50,6 +53,29 @@ def overlay_results(captures: DataFrame, results: DataFrame) -> DataFrame:
     return joined.withColumns(carried).select(*captures.columns)
 
 
+def overlay_update(table: BucketTable, results: DataFrame, number: int) -> list[int]:
+    """Lay results over a stored table in place; the numbers of the buckets that are written anew.
+
+    ``table`` is bucketed by timestamp and address and has the columns that a result carries over. Only
+    buckets that results fall into are read, and only those in which a value changes are written. An
+    update that died is made again by calling with its ``number``; each update has its own.
+    """
+    if table.is_prepared(number):
+        table.replay(number)
+        return []
+    order = [c for c in ("src_file", "csv_line") if c in results.columns]
+    latest = cut_lineage(last_results(results).select(*order, "timestamp", "url_origin", *CARRIED), "latest-results")
+    stored = table.read(table.touched(latest))
+    news = latest.select("timestamp", "url_origin", F.struct(*CARRIED).alias("__news"))
+    differs = ~F.struct(*CARRIED).eqNullSafe(F.col("__news"))
+    hit = stored.join(news, ["timestamp", "url_origin"]).where(differs).select("bucket").distinct()
+    changed = sorted(r.bucket for r in hit.collect())
+    if changed:
+        table.prepare(number, overlay_results(table.read(changed), latest))
+        table.replay(number)
+    return changed
+
+
 def overlay_counts(captures: DataFrame, results: DataFrame) -> DataFrame:
     """How many result rows there were, and how many captures they closed."""
     rows = results.agg(F.count("*").alias("csv_rows"))

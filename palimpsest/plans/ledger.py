@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.schema import LEDGER
+from palimpsest.session import exists
 
 
 class Ledger:
@@ -35,15 +36,9 @@ class Ledger:
         entry = [(self.job_id, stage, True, rows, progress)]
         self.spark.createDataFrame(entry, LEDGER).coalesce(1).write.mode("append").parquet(self.record_path)
 
-    def _exists(self, path: str) -> bool:
-        """Whether there is such a folder, as the file system that Spark uses says."""
-        place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        system = place.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
-        return system.exists(place)
-
     def entries(self) -> DataFrame:
         """The entry of each stage of this job; of repeated ones that with most rows."""
-        if not self._exists(self.record_path):
+        if not exists(self.spark, self.record_path):
             return self.spark.createDataFrame([], LEDGER)
         record = self.spark.read.schema(LEDGER).parquet(self.record_path)
         return (
@@ -55,6 +50,11 @@ class Ledger:
     def is_done(self, stage: str) -> bool:
         return bool(self.entries().where((F.col("stage") == stage) & F.col("done")).take(1))
 
+    def first_entry(self, prefix: str) -> str | None:
+        """What follows a prefix in the first stage name that has it, by name."""
+        found = self.entries().where(F.col("stage").startswith(prefix)).agg(F.min("stage")).first()[0]
+        return None if found is None else found.removeprefix(prefix)
+
     def runs(self) -> int:
         """How many runs of this job have finished."""
         return self.entries().where("stage LIKE 'run-%'").count()

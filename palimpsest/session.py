@@ -62,3 +62,36 @@ def cut_lineage(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _system(spark: SparkSession, path: str):
+    """The file system of a path, as Spark uses it, and the path in its terms."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), place
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is such a file or folder on the storage that Spark uses."""
+    system, place = _system(spark, path)
+    return system.exists(place)
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, sorted; none if there is no such folder."""
+    system, place = _system(spark, path)
+    return sorted(s.getPath().getName() for s in system.listStatus(place)) if system.exists(place) else []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder of this package's own making with all that is in it."""
+    system, place = _system(spark, path)
+    system.delete(place, True)
+
+
+def move(spark: SparkSession, source: str, target: str) -> None:
+    """Give a file or folder another path on the same storage; folders above it are made."""
+    system, place = _system(spark, source)
+    goal = spark._jvm.org.apache.hadoop.fs.Path(target)
+    system.mkdirs(goal.getParent())
+    if not system.rename(place, goal):
+        raise OSError(f"{source} cannot be moved to {target}")

@@ -24,6 +24,9 @@ BLANKS = (
 
 HEADER_MARK = "[["
 
+# Of stored captures: small enough that one site is a few row groups, large enough to read in one go.
+ROW_GROUP_BYTES = 32 * 1024 * 1024
+
 
 def clean_line(text: Column) -> Column:
     """Strip blanks, the bracket that closes the whole listing or one trailing comma."""
@@ -142,15 +145,21 @@ def to_captures(parsed: DataFrame, merge_www: bool = True, embedded: str = "cut"
     )
 
 
-def land_captures(captures: DataFrame, path: str) -> None:
+def land_captures(captures: DataFrame, path: str, row_group_bytes: int = ROW_GROUP_BYTES) -> None:
     """Store captures as parquet, clustered by domain and key.
 
     Range partitioning spreads a domain that holds much of the data over many tasks and
-    files, and the clustering lets filters on domain, key and time skip row groups.
+    files, and the clustering lets filters on domain, key and time skip row groups by
+    their statistics. Addresses and digests are in no such order; for them a Bloom filter per
+    row group tells which ones cannot hold a value.
     """
-    (
+    writer = (
         captures.repartitionByRange("domain", "url_key", "timestamp")
         .sortWithinPartitions("domain", "url_key", "timestamp")
         .write.mode("overwrite")
-        .parquet(path)
+        .option("parquet.block.size", row_group_bytes)
     )
+    for name in ("url_origin", "url_archive", "digest"):
+        if name in captures.columns:
+            writer = writer.option(f"parquet.bloom.filter.enabled#{name}", "true")
+    writer.parquet(path)

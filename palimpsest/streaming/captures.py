@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.operators.versions import top_of
+from palimpsest.session import children, exists, remove
 from palimpsest.sources import listing
 
 CARRIED = ["url_origin", "url_archive", "digest", "mimetype", "statuscode", "response"]
@@ -42,13 +44,27 @@ def land_lines(spark: SparkSession, folder: str, path: str, checkpoint: str, **t
     )
 
 
-def read_landed(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
-    """Stream of landed lines in the order of their landing."""
-    return (
+def read_landed(spark: SparkSession, path: str, files_per_trigger: int = 100, timed: bool = False) -> DataFrame:
+    """Stream of landed lines in the order of their landing; ``timed`` adds ``landed_at``."""
+    lines = (
         spark.readStream.schema("line_no long, line string, batch_id long")
         .option("maxFilesPerTrigger", files_per_trigger)
         .parquet(path)
     )
+    return lines.withColumn("landed_at", F.col("_metadata.file_modification_time")) if timed else lines
+
+
+def drop_repeated_within(captures: DataFrame, delay: str) -> DataFrame:
+    """Leave out captures that were seen already during ``delay``, such as ``1 day``; off unless called.
+
+    The state holds what landed within the delay and no more. Time is that of landing, which needs
+    ``read_landed(timed=True)``: a capture from long ago is not late, since files are read in the
+    order they landed in. What lets the state shrink also lets repeats through: one that lands more than the
+    delay after the first one may be passed on, so results equal those without this step only if
+    duplicates are removed behind it, as ``CaptureStore`` does.
+    """
+    timed = captures.withWatermark("landed_at", delay)
+    return timed.dropDuplicatesWithinWatermark(["timestamp", "url_origin"]).drop("landed_at")
 
 
 def stream_captures(lines: DataFrame, merge_www: bool = True) -> DataFrame:
@@ -106,9 +122,51 @@ def append_changes(changes: DataFrame, path: str, checkpoint: str, **trigger):
     )
 
 
-def current(spark: SparkSession, path: str) -> DataFrame:
+def _batches(spark: SparkSession, path: str) -> list[int]:
+    return sorted(int(n.removeprefix("batch_id=")) for n in children(spark, path) if n.startswith("batch_id="))
+
+
+def _snapshots(spark: SparkSession, path: str) -> list[int]:
+    """Last batches of the snapshots that were written to their end, in order."""
+    found = [int(n.removeprefix("upto=")) for n in children(spark, f"{path}/_snapshots") if n.startswith("upto=")]
+    return sorted(n for n in found if exists(spark, f"{path}/_snapshots/upto={n}/_SUCCESS"))
+
+
+def _log(spark: SparkSession, path: str) -> DataFrame:
+    """The latest snapshot and the batches after it, each row with its batch."""
+    upto = (_snapshots(spark, path) or [None])[-1]
+    tail = [f"{path}/batch_id={n}" for n in _batches(spark, path) if upto is None or n > upto]
+    snapshot = None if upto is None else spark.read.parquet(f"{path}/_snapshots/upto={upto}")
+    if not tail and snapshot is not None:
+        return snapshot
+    log = spark.read.option("basePath", path).parquet(*(tail or [path]))
+    log = log.withColumn("batch_id", F.col("batch_id").cast("long"))
+    return log if snapshot is None else snapshot.unionByName(log)
+
+
+def current(spark: SparkSession, path: str, keys: tuple[str, ...] = ("url_key",)) -> DataFrame:
     """Table of winners from a change log: the last batch per key counts."""
-    from palimpsest.operators.versions import top_of
+    return top_of(_log(spark, path), [*keys], F.desc("batch_id")).drop("batch_id")
 
-    log = spark.read.option("basePath", path).parquet(path)
-    return top_of(log, ["url_key"], F.desc("batch_id")).drop("batch_id")
+
+def compact(spark: SparkSession, path: str, keys: tuple[str, ...] = ("url_key",)) -> int | None:
+    """Store the winners of a change log as a snapshot; the last batch in it, or None for an empty log.
+
+    A snapshot counts from the moment that its folder is marked as whole, so a compaction that dies is
+    as if it had not been. Whoever began to read the snapshot before, and the batches after it, can read
+    on: these are removed by the compaction after this one. Compactions of one log follow each
+    other; the stream may go on meanwhile.
+    """
+    batches, known = _batches(spark, path), _snapshots(spark, path)
+    whole = [n for n in batches if exists(spark, f"{path}/batch_id={n}/_SUCCESS")]
+    last = max([*whole, *known], default=None)
+    if last is None or last in known:
+        return last
+    rows = _log(spark, path).where(F.col("batch_id") <= last)
+    top_of(rows, [*keys], F.desc("batch_id")).write.mode("overwrite").parquet(f"{path}/_snapshots/upto={last}")
+    for n in known[:-1]:
+        remove(spark, f"{path}/_snapshots/upto={n}")
+    for n in batches:
+        if known and n <= known[-1]:
+            remove(spark, f"{path}/batch_id={n}")
+    return last

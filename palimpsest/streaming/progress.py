@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import logging
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from palimpsest.functions import report as report_columns
 from palimpsest.operators import report
@@ -61,5 +63,52 @@ def stream_progress(
     )
 
 
+class Liveness(StreamingQueryListener):
+    """Tells a callback whether a named stream is running, idle, finished or failed.
+
+    Each event gives ``task, state, batch, rows`` and, of a failure, ``error``. Spark calls listeners
+    on a thread of its own; a callback that fails is logged and does no harm to the stream.
+    """
+
+    def __init__(self, callback: Callable[[dict[str, Any]], None], task: str) -> None:
+        self.callback, self.task = callback, task
+        self.batches: dict[str, int | None] = {}
+
+    def _tell(self, query: Any, state: str, rows: int = 0, error: str | None = None) -> None:
+        status = {"task": self.task, "state": state, "batch": self.batches[str(query)], "rows": rows}
+        notify(self.callback, status if error is None else {**status, "error": error})
+
+    def onQueryStarted(self, event: Any) -> None:
+        if event.name == self.task:
+            self.batches[str(event.id)] = None
+            self._tell(event.id, "running")
+
+    def onQueryProgress(self, event: Any) -> None:
+        seen = event.progress
+        if str(seen.id) in self.batches:
+            if seen.numInputRows:
+                self.batches[str(seen.id)] = seen.batchId
+            self._tell(seen.id, "running", seen.numInputRows)
+
+    def onQueryIdle(self, event: Any) -> None:
+        if str(event.id) in self.batches:
+            self._tell(event.id, "idle")
+
+    def onQueryTerminated(self, event: Any) -> None:
+        if str(event.id) in self.batches:
+            self._tell(event.id, "failed" if event.exception else "finished", error=event.exception)
+
+
+@contextmanager
+def liveness(spark: SparkSession, callback: Callable[[dict[str, Any]], None], task: str) -> Iterator[Liveness]:
+    """Report on the streams that are started under the name ``task`` while the context lasts."""
+    listener = Liveness(callback, task)
+    spark.streams.addListener(listener)
+    try:
+        yield listener
+    finally:
+        spark.streams.removeListener(listener)
+
+
 def table_status(spark: SparkSession, path: str, task: str) -> DataFrame:
     return report.job_status(spark.read.parquet(path), task)
