@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Callable
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, replace
 from datetime import date
 from functools import reduce
 from typing import Any
@@ -61,6 +61,16 @@ class CaptureJob:
         values = json.dumps(asdict(self), sort_keys=True, default=str)
         return hashlib.sha256(values.encode()).hexdigest()
 
+    def dated(self, ledger: Ledger) -> CaptureJob:
+        """The job with the day that its years count back from: that of its first run, unless given."""
+        if not self.range_years or self.as_of:
+            return self
+        day = ledger.first_entry("as-of ")
+        if day is None:
+            day = date.today().isoformat()
+            ledger.enter(f"as-of {day}", 0, "")
+        return replace(self, as_of=date.fromisoformat(day))
+
     def selected(self, parsed: DataFrame) -> DataFrame:
         """Listing lines the job asks for. Lines that cannot be read are always shown."""
         asked = F.lit(True)
@@ -97,11 +107,11 @@ class CaptureJob:
     def all_lines(self, spark: SparkSession, path: str | list[str], ledger: Ledger) -> tuple[DataFrame, int]:
         """Stored lines of all intakes, and how many there are. Only new files are read."""
         intakes = ledger.take_in(listing.listing_files(spark, path))
-        tables = []
+        dated, tables = self.dated(ledger), []
         for k in range(1, intakes + 1):
             # as many rows as the listing has files
             names = [r.src_file for r in spark.read.parquet(ledger.stage_path(f"files-{k}")).collect()]
-            tables.append(ledger.run_stage(f"lines-{k}", lambda k=k, names=names: self.lines(spark, names, k)))
+            tables.append(ledger.run_stage(f"lines-{k}", lambda k=k, names=names: dated.lines(spark, names, k)))
         lines = reduce(DataFrame.unionByName, tables)
         # the first lines of all intakes are among the first lines of each
         return (filters.limit_captures(lines, self.limit) if self.limit else lines), intakes

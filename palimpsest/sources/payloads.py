@@ -32,11 +32,16 @@ def with_sniffed(payloads: DataFrame) -> DataFrame:
 
 
 def fingerprint(payloads: DataFrame) -> str:
-    """A text that changes with the rows of a payload table, from its narrow columns alone."""
+    """A text that changes with the rows of a payload table, from all its columns but the bodies.
+
+    Hashes are summed, so repeated rows count as often as they come. A body that changes while all else stays
+    the same does not show; a table that may change so should carry its digest or length.
+    """
+    narrow = sorted(c for c in payloads.columns if c != "body")
     row = payloads.agg(
-        F.count(F.lit(1)).alias("rows"), F.bit_xor(F.xxhash64("url_archive", "status", "location")).alias("mix")
+        F.count(F.lit(1)).alias("rows"), F.sum(F.xxhash64(*narrow).cast("decimal(20,0)")).alias("mix")
     ).first()
-    return f"{row.rows}-{(row.mix or 0) & 0xFFFFFFFF:08x}"
+    return f"{row.rows}-{int(row.mix or 0) & 0xFFFFFFFFFFFFFFFF:016x}"
 
 
 def repeated_addresses(index: DataFrame) -> DataFrame:

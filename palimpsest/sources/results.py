@@ -11,12 +11,21 @@ _CSV = {"header": True, "quote": '"', "escape": '"', "encoding": "UTF-8"}
 ROWS_PER_FILE = 5_000_000
 
 
-def scan_results(spark: SparkSession, path: str | list[str], multi_line: bool = True) -> DataFrame:
+def has_line_breaks(spark: SparkSession, path: str | list[str]) -> bool:
+    """Whether a quoted value of the files goes on in the next line: a line then has an odd number of quotes."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+
+
+def scan_results(spark: SparkSession, path: str | list[str], multi_line: bool | None = None) -> DataFrame:
     """Rows of earlier results, ordered by ``src_file`` and ``csv_line``.
 
-    Empty values read as NULL. Quoted line breaks need ``multi_line``, which reads one
-    file per task; without it large files are split.
+    Empty values read as NULL. Quoted line breaks need ``multi_line``, which reads one file per task;
+    without it large files are split. Unless told, the files are looked through for such breaks
+    first, in parallel, and are split if there are none.
     """
+    if multi_line is None:
+        multi_line = has_line_breaks(spark, path)
     raw = spark.read.schema(RESULTS).options(**_CSV, multiLine=multi_line).csv(path)
     return raw.select(
         F.col("_metadata.file_path").alias("src_file"),

@@ -10,23 +10,23 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 
-# Folders of the table, and tasks that write to each.
+# Folders of the table.
 PARTS = 256
-WRITERS = 8
 
 
 def write_snapshot_tree(stored: DataFrame, path: str, by_timestamp: bool = False, parts: int = PARTS) -> None:
     """Write ``(domain, [timestamp,] rel_path, body)`` as parquet below ``part=``.
 
     A domain lies in one of ``parts`` folders, sorted by domain, time and path, so that the number of
-    folders does not grow with the web. Rows are dealt by hashes, which need no second look at
-    the bodies; a domain that holds much of the data is shared among ``WRITERS`` tasks.
+    folders does not grow with the web. Parts are dealt by a rebalancing shuffle: adaptive execution
+    splits those that hold more bytes than a task should write, be it one large domain or
+    many small ones, and puts small ones together, so writers and files grow with the bytes.
     """
     levels = ["domain", "timestamp"] if by_timestamp else ["domain"]
     part = F.pmod(F.xxhash64("domain"), F.lit(parts)).alias("part")
     (
         stored.select(part, *levels, "rel_path", "body")
-        .repartition(F.col("part"), F.pmod(F.xxhash64("rel_path"), F.lit(WRITERS)))
+        .hint("rebalance", F.col("part"))
         .sortWithinPartitions("part", *levels, "rel_path")
         .write.mode("overwrite")
         .partitionBy("part")

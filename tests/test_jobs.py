@@ -1,6 +1,7 @@
 """Whole runs, reruns and the ledger."""
 
 import os
+from datetime import date
 
 import pytest
 from pyspark.sql import functions as F
@@ -217,6 +218,34 @@ def test_tree_by_timestamp(spark, folder):
     assert spark.read.parquet(folder + "/t").select("domain", "timestamp", "rel_path").collect() == [("a.com", "2024", "a.com/2024/x")]
 
 
+def test_writers_grow_with_the_bytes_of_a_domain(spark, folder, conf):
+    """One domain with most of the data is many files; small ones share tasks."""
+    conf(adaptive_advisoryPartitionSizeInBytes="64k", shuffle_partitions="8")
+    rows = spark.range(0, 4_000, 1, 8).select(
+        F.when(F.col("id") % 4 > 0, "hot.com").otherwise(F.concat(F.lit("h"), (F.col("id") % 40).cast("string"), F.lit(".com"))).alias("domain"),
+        F.lit("2024").alias("timestamp"),
+        F.concat(F.lit("p"), "id").alias("rel_path"),
+        F.encode(F.concat_ws("", F.transform(F.sequence(F.lit(1), F.lit(8)), lambda k: F.md5(F.concat(F.col("id").cast("string"), k.cast("string"))))), "utf-8").alias("body"),
+    )
+    tree.write_snapshot_tree(rows, folder + "/t", parts=16)
+    stored = spark.read.parquet(folder + "/t").withColumn("file", F.input_file_name())
+    files = {r.domain: r.n for r in stored.groupBy("domain").agg(F.count_distinct("file").alias("n")).collect()}
+    assert files["hot.com"] > 4 and max(n for d, n in files.items() if d != "hot.com") <= 2
+    assert stored.select("rel_path").distinct().count() == stored.count() == 4_000
+
+
+def test_years_count_back_from_the_first_run(spark, folder):
+    job, ledger = CaptureJob(range_years=2), Ledger(spark, folder, CaptureJob(range_years=2).job_id)
+    ledger.enter("as-of 2020-06-01", 0, "")
+    assert job.dated(ledger).as_of == date(2020, 6, 1) and job.dated(ledger).range_years == 2
+    other = Ledger(spark, folder, CaptureJob(range_years=3).job_id)
+    first = CaptureJob(range_years=3).dated(other).as_of
+    assert first is not None and CaptureJob(range_years=3).dated(other).as_of == first
+    assert CaptureJob().dated(ledger) == CaptureJob()
+    given = CaptureJob(range_years=2, as_of=date(2001, 1, 1))
+    assert given.dated(ledger) is given
+
+
 def test_shared_folder_comes_from_the_session(spark):
     assert session.scratch_path(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
 

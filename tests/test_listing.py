@@ -117,6 +117,20 @@ def test_results_round_trip(spark, folder):
     assert [tuple(r) for r in back.collect()] == rows[:2]
 
 
+def test_results_are_split_unless_a_value_has_a_line_break(spark, folder, conf):
+    schema = "timestamp string, url_archive string, url_origin string, redirect_url string, redirect_timestamp string, response string, file string"
+    rows = [(f"{i:014d}", f'http://x/{i},"q"', f"http://o/{i}", None, None, "200", "") for i in range(3_000)]
+    results.write_results(spark.createDataFrame(rows, schema).coalesce(1), f"{folder}/r")
+    conf(files_maxPartitionBytes="32k", files_openCostInBytes="1k")
+    assert not results.has_line_breaks(spark, f"{folder}/r")
+    back = results.scan_results(spark, f"{folder}/r")
+    assert back.rdd.getNumPartitions() > 4
+    assert [r.timestamp for r in back.orderBy("csv_line").collect()] == [r[0] for r in rows]
+    results.write_results(spark.createDataFrame([("1", "http://x/\ny", "http://o/", None, None, "200", "")], schema), f"{folder}/s")
+    assert results.has_line_breaks(spark, f"{folder}/s")
+    assert results.scan_results(spark, f"{folder}/s").first().url_archive == "http://x/\ny"
+
+
 def parsed_of(spark, origins):
     rows = [(i, f"202401{i:02d}000000", "200", u, "ok") for i, u in enumerate(origins, 1)]
     return spark.createDataFrame(rows, "line_no long, timestamp string, statuscode string, url_origin string, verdict string")
