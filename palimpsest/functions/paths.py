@@ -44,10 +44,12 @@ def path_too_long(path: Column, limit: int = PATH_LIMIT) -> Column:
     return F.length(path) > limit
 
 
-def valid_link_path(path: Column) -> Column:
-    """Whether a path can exist: segments of at most 255 bytes, 4,096 in all."""
-    # Usual limits of a path segment and a path, in bytes.
-    segment, whole = 255, 4096
+# Usual limits of a path segment and a path, in bytes.
+SEGMENT_BYTES, PATH_BYTES = 255, 4096
+
+
+def valid_link_path(path: Column, segment: int = SEGMENT_BYTES, whole: int = PATH_BYTES) -> Column:
+    """Whether a path can exist: no segment beyond ``segment`` bytes, ``whole`` in all."""
     # a segment's bytes are at least its characters, so only long ones are measured
     longest = F.array_max(F.transform(F.split(path, "/", -1), F.octet_length))
     return (

@@ -88,15 +88,17 @@ class CaptureJob:
         rows = parsed.where(F.col("verdict").isin("faulty", "malformed") | asked)
         return filters.limit_captures(rows, self.limit) if self.limit else rows
 
-    def lines(self, spark: SparkSession, path: str | list[str], intake: int = 1) -> DataFrame:
-        """Parsed and selected lines of a listing; only unread ones keep their text.
+    def lines(
+        self, spark: SparkSession, path: str | list[str], intake: int = 1, files: DataFrame | None = None
+    ) -> DataFrame:
+        """Parsed and selected lines of a listing, or of its ``files``; only unread ones keep their text.
 
         Lines of a later intake are numbered behind those of all before it.
         """
-        bad = listing.header_problems(spark, path).take(1)
+        bad = listing.header_problems(spark, path, files).take(1)
         if bad:
             raise ValueError(f"{bad[0].src_file} holds {bad[0].headers} header lines instead of one")
-        scanned = listing.scan_listing(spark, path)
+        scanned = listing.scan_listing(spark, path, files)
         scanned = scanned.withColumn("line_no", F.col("line_no") + F.lit((intake - 1) << INTAKE_BITS))
         parsed = listing.parse_listing(scanned)
         keep = ("domain", "url_key")
@@ -109,9 +111,8 @@ class CaptureJob:
         intakes = ledger.take_in(listing.listing_files(spark, path))
         dated, tables = self.dated(ledger), []
         for k in range(1, intakes + 1):
-            # as many rows as the listing has files
-            names = [r.src_file for r in spark.read.parquet(ledger.stage_path(f"files-{k}")).collect()]
-            tables.append(ledger.run_stage(f"lines-{k}", lambda k=k, names=names: dated.lines(spark, names, k)))
+            files = spark.read.parquet(ledger.stage_path(f"files-{k}"))
+            tables.append(ledger.run_stage(f"lines-{k}", lambda k=k, files=files: dated.lines(spark, path, k, files)))
         lines = reduce(DataFrame.unionByName, tables)
         # the first lines of all intakes are among the first lines of each
         return (filters.limit_captures(lines, self.limit) if self.limit else lines), intakes

@@ -36,16 +36,30 @@ def clean_line(text: Column) -> Column:
     ).otherwise(bare)
 
 
-def scan_listing(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def _text(spark: SparkSession, path: str | list[str], files: DataFrame | None) -> DataFrame:
+    """``src_file, value`` of all files; given a table of files, of all that were changed around the same time."""
+    reader = spark.read
+    if files is not None:
+        hours = F.expr("INTERVAL 2 HOURS")
+        shape = "yyyy-MM-dd'T'HH:mm:ss"
+        first, last = (F.min("modified") - hours, F.max("modified") + hours)
+        between = files.agg(F.date_format(first, shape).alias("first"), F.date_format(last, shape).alias("last")).first()
+        if between["first"] is not None:
+            reader = reader.option("modifiedAfter", between["first"]).option("modifiedBefore", between["last"])
+    return reader.text(path).select(F.col("_metadata.file_path").alias("src_file"), "value")
+
+
+def scan_listing(spark: SparkSession, path: str | list[str], files: DataFrame | None = None) -> DataFrame:
     """Lines of one or many listings as ``(src_file, line_no, line)``, headers dropped.
 
     ``line_no`` rises with the position inside a file, because Spark numbers rows by
     partition and plans the splits of a file in offset order. Files follow each other by
-    name. Large files are split and read in parallel.
+    name. Large files are split and read in parallel. ``files``, a stored table with ``src_file``
+    and ``modified``, leaves out all others.
     """
-    raw = spark.read.text(path)
-    source = F.col("_metadata.file_path").alias("src_file")
-    numbered = raw.select(source, F.monotonically_increasing_id().alias("line_no"), "value")
+    numbered = _text(spark, path, files).select("src_file", F.monotonically_increasing_id().alias("line_no"), "value")
+    if files is not None:
+        numbered = numbered.join(files.select("src_file"), "src_file", "left_semi")
     return (
         numbered.where(~is_header(F.col("value")))
         .withColumn("line", clean_line(F.col("value")))
@@ -56,7 +70,7 @@ def scan_listing(spark: SparkSession, path: str | list[str]) -> DataFrame:
 def listing_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Names, sizes and times of a listing's files; nothing of their content is read."""
     found = spark.read.format("binaryFile").load(path)
-    return found.select(F.col("path").alias("src_file"), "length", F.col("modificationTime").alias("modified"))
+    return found.select(F.col("_metadata.file_path").alias("src_file"), "length", F.col("modificationTime").alias("modified"))
 
 
 def is_header(text: Column) -> Column:
@@ -64,9 +78,11 @@ def is_header(text: Column) -> Column:
     return F.ltrim(text).startswith(HEADER_MARK)
 
 
-def header_problems(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def header_problems(spark: SparkSession, path: str | list[str], files: DataFrame | None = None) -> DataFrame:
     """Files that do not hold exactly one header line."""
-    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("src_file"), "value")
+    raw = _text(spark, path, files)
+    if files is not None:
+        raw = raw.join(files.select("src_file"), "src_file", "left_semi")
     return (
         raw.groupBy("src_file")
         .agg(F.count_if(is_header(F.col("value"))).alias("headers"))
