@@ -14,8 +14,8 @@ they give the same run once for each. The smallest id keeps a run, so equal text
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +33,9 @@ GRAM = 25
 WINDOW = RUN_WORDS - GRAM + 1
 # Words whose hashes a task remembers.
 REMEMBERED = 200_000
-_WORD_AND_BLANKS = re.compile(r"\S+[^\S\n]*")
+_FACTOR = 0x100000001B3
+# White space among the first characters; there is none behind them.
+_BLANK = np.array([chr(c).isspace() for c in range(0x3002)])
 
 
 class WordHashes(dict):
@@ -45,17 +47,27 @@ class WordHashes(dict):
         return value
 
 
+def _rolled(values: np.ndarray, width: int) -> np.ndarray:
+    """A polynomial of every ``width`` consecutive values, put together from those of powers of two."""
+    out, have, block, size = None, 0, values, 1
+    while width:
+        factor = np.uint64(pow(_FACTOR, size, 1 << 64))
+        if width & 1:
+            n = len(values) - have - size + 1
+            out = block if out is None else out[:n] * factor + block[have : have + n]
+            have += size
+        width >>= 1
+        if width:
+            block, size = block[:-size] * factor + block[size:], 2 * size
+    return out
+
+
 def grams(words: list[list[str]], known: dict[str, int], width: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
     """Odd hashes of the runs of ``width`` words of several pieces, which have as many at least, and how many each has."""
     sizes = np.array([len(w) for w in words])
-    flat = np.fromiter((known[w] for part in words for w in part), np.uint64, sizes.sum())
-    n = len(flat) - width + 1
-    rolled = np.zeros(n, np.uint64)
-    for k in range(width):
-        rolled *= np.uint64(0x100000001B3)
-        rolled += flat[k : k + n]
-    rolled ^= rolled >> np.uint64(31)
-    rolled *= np.uint64(0x9E3779B97F4A7C15)
+    flat = np.fromiter(map(known.__getitem__, chain.from_iterable(words)), np.uint64, sizes.sum())
+    rolled = _rolled(flat, width)
+    rolled = (rolled ^ (rolled >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
     rolled ^= rolled >> np.uint64(29)
     counts = sizes - width + 1
     first = np.cumsum(sizes) - sizes
@@ -63,6 +75,17 @@ def grams(words: list[list[str]], known: dict[str, int], width: int = GRAM) -> t
     return rolled[at] | np.uint64(1), counts
 
 
+def word_edges(text: str) -> np.ndarray:
+    """Where the words of a text begin, and where each ends with the blanks behind it that are no line end."""
+    points = np.frombuffer(text.encode("utf-32-le"), "<u4")
+    blank = _BLANK[np.minimum(points, len(_BLANK) - 1)]
+    edges = np.flatnonzero(np.diff(np.concatenate([[True], blank, [True]]).astype(np.int8)))
+    starts, ends = edges[::2], edges[1::2]
+    lines = np.append(np.flatnonzero(points == ord("\n")), len(points))
+    following = np.append(starts[1:], len(points))[: len(starts)]
+    return np.stack([starts, np.minimum(following, lines[np.searchsorted(lines, ends)])], axis=1).astype(np.int64)
+
+
 def _over_windows(values: np.ndarray, least: bool) -> np.ndarray:
     """The least or largest of every ``WINDOW`` consecutive values."""
     pick, width = (np.minimum if least else np.maximum), 1
@@ -125,7 +148,7 @@ def _near(batches: Batches) -> Batches:
                 steps = np.zeros(count + 1, np.int64)
                 np.add.at(steps, np.clip(places - WINDOW + 1, 0, count), 1)
                 np.add.at(steps, np.minimum(places + 1, count), -1)
-                edges = np.array([m.span() for m in _WORD_AND_BLANKS.finditer(body[row].as_py())], np.int64)
+                edges = word_edges(body[row].as_py())
                 gone = np.zeros(len(edges) + 1, np.int64)
                 for span in spans[row].as_py() or ():
                     a, b = np.searchsorted(edges[:, 0], [span["start"], span["end"]])

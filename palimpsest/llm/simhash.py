@@ -51,16 +51,23 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
     return int(np.packbits(2 * counts > total, bitorder="little").view("<u8")[0])
 
 
+def version(text: Column) -> Column:
+    """A number that tells the texts of one id apart; NULL counts as empty."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, fp`` of every row, ``fp`` as a signed long; a NULL text has no words."""
+    """``doc_id, version, fp`` of every row, ``fp`` as a signed long; a NULL text has no words."""
 
     def run(batches: Batches) -> Batches:
         for batch in batches:
             bodies = batch.column("text").cast(pa.binary())
             fps = np.array([fingerprint(b.as_py() or b"") for b in bodies], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps)], ["doc_id", "fp"])
+            columns = [batch.column("doc_id"), batch.column("version"), pa.array(fps)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "version", "fp"])
 
-    return map_arrow(texts(docs, doc_id, text), run, "doc_id long, fp long")
+    rows = texts(docs, doc_id, text).withColumn("version", version(F.col("text")))
+    return map_arrow(rows, run, "doc_id long, version long, fp long")
 
 
 def bit_counts(fp: Column) -> Column:
@@ -153,7 +160,7 @@ def similar_links(nodes: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
-    """``doc_id, fp, component_id`` per row; a component is the smallest id that can be reached.
+    """``doc_id, version, fp, component_id`` per row; a component is the smallest id that can be reached.
 
     Documents without words share the fingerprint 0 and are linked like others. NULL ids are in
     components but never their name, unless nothing else is there.
@@ -166,7 +173,7 @@ def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     named = members.join(least, "component").select(F.col("node").alias("fp"), "component_id")
     # one stored row per fingerprint on the right: copies are split where they are many
     labels = nodes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
-    return stored.join(cut_lineage(labels, "fingerprint-labels"), "fp").select("doc_id", "fp", "component_id")
+    return stored.join(cut_lineage(labels, "fingerprint-labels"), "fp").select("doc_id", "version", "fp", "component_id")
 
 
 def hex_of(fp: Column) -> Column:
@@ -181,18 +188,14 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     Empty and NULL texts are one component; an empty table gives no rows.
     """
     firsts = simhash_components(docs, doc_id, text).where("doc_id <=> component_id")
-    firsts = cut_lineage(firsts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "near-firsts")
+    firsts = firsts.groupBy(F.col("doc_id").alias("first_id"), F.col("version").alias("first_version"))
+    firsts = cut_lineage(firsts.agg(F.count(F.lit(1)).alias("n")), "near-firsts")
     rows = docs.select(
-        F.struct(*[docs[c] for c in docs.columns]).alias("row"),
-        docs[doc_id].cast("long").alias("doc_id"),
-        F.xxhash64(F.coalesce(docs[text].cast("string"), F.lit(""))).alias("version"),
+        F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[doc_id].cast("long").alias("doc_id"), version(docs[text]).alias("version")
     )
-
-    def of(ids: DataFrame) -> DataFrame:
-        ids = ids.select(F.col("doc_id").alias("first_id"))
-        return rows.join(ids, F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi")
-
-    kept = of(firsts.where("n = 1"))
-    if not firsts.where("n > 1").isEmpty():
-        kept = kept.unionByName(of(firsts.where("n > 1")).dropDuplicates(["doc_id", "version"]))
+    same = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("version") == F.col("first_version"))
+    kept = rows.join(firsts.where("n = 1"), same, "left_semi")
+    repeated = firsts.where("n > 1")
+    if not repeated.isEmpty():
+        kept = kept.unionByName(rows.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "version"]))
     return kept.select("row.*")

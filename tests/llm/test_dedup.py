@@ -299,6 +299,24 @@ def brute_runs(bodies, gone, size=50):
     return out
 
 
+def test_word_edges_and_rolled_hashes():
+    import random
+
+    import numpy as np
+
+    from palimpsest.llm import runs
+
+    rnd = random.Random(9)
+    for _ in range(300):
+        text = "".join(rnd.choice(["a", "bc", " ", "  ", "\n", "\t", "\x1c", "\u3000", "\u3001", "é", "\U0001d400", "\x85"]) for _ in range(rnd.randrange(30)))
+        want = [m.span() for m in re.finditer(r"\S+[^\S\n]*", text)]
+        assert [tuple(e) for e in runs.word_edges(text).tolist()] == want and len(want) == len(text.split())
+    values = np.array([rnd.getrandbits(64) for _ in range(120)], np.uint64)
+    for width in (1, 2, 5, 25, 50, 120):
+        want = [sum(int(v) * pow(runs._FACTOR, width - 1 - k, 1 << 64) for k, v in enumerate(values[i : i + width])) % (1 << 64) for i in range(121 - width)]
+        assert runs._rolled(values, width).tolist() == want
+
+
 def test_words_that_no_single_document_holds_in_a_row_stay(spark):
     """Two earlier documents hold overlapping pieces of 38 words, none all 50."""
     body = prose("pieces", 50)

@@ -1,6 +1,9 @@
 """Classifiers on held-out rows and on odd ones."""
 
+import math
 import random
+import re
+import zlib
 
 import numpy as np
 import pytest
@@ -94,3 +97,61 @@ def test_words_count_behind_their_first_letters():
     bodies = [clause() + ("悪口雑言罵詈" if i % 2 else "晴天白雲青空") for i in range(400)]
     scorer = toxicity.Scorer(toxicity.fit(bodies, [i % 2 for i in range(400)]))
     assert scorer.sentences(clause() + "悪口雑言罵詈")[0][2] > 0 > scorer.sentences(clause() + "晴天白雲青空")[0][2]
+
+
+# ---------------------------------------------------------------- against plain Python
+
+
+def plain_toxicity(text, model):
+    """Noisy-or over sentences of the weights of their distinct words."""
+    weights = dict(zip(model.names.tolist(), model.weights.tolist()))
+    clean = 1.0
+    for sentence in re.split(r"[.!?\n]+", (text or "").lower()):
+        if sentence.strip():
+            logit = model.bias
+            for word in set(re.findall(r"\w+", sentence)):
+                marked = f"<{word}>"
+                parts = {marked[i : i + n] for n in (4, 5) for i in range(len(marked)) if i + n <= len(marked)} | {marked}
+                logit += sum(weights.get(zlib.crc32(p.encode()), 0.0) for p in parts)
+            clean *= 1 - 1 / (1 + math.exp(-logit))
+    return 1 - clean
+
+
+def test_toxicity_equals_a_plain_noisy_or(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").where("doc_id < 400")
+    model = toxicity.train(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    assert len(model.names) > 20
+    bodies = {r.doc_id: r.text for r in docs.collect()}
+    scores = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    assert scores.keys() == bodies.keys()
+    for d, text in bodies.items():
+        assert scores[d] == pytest.approx(plain_toxicity(text, model), abs=1e-9), d
+
+
+def plain_vector(text):
+    """Counts of letter trigrams, each the product of its letters' shifted random vectors."""
+    runs, total = " " + " ".join(re.findall(r"[^\W\d_]+", text.lower())) + " ", np.zeros(langid.DIMENSIONS)
+    for i in range(len(runs) - 2):
+        bound = np.ones(langid.DIMENSIONS)
+        for place, letter in enumerate(runs[i : i + 3]):
+            vector = np.random.default_rng([langid.SEED, ord(letter)]).choice(np.array([-1, 1], np.int8), langid.DIMENSIONS)
+            bound *= np.concatenate([vector[place - 2 :], vector[: place - 2]]) if place < 2 else vector
+        total += bound
+    return total / np.linalg.norm(total) if total.any() else total
+
+
+def test_languages_equal_plain_cosines(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("length(text) < 300").orderBy("doc_id").limit(40)
+    rows = [(r.doc_id, r.text, r.lang) for r in docs.select("doc_id", "text", "lang").collect()]
+    taught, asked = rows[:25], rows[15:]
+    known = {}
+    for _, text, lang in taught:
+        known[lang] = known.get(lang, 0) + plain_vector(text)
+    known = {x: v / np.linalg.norm(v) for x, v in known.items()}
+    frame = spark.createDataFrame(taught, "doc_id long, text string, lang string")
+    found = langid.identify(spark.createDataFrame(asked, frame.schema), langid.prototypes(frame)).collect()
+    got = {r.doc_id: (r.lang_pred, r.score) for r in found}
+    for d, text, _ in asked:
+        cosines = {x: float(plain_vector(text) @ v) for x, v in known.items()}
+        best = max(cosines, key=cosines.get)
+        assert got[d][0] == best and got[d][1] == pytest.approx(cosines[best], abs=1e-4), d
