@@ -210,12 +210,12 @@ def follow_redirects(attached: DataFrame, index: DataFrame) -> DataFrame:
 def redirect_ends(index: DataFrame) -> DataFrame:
     """Where each redirecting address of an index ends, however many hops away.
 
-    Gives ``address, target, hops, loop``. Pointers are doubled: a round replaces every pointer by the one of the
-    address it points at, so that n hops take log n rounds. A pointer that is still open after more
-    hops than there are addresses to pass runs in circles; ``loop`` is then the smallest
-    address of its circle, ``target`` and ``hops`` are NULL. Locations are resolved against the address
-    that gives them, so a relative one may lead elsewhere than in ``resolve_redirects``. Many addresses may point at one: pointers are a stored table with unique
-    addresses, so that adaptive execution splits such a key.
+    Gives ``address, target, hops, loop``. Pointers are doubled: a round replaces every pointer by the one
+    of the address it points at, so that n hops take log n rounds. A pointer that is still open after more
+    hops than there are addresses to pass runs in circles; ``loop`` is then the smallest address of its
+    circle, ``target`` and ``hops`` are NULL. Locations are resolved against the address that gives them,
+    so a relative one may lead elsewhere than in ``resolve_redirects``. Many addresses may point at one:
+    pointers are a stored table with unique addresses, so that adaptive execution splits such a key.
     """
     onward = archive.resolve_url(F.col("url_archive"), F.col("location"))
     moved = index.where((F.col("status") == 302) & F.col("location").isNotNull())
