@@ -2,6 +2,7 @@
 
 import hashlib
 import io
+import json
 import random
 import zlib
 from collections import Counter
@@ -39,6 +40,31 @@ def test_both_encoders_equal_the_library(text):
     assert PAIRS.decode(values) == LIBRARY.decode(values.tolist(), skip_special_tokens=False)
 
 
+LATIN = st.text(st.sampled_from([*map(chr, range(0x21, 0x7F)), *map(chr, range(0xA1, 0x250)), " ", "\n", "'", "e", "t", "s"]), max_size=40)
+
+
+@settings(max_examples=600, deadline=None)
+@given(LATIN)
+def test_merging_by_rank_equals_the_library(text):
+    assert ENCODER.quick and list(ENCODER.encode([text])) == [wanted(text)]
+
+
+def test_ranks_are_taken_only_where_they_are_sure():
+    ranks = vocab.merge_ranks(LIBRARY)
+    assert len(ranks) == 50_256 and all(ranks[bytes([b])] >= 0 for b in range(256))
+    settings_ = json.loads(LIBRARY.to_str())
+
+    def with_model(**change):
+        return Tokenizer.from_str(json.dumps({**settings_, "model": {**settings_["model"], **change}}))
+
+    merges = settings_["model"]["merges"]
+    assert vocab.merge_ranks(with_model(merges=[merges[1], merges[0], *merges[2:]])) is None
+    assert vocab.merge_ranks(with_model(merges=merges[:-1])) is None  # its token can no longer be reached
+    assert vocab.merge_ranks(Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))) is None
+    plain = Tokenizer.from_str(json.dumps({**settings_, "normalizer": {"type": "Lowercase"}}))
+    assert vocab.merge_ranks(plain) is None
+
+
 def test_bytes_that_are_no_text_decode_as_in_the_library():
     rnd = random.Random(4)
     for _ in range(200):
