@@ -5,9 +5,9 @@ else than white space always starts a piece. Texts are cut there, and the librar
 chunk once per worker; a bounded store keeps what it answered. A text that holds a special token goes to
 the library whole, since there the cut could fall differently.
 
-Chunks of Latin letters, digits and signs are merged by tiktoken with the vocabulary's own ranks, which is four times
-as fast and gives the library's ids: see ``merge_ranks``. A vocabulary for which that is not certain, and
-all other chunks, stay with the library.
+Texts and chunks of Latin letters, digits and signs are merged by tiktoken with the vocabulary's own ranks, which is four
+times as fast and gives the library's ids: see ``merge_ranks``. A vocabulary for which that is not certain,
+and all other chunks, stay with the library.
 """
 
 from __future__ import annotations
@@ -150,6 +150,11 @@ class Encoder:
             yield from self._encode_group(texts[a:b])
 
     def _encode_group(self, texts: list[str]) -> list[bytes]:
+        latin = [bool(self.quick and _LATIN.fullmatch(t) and not (self.specials and self.specials.search(t))) for t in texts]
+        others = iter(self._by_chunks([t for t, quick in zip(texts, latin, strict=True) if not quick]))
+        return [self._merged([t])[0].tobytes() if quick else next(others) for t, quick in zip(texts, latin, strict=True)]
+
+    def _by_chunks(self, texts: list[str]) -> list[bytes]:
         whole = [t for t in texts if self.specials and self.specials.search(t)]
         answered = {t: ids.tobytes() for t, ids in zip(whole, self._library(whole), strict=True)}
         cut = [chunks(t) if t not in answered else None for t in texts]
