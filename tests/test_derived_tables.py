@@ -5,6 +5,8 @@ import datetime
 import pytest
 
 from palimpsest.checks import QUERIES
+from palimpsest.operators import fetched
+from palimpsest.session import cut_lineage
 
 START = datetime.datetime(2024, 1, 1, tzinfo=datetime.timezone.utc)
 KINDS = ("click", "view", "purchase", "signup", "error")
@@ -29,4 +31,18 @@ def test_capture_run_over_pages_that_share_an_address(spark, tables):
     stored = [r for r in rows if r.url_key.endswith("/a/4") and r.file and not r.file.startswith("earlier/")]
     assert {r.url_archive for r in rows} == {r.url_archive for r in plain}
     # two payloads and a file of each
-    assert all(rows.count(r) == 4 for r in stored)
+    assert stored and all(rows.count(r) == 4 for r in stored)
+
+
+def test_rounds_of_redirects_move_no_texts(spark, monkeypatch):
+    kept = {}
+    monkeypatch.setattr(fetched, "cut_lineage", lambda df, label: kept.setdefault(label, []).append(df.schema) or cut_lineage(df, label))
+    site = "https://web.archive.org/web/20240101000000id_/http://a.com/"
+    chain = [(f"{site}{k}", 302, f"{site}{k + 1}") for k in range(9)] + [(f"{site}x", 302, f"{site}y"), (f"{site}y", 302, f"{site}x")]
+    index = spark.createDataFrame([*chain, (f"{site}9", 200, None)], "url_archive string, status int, location string")
+    got = {r.address: (r.target, r.hops, r.loop) for r in fetched.redirect_ends(index).collect()}
+    assert got == {
+        **{f"{site}{k}": (f"{site}9", 9 - k, None) for k in range(9)},
+        **{f"{site}{k}": (None, None, f"{site}x") for k in "xy"},
+    }
+    assert not any(f.dataType.simpleString() == "string" for s in kept["pointers"] for f in s)
