@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 from palimpsest.checks import derived as d
 from palimpsest.checks import oracle as o
 from palimpsest.checks.of_tables import CAPTURE_COLUMNS, CAPTURE_SQL, LINES_PER_FILE, RESUMED, listing_files
+from palimpsest.checks.of_tables import FILES as LANDINGS
 from palimpsest.checks.registry import query
 from palimpsest.operators import versions
 from palimpsest.plans.job import CaptureJob
@@ -79,18 +80,24 @@ def stream_progress(spark, sf):
 
 
 def _land(spark, folders, landed, checkpoint, inbox) -> None:
-    """Let listing files appear one after the other and land each."""
+    """Let listing files appear and land them together."""
     for folder in folders:
         move(spark, folder, f"{inbox}/{folder.rpartition('/')[2]}")
-        stream.land_lines(spark, f"{inbox}/*", landed, checkpoint).awaitTermination()
+    stream.land_lines(spark, f"{inbox}/*", landed, checkpoint).awaitTermination()
+
+
+def _landings(folders, most=LANDINGS) -> list[list[str]]:
+    """Folders that land together, in order: as many landings as a small listing has files, larger ones for a large one."""
+    size = -(-len(folders) // most)
+    return [folders[k : k + size] for k in range(0, len(folders), size)]
 
 
 @query("stream_landed", o.stmt(o.LISTING, "SELECT row_number() OVER (ORDER BY line_no) AS place, line FROM lines"))
 def stream_landed(spark, sf):
-    """Files that land one by one: every line once, by batch and line in the order of the listing."""
-    landed = scratch_path(spark, "landed")
-    files = listing_files(spark, sf)
-    _land(spark, files, landed, scratch_path(spark, "land"), scratch_path(spark, "inbox"))
+    """Files that land one after the other: every line once, by batch and line in the order of the listing."""
+    landed, land, inbox = (scratch_path(spark, n) for n in ("landed", "land", "inbox"))
+    for folders in _landings(listing_files(spark, sf)):
+        _land(spark, folders, landed, land, inbox)
     lines = spark.read.schema("line_no long, line string, batch_id long").parquet(landed)
     # batches are few; rows of a batch follow each other by number
     named = lines.select(F.lpad(F.col("batch_id").cast("string"), 20, "0").alias("src_file"), F.col("line_no").alias("scid"), "line")
@@ -113,8 +120,8 @@ def _resumed(spark, sf, mode, results_root=None, between=None, callback=None) ->
     if between is not None:
         between()
     landed, inbox, land, merge = (scratch_path(spark, n) for n in ("landed", "inbox", "land", "merge"))
-    for folder in files[half:]:
-        _land(spark, [folder], landed, land, inbox)
+    for folders in _landings(files[half:], LANDINGS // 2):
+        _land(spark, folders, landed, land, inbox)
         rows = stream.stream_captures(stream.read_landed(spark, landed))
         merge_captures(rows, store, merge, callback, "download").awaitTermination()
     return store
@@ -179,10 +186,10 @@ def stream_distinct(spark, sf):
 def stream_compacted(spark, sf):
     """Winners read from snapshots of a change log and the batches behind them, compacted while it grows."""
     log, landed, inbox, land, merge = (scratch_path(spark, n) for n in ("changes", "landed", "inbox", "land", "merge"))
-    for folder in listing_files(spark, sf):
-        _land(spark, [folder], landed, land, inbox)
+    for k, folders in enumerate(_landings(listing_files(spark, sf))):
+        _land(spark, folders, landed, land, inbox)
         winners = stream.keep_versions_stream(stream.stream_captures(stream.read_landed(spark, landed)), "last")
         stream.append_changes(winners, log, merge).awaitTermination()
-        if folder.endswith(("1", "2")):
+        if k in (1, 2):
             stream.compact(spark, log)
     return stream.current(spark, log).select(*RESUMED)

@@ -72,10 +72,10 @@ class BucketTable:
 
     def replay(self, number: int) -> None:
         """Put the content that ``prepare`` has stored in place; doing so again changes nothing."""
+        # rows lie by bucket already, no shuffle is needed
         pending = self.spark.read.schema(self.schema).parquet(self._pending(number))
         (
-            pending.repartition("bucket")
-            .write.mode("overwrite")
+            pending.write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy("bucket")
             .parquet(self.rows_path)

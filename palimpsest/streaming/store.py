@@ -9,9 +9,10 @@ falls into; buckets in which nothing won are not written. A batch that comes aga
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 from typing import Any, NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.operators import overlay, report, versions
@@ -153,6 +154,8 @@ class CaptureStore:
         """Store the new content of the buckets that change, and count what that does."""
         touched = self.table.touched(rows)
         stored = self.table.read(touched).drop("bucket")
+        if self.mode == "all":
+            return self._added(number, before, rows, set(touched), results, run)
         new = overlay.anti_existing(rows, stored, _SAME)
         if results is not None:
             new = overlay.overlay_results(new, results)
@@ -170,6 +173,31 @@ class CaptureStore:
             self.table.prepare(number, content)
         return State(number, "", -1, run, before.total + total, before.handled + handled)
 
+    def _added(
+        self, number: int, before: State, rows: DataFrame, touched: set[int], results: DataFrame | None, run: int
+    ) -> State:
+        """``_update`` where every distinct capture stays: new ones join those stored, which only move with their buckets."""
+        stored = self.table.read(sorted(touched))
+        same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in _SAME])
+        known = stored.select(*[F.col(c).alias(f"__{c}") for c in _SAME])
+        new = rows.join(known, same, "left_anti")
+        if results is not None:
+            new = overlay.overlay_results(new, results)
+        new = cut_lineage(self.table.with_bucket(new), "stream-new")
+        changed = {r.bucket for r in new.select("bucket").distinct().collect()}
+        merged = stored.unionByName(new)
+        content = merged.where(F.col("bucket").isin(list(changed)))
+        if results is not None and run != before.results_run:
+            content, changed = self._refreshed(merged, touched, content, changed, results)
+            now, old = report.counts(content).first(), report.counts(self.table.read(sorted(changed))).first()
+            total, handled = now.total - old.total, now.handled - old.handled
+        else:
+            now = report.counts(new).first()
+            total, handled = now.total, now.handled
+        if changed:
+            self.table.prepare(number, content)
+        return State(number, "", -1, run, before.total + total, before.handled + handled)
+
     def _refreshed(
         self, merged: DataFrame, touched: set[int], content: DataFrame, changed: set[int], results: DataFrame
     ) -> tuple[DataFrame, set[int]]:
