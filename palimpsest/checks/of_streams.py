@@ -29,18 +29,22 @@ _STATUS = T.StructType(
 )
 
 
-def _landed(spark, sf) -> str:
-    """The derived lines as landed files, split by arrival."""
+def _landed(spark, sf) -> tuple[str, int]:
+    """The derived lines as landed files, split by arrival, and how many of them make a micro-batch.
+
+    Files grow in number with the lines, micro-batches in size: each reads its files in parallel.
+    """
     path = scratch_path(spark, "landed")
     lines = cut_lineage(d.lines(spark, sf), "lines")
     files = max(FILES, -(-lines.count() // LINES_PER_FILE))
     rows = lines.withColumn("part", F.col("line_no") % files)
     rows.repartition(files, "part").select("line_no", "line").write.parquet(f"{path}/batch_id=0")
-    return path
+    return path, -(-files // FILES)
 
 
 def _captures(spark, sf):
-    lines = stream.read_landed(spark, _landed(spark, sf), files_per_trigger=1)
+    path, together = _landed(spark, sf)
+    lines = stream.read_landed(spark, path, files_per_trigger=together)
     return stream.stream_captures(lines)
 
 
