@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palimpsest.session import children, exists, remove
+from palimpsest.session import children, exists, move, remove
 
 BUCKETS = 256
 
@@ -14,10 +14,10 @@ BUCKETS = 256
 class BucketTable:
     """A parquet table below ``path/rows``, partitioned by ``bucket``.
 
-    An update is written in two steps: first the whole content of the buckets that change, to a
-    folder of its own that carries the update's number, then these buckets in place, by dynamic
-    partition overwrite. A run that dies in the second step leaves buckets missing or old; ``replay`` puts the
-    same content in again, so an update is either seen whole or repeated. Updates follow each other;
+    An update has two steps: first the whole content of the buckets that change is written, to a
+    folder of its own that carries the update's number, then the folders of these buckets are moved in place.
+    A run that dies in the second step leaves buckets missing or old; ``replay`` moves those that are
+    still to come, so an update is either seen whole or finished. Updates follow each other;
     two writers at a time are not supported, and a reader during the second step may have to
     read again.
     """
@@ -71,15 +71,12 @@ class BucketTable:
         )
 
     def replay(self, number: int) -> None:
-        """Put the content that ``prepare`` has stored in place; doing so again changes nothing."""
-        # rows lie by bucket already, no shuffle is needed
-        pending = self.spark.read.schema(self.schema).parquet(self._pending(number))
-        (
-            pending.write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("bucket")
-            .parquet(self.rows_path)
-        )
+        """Move the buckets that ``prepare`` has stored in place; doing so again changes nothing."""
+        pending = self._pending(number)
+        for name in children(self.spark, pending):
+            if name.startswith("bucket="):
+                remove(self.spark, f"{self.rows_path}/{name}")
+                move(self.spark, f"{pending}/{name}", f"{self.rows_path}/{name}")
         for name in children(self.spark, f"{self.path}/pending"):
             if name != f"update={number}":
                 remove(self.spark, f"{self.path}/pending/{name}")

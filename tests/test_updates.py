@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions import urls
 from palimpsest.operators import fetched, filters, overlay, report, versions
 from palimpsest.session import cut_lineage
-from palimpsest.sources import listing
+from palimpsest.sources import buckets, listing
 from palimpsest.sources.buckets import BucketTable
 
 from .conftest import captures_of
@@ -80,6 +80,36 @@ def test_an_update_that_died_is_put_in_place_again(spark, folder, monkeypatch):
     assert table.read().count() == captures.count()
 
 
+def test_replay_moves_what_is_written_already(spark, folder, monkeypatch):
+    """No row is written a second time, and what a replay that died left is moved by the next."""
+    table, captures = stored(spark, folder, [(i, "20240101", f"http://h{i}.com/", "200") for i in range(20)], buckets=4)
+    table.prepare(1, captures.withColumn("file", F.lit("f")))
+    written = {os.path.basename(f) for f in glob.glob(f"{table._pending(1)}/**/*.parquet", recursive=True)}
+    move, calls = buckets.move, count()
+
+    def dies(*paths):
+        if next(calls) == 1:
+            raise RuntimeError("gone")
+        move(*paths)
+
+    monkeypatch.setattr(buckets, "move", dies)
+    with pytest.raises(RuntimeError):
+        table.replay(1)
+    for _ in range(2):
+        table.replay(1)
+        assert {os.path.basename(f) for f in files_of(table)} == written
+        assert table.read().where("file = 'f'").count() == captures.count()
+
+
+def test_rows_and_results_meet_once(spark, folder, monkeypatch):
+    table, _ = stored(spark, folder, [(i, "20240101", f"http://h{i}.com/", "200") for i in range(20)])
+    news = spark.createDataFrame([result("20240101", "http://h5.com/", "200", "f")], RESULT)
+    plans, collect = [], type(news).collect
+    monkeypatch.setattr(type(news), "collect", lambda df: plans.append(df._jdf.queryExecution().analyzed().toString()) or collect(df))
+    overlay.overlay_update(table, news, 1)
+    assert len(plans) == 2 and not any("Join" in p for p in plans)
+
+
 # ---------------------------------------------------------------- body filter
 
 
