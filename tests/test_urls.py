@@ -113,3 +113,15 @@ def test_keys_hold_what_paths_need(spark, texts):
 def test_key_of_a_plain_key_is_itself(spark, texts):
     keys = values(spark, ["http://h.com/" + t for t in texts], urls.url_key)
     assert values(spark, ["http://" + k for k in keys], urls.url_key) == keys
+
+
+def test_keys_made_together_equal_single_ones(spark):
+    more = ["http://a.com?q=http://b.com/./x/../..", "a/..://b/./://c/..", "://", "http://a.com/.http://../..", "x@y:1?z://w@v:2/u", "http://a.com/é/.?u=ftp://ü/~", None]
+    df = spark.createDataFrame([(u,) for u in [*KEYS, *more]], "url string")
+    ways = {f"{www}_{e}": (www, e) for www in (True, False) for e in ("cut", "keep")}
+    together = urls.with_url_keys(df, ways, "url")
+    single = df.select("url", *[urls.url_key(F.col("url"), *way).alias(name) for name, way in ways.items()])
+    assert sorted(together.collect(), key=str) == sorted(single.collect(), key=str)
+    # the replacements of one address whole, and of the rest of a longer one in either case
+    plan = together._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(", #, %23)") <= 3
