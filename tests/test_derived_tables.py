@@ -108,3 +108,11 @@ def test_the_index_of_payloads_is_that_of_their_bodies(spark, tables):
     narrow = derived.payload_index(spark, tables)
     assert narrow.columns == whole.columns and narrow.count() > 0
     assert narrow.exceptAll(whole).isEmpty() and whole.exceptAll(narrow).isEmpty()
+
+
+@pytest.mark.parametrize("name", ["overlay_update", "attach_payloads", "apply_outcomes", "overlay_results", "payload_index"])
+def test_captures_are_derived_once(spark, tables, monkeypatch, name):
+    calls, to_captures = [], derived.listing.to_captures
+    monkeypatch.setattr(derived.listing, "to_captures", lambda *a, **k: calls.append(a) or to_captures(*a, **k))
+    assert not QUERIES[name](spark, tables).isEmpty()
+    assert len(calls) == 1
