@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.work import Batches, cut_lineage, map_arrow, row_key
+from palimpsest.llm.work import Batches, arrow_batches, cut_lineage, map_arrow, row_key
 
 FILTERS = "ABCDE"
 MIN_WORDS = 50
@@ -35,8 +35,13 @@ MOST_CAPITALS_PERCENT = 5
 SYMBOLS = b"#$%&*|"
 _CAPITALS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
-# Bytes of text in a trie that a task builds over its input.
-BLOCK_BYTES = 32_000_000
+# Bytes of text in a trie that a task builds over its input. A worker holds the texts of a block twice, as
+# they came and in the trie.
+BLOCK_BYTES = 8_000_000
+# What a row takes in a block besides its text.
+ROW_BYTES = 250
+# Bytes of text in a batch that goes to a worker or comes from it, one text at least.
+BATCH_BYTES = 2_000_000
 # Bytes of the prefixes that texts are dealt by, and of all texts with one prefix beyond which
 # more of the text is taken.
 PREFIXES = (16, 256)
@@ -138,17 +143,31 @@ def _judge(batches: Batches) -> Batches:
                 counter += 1
             classes.append(node.first)
         masks = [failures(body) for body in bodies]
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(ids, pa.int64()),
-                pa.array(parts, pa.string()),
-                pa.array(masks, pa.int32()),
-                pa.array(classes, pa.int64()),
-                pa.array([node.least for node in ends], pa.int64()),
-                pa.array(texts, pa.binary()),
-            ],
-            ["doc_id", "part", "mask", "cls", "least", "text"],
-        )
+        least = [node.least for node in ends]
+        for run in _runs(texts):
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(ids[run], pa.int64()),
+                    pa.array(parts[run], pa.string()),
+                    pa.array(masks[run], pa.int32()),
+                    pa.array(classes[run], pa.int64()),
+                    pa.array(least[run], pa.int64()),
+                    pa.array(texts[run], pa.binary()),
+                ],
+                ["doc_id", "part", "mask", "cls", "least", "text"],
+            )
+
+
+def _runs(bodies: list[bytes | None]) -> Iterator[slice]:
+    """Rows after each other that have a bounded number of bytes of text, one text at least."""
+    begin, held = 0, 0
+    for at, body in enumerate(bodies):
+        size = len(body or b"")
+        if held and held + size > BATCH_BYTES:
+            yield slice(begin, at)
+            begin, held = at, 0
+        held += size
+    yield slice(begin, len(bodies))
 
 
 def _blocks(batches: Batches) -> Iterator[tuple[list, list, list]]:
@@ -164,7 +183,7 @@ def _blocks(batches: Batches) -> Iterator[tuple[list, list, list]]:
             ids.append(doc.as_py())
             parts.append(part.as_py())
             bodies.append(body)
-            held += len(body) + 64
+            held += len(body) + ROW_BYTES
     if ids:
         yield ids, parts, bodies
 
@@ -209,23 +228,24 @@ def _merge(batches: Batches) -> Batches:
     """Per class the first class of its text and the smallest id of all; a new trie where the key changes."""
     key, trie, ends, held, texts = None, Trie(), [], 0, []
 
-    def told() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array([cls for cls, _ in ends], pa.int64()),
-                pa.array([node.first for _, node in ends], pa.int64()),
-                pa.array([node.least for _, node in ends], pa.int64()),
-                pa.array(texts, pa.binary()),
-            ],
-            ["cls", "first", "least", "text"],
-        )
+    def told() -> Batches:
+        for run in _runs(texts):
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([cls for cls, _ in ends[run]], pa.int64()),
+                    pa.array([node.first for _, node in ends[run]], pa.int64()),
+                    pa.array([node.least for _, node in ends[run]], pa.int64()),
+                    pa.array(texts[run], pa.binary()),
+                ],
+                ["cls", "first", "least", "text"],
+            )
 
     for batch in batches:
         columns = [batch.column(c) for c in (*_KEY, "cls", "least", "text")]
         for *this, cls, least, body in zip(*columns, strict=True):
             this = tuple(v.as_py() for v in this)
-            if this != key and held > HOT_BYTES:
-                yield told()
+            if this != key and held > BLOCK_BYTES:
+                yield from told()
                 trie, ends, held, texts = Trie(), [], 0, []
             key, body, cls = this, body.as_py(), cls.as_py()
             node = trie.terminal(body)
@@ -238,12 +258,18 @@ def _merge(batches: Batches) -> Batches:
             node.least = _lower(node.least, least.as_py())
             ends.append((cls, node))
     if ends:
-        yield told()
+        yield from told()
 
 
 def _tried(dealt: DataFrame, label: str) -> DataFrame:
     ranges = dealt.repartitionByRange(*_KEY).sortWithinPartitions(*_KEY).select(*_KEY, "cls", "least", "text")
-    return cut_lineage(map_arrow(ranges, _merge, "cls long, first long, least long, text binary"), label)
+    return _stored(map_arrow(ranges, _merge, "cls long, first long, least long, text binary"), label)
+
+
+def _stored(rows: DataFrame, label: str) -> DataFrame:
+    """Rows of tries in a table; batches are small, as an executor's memory beside its heap holds several a task."""
+    with arrow_batches(rows.sparkSession, BATCH_BYTES):
+        return cut_lineage(rows, label)
 
 
 def smallest_ids(classes: DataFrame) -> DataFrame:
@@ -277,7 +303,7 @@ def masks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", part: str
     )
     # the first bytes and the length of texts stand apart, so that counting prefixes reads no texts
     apart = {"head": F.substring("text", 1, PREFIXES[0]), "bytes": F.length("text").cast("long")}
-    judged = cut_lineage(map_arrow(rows, _judge, _JUDGED).withColumns(apart), "audit-judged")
+    judged = _stored(map_arrow(rows, _judge, _JUDGED).withColumns(apart), "audit-judged")
     lowest = smallest_ids(judged.where("text IS NOT NULL").select("cls", "least", "text", "head", "bytes"))
     copy = F.coalesce(F.col("doc_id") > F.col("lowest"), F.lit(False)).cast("int") * (1 << 4)
     return judged.select("doc_id", "part", "mask", "cls").join(lowest, "cls").select(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,7 +14,7 @@ from pyspark.sql.window import Window
 import palimpsest
 from palimpsest.session import cut_lineage, scratch_path
 
-__all__ = ["cut_lineage", "held_out", "map_arrow", "row_key", "running_total", "scratch_path", "texts"]
+__all__ = ["arrow_batches", "cut_lineage", "held_out", "map_arrow", "row_key", "running_total", "scratch_path", "texts"]
 
 Batches = Iterator[pa.RecordBatch]
 
@@ -32,6 +33,20 @@ def map_arrow(df: DataFrame, fn: Callable[[Batches], Batches], schema: str) -> D
     return df.mapInArrow(fn, schema)
 
 
+@contextmanager
+def arrow_batches(spark: SparkSession, most_bytes: int) -> Iterator[None]:
+    """Spark hands Python batches of about so many bytes in what is run inside; a session that names a size keeps it."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is not None:
+        yield
+        return
+    spark.conf.set(name, str(most_bytes))
+    try:
+        yield
+    finally:
+        spark.conf.unset(name)
+
+
 def row_key(partition: int, counter: int) -> int:
     """A number of its own for every row of a stored table, ascending inside a partition."""
     return (partition << 36) + counter

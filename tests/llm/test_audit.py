@@ -1,12 +1,15 @@
 """The filter audit against a plain count over all orders, and tries against dictionaries."""
 
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 from itertools import permutations
+from types import SimpleNamespace
 
+import pyarrow as pa
 import pytest
 
-from palimpsest.llm import filter_audit
+from palimpsest.llm import filter_audit, work
 
 DOCS = "doc_id long, text string, source string"
 LABELS = "doc_id long, quality int, toxic int"
@@ -88,6 +91,82 @@ def test_hot_prefixes_and_hot_texts_give_the_same(spark, monkeypatch):
     assert found(docs, labels) == want
 
 
+def test_texts_of_many_batches_give_the_same(spark, monkeypatch):
+    """Blocks go over batches, and a text may have more bytes than a batch or a block."""
+    long = "".join(chr(97 + i % 23) for i in range(40_000))
+    rows = sample(200) + [(500 + i, long + " z" * (i % 3), "a") for i in range(7)]
+    docs = spark.createDataFrame(rows, DOCS).coalesce(2)
+    want = brute(rows, [])
+    for name, most in (("BATCH_BYTES", 5_000), ("BLOCK_BYTES", 30_000), ("HOT_BYTES", 20_000)):
+        monkeypatch.setattr(filter_audit, name, most)
+    assert found(docs, spark.createDataFrame([], LABELS)) == want
+
+
+def texts_apart(n, length=4_000):
+    """Texts without a common beginning, and each tenth twice."""
+    rng = random.Random(11)
+    texts = [f"{rng.random()} {i} ".encode() + rng.randbytes(length // 2).hex().encode() for i in range(n)]
+    return [texts[i - 1] if i % 10 == 9 else t for i, t in enumerate(texts)]
+
+
+def peak_and_batches(fn, batches):
+    """Most bytes that Python held, and what came of the batches, as bytes and classes."""
+    tracemalloc.start()
+    try:
+        sizes, classes, whole = [], [], 0
+        for out in fn(iter(batches)):
+            sizes.append(out.nbytes)
+            classes += out["cls"].to_pylist()
+            whole += out["text"].null_count
+        return tracemalloc.get_traced_memory()[1], sizes, classes, whole
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_task_holds_and_returns_few_bytes_at_once(monkeypatch):
+    monkeypatch.setattr(filter_audit, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 3)))
+    bodies = texts_apart(6_000)
+    rows = pa.record_batch([pa.array(range(6_000), pa.int64()), pa.array(["s"] * 6_000), pa.array(bodies, pa.binary()).cast(pa.string())], ["doc_id", "part", "text"])
+    peak, sizes, classes, without = peak_and_batches(filter_audit._judge, [rows])
+    assert len(classes) == 6_000
+    assert len(set(classes)) == 6_000 - without >= 5_400
+    assert peak < 32_000_000
+    assert max(sizes) < 4_000_000
+
+
+def test_a_merge_of_rare_texts_holds_few_bytes_at_once():
+    """Many keys of few texts each, and a frequent text whose parts are passed on."""
+    bodies = sorted(texts_apart(6_000))
+    zeros, ids = pa.array([0] * 6_000, pa.int64()), pa.array(range(6_000), pa.int64())
+    columns = [pa.array([b[:16] for b in bodies], pa.binary()), zeros, zeros, pa.array([1] * 6_000, pa.int64()), ids, ids, pa.array(bodies, pa.binary())]
+    rows = pa.record_batch(columns, [*filter_audit._KEY, "cls", "least", "text"])
+    peak, sizes, classes, without = peak_and_batches(filter_audit._merge, [rows])
+    assert sorted(classes) == list(range(6_000))
+    assert 6_000 - without == len(set(bodies))
+    assert peak < 32_000_000
+    assert max(sizes) < 4_000_000
+
+
+def test_small_batches_end_with_what_is_run_inside(spark, conf):
+    """The session's own size holds where it has one, and nothing stays set."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+    def largest():
+        docs = spark.createDataFrame([(i, "x" * 1_000) for i in range(400)], "doc_id long, text string").coalesce(1)
+        counted = work.map_arrow(docs, lambda bs: (pa.record_batch([pa.array([b.num_rows], pa.int64())], ["n"]) for b in bs), "n long")
+        return max(r.n for r in work.cut_lineage(counted, "batches").collect())
+
+    with pytest.raises(ZeroDivisionError), work.arrow_batches(spark, 50_000):
+        assert largest() < 100
+        raise ZeroDivisionError
+    assert spark.conf.get(name, None) is None
+    assert largest() == 400
+    conf(execution_arrow_maxBytesPerBatch="100000000")
+    with work.arrow_batches(spark, 50_000):
+        assert largest() == 400
+    assert spark.conf.get(name) == "100000000"
+
+
 def test_empty_tables_and_other_columns(spark):
     labels = spark.createDataFrame([(1, 1, 0)], LABELS)
     empty = spark.createDataFrame([], DOCS)
