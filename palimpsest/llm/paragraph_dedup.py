@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +25,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.components import components
-from palimpsest.llm.runs import REMEMBERED, WordHashes, repeated_runs
+from palimpsest.llm.runs import mixed, repeated_runs, word_hashes
 from palimpsest.llm.vocab import groups, strings
 from palimpsest.llm.work import Batches, cut_lineage, map_arrow, texts
+from palimpsest.operators.fetched import possibly_among
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -35,9 +37,11 @@ MIN_WORDS = 20
 MAX_WORDS = 200
 RECALL = 0.999
 MAX_HASHES = 64
+# Nodes that a task remembers to have seen.
+REMEMBERED = 200_000
 # Paragraphs that one task compares with as many others.
 BLOCK = 2048
-_SENTENCE_END = re.compile(r"(?<=[.!?])\s+")
+_SENTENCE_END = re.compile(r"[.!?]\s+")
 
 
 def tuned(similarity: float = SIMILARITY, recall: float = RECALL, most: int = MAX_HASHES) -> tuple[int, int]:
@@ -59,7 +63,7 @@ def paragraphs(text: str) -> Iterator[tuple[int, int, list[str]]]:
         if not 0 < len(words) < MIN_WORDS:
             short = []
         if len(words) > MAX_WORDS:
-            yield from _parts(text, at, end)
+            yield from _parts(text, at, end, words)
         elif len(words) >= MIN_WORDS:
             yield at, end, words
         elif words:
@@ -71,18 +75,20 @@ def paragraphs(text: str) -> Iterator[tuple[int, int, list[str]]]:
         at = end
 
 
-def _parts(text: str, at: int, end: int) -> Iterator[tuple[int, int, list[str]]]:
-    line = text[at:end]
-    edges = [0, *(m.end() for m in _SENTENCE_END.finditer(line)), len(line)]
-    start, words = 0, []
-    for a, b in zip(edges, edges[1:], strict=False):
-        sentence = line[a:b].lower().split()
-        words += sentence
-        ends_here = xxhash.xxh3_64_intdigest(" ".join(sentence)) % 4 == 0
-        if (ends_here and len(words) >= MIN_WORDS) or len(words) >= MAX_WORDS or b == len(line):
-            if len(words) >= MIN_WORDS:
-                yield at + start, at + b, words
-            start, words = b, []
+def _parts(text: str, at: int, end: int, words: list[str]) -> Iterator[tuple[int, int, list[str]]]:
+    # behind each word that ends a sentence, and behind the blanks that follow it
+    stops = [i for i, word in enumerate(words, 1) if word[-1] in ".!?"]
+    edges = [m.end() for m in _SENTENCE_END.finditer(text, at, end)]
+    # the last word may have no blank behind it
+    ends = [*zip(stops, edges, strict=False), (len(words), end)]
+    start, first, sentence = at, 0, 0
+    for stop, edge in ends:
+        ends_here = xxhash.xxh3_64_intdigest(" ".join(words[sentence:stop])) % 4 == 0
+        sentence, n = stop, stop - first
+        if (ends_here and n >= MIN_WORDS) or n >= MAX_WORDS or edge == end:
+            if n >= MIN_WORDS:
+                yield start, edge, words[first:stop]
+            start, first = edge, stop
 
 
 def node_of(words: list[str]) -> int:
@@ -91,15 +97,10 @@ def node_of(words: list[str]) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def _mixed(values: np.ndarray) -> np.ndarray:
-    values = (values ^ (values >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    return values ^ (values >> np.uint64(29))
-
-
-def shingle_hashes(words: list[list[str]], known: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+def shingle_hashes(words: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all shingles of several paragraphs, and where each paragraph's begin."""
     sizes = np.array([len(w) for w in words])
-    flat = np.fromiter((known[w] for part in words for w in part), np.uint64, sizes.sum())
+    flat = word_hashes(chain.from_iterable(words))
     n = len(flat) - SHINGLE + 1
     rolled = np.zeros(n, np.uint64)
     for k in range(SHINGLE):
@@ -109,7 +110,7 @@ def shingle_hashes(words: list[list[str]], known: dict[str, int]) -> tuple[np.nd
     for k in range(1, SHINGLE):
         inside[ends - k] = False
     starts = np.concatenate([[0], np.cumsum(sizes - SHINGLE + 1)[:-1]])
-    return _mixed(rolled[inside[:n]]), starts
+    return mixed(rolled[inside[:n]]), starts
 
 
 def band_keys(hashes: np.ndarray, starts: np.ndarray, bands: int, rows: int) -> np.ndarray:
@@ -122,7 +123,7 @@ def band_keys(hashes: np.ndarray, starts: np.ndarray, bands: int, rows: int) ->
         keys[band] = band + 1
         for p in range(band * rows, (band + 1) * rows):
             least = np.minimum.reduceat(hashes * odd[p] + add[p], starts)
-            keys[band] = _mixed(keys[band] * np.uint64(0x100000001B3) + least)
+            keys[band] = mixed(keys[band] * np.uint64(0x100000001B3) + least)
     return keys
 
 
@@ -131,50 +132,39 @@ def _rows(docs: DataFrame) -> DataFrame:
     return whole.select("doc_id", F.xxhash64("text").alias("version"), "text")
 
 
-def _occurrences(docs: DataFrame) -> DataFrame:
-    """``doc_id, version, nth, start, end, n_words, node`` of all paragraphs, places in characters."""
+def _occurrences(docs: DataFrame, bands: int, rows: int) -> DataFrame:
+    """``doc_id, version, nth, start, end, n_words, node, buckets`` of all paragraphs, places in characters.
+
+    A node has its buckets once per task as far as it can be remembered.
+    """
 
     def run(batches: Batches) -> Batches:
         names = ["doc_id", "version", "nth", "start", "end", "n_words", "node"]
+        seen: set[int] = set()
         for batch in batches:
             ids, versions = batch.column("doc_id").to_pylist(), batch.column("version").to_pylist()
-            found = [
-                (doc, version, i, a, b, len(words), node_of(words))
-                for doc, version, text in zip(ids, versions, strings(batch.column("text")), strict=True)
-                for i, (a, b, words) in enumerate(paragraphs(text))
-            ]
-            columns = list(zip(*found, strict=True)) or [()] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
-
-    shape = "doc_id long, version long, nth long, start long, end long, n_words long, node long"
-    return map_arrow(_rows(docs), run, shape)
-
-
-def _bands(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """``band, node``: the buckets of every node, once per task as far as it can be remembered."""
-
-    def run(batches: Batches) -> Batches:
-        known, seen = WordHashes(), set()
-        for batch in batches:
             bodies = strings(batch.column("text"))
-            for a, b in groups(bodies):
-                new: dict[int, list[str]] = {}
-                for text in bodies[a:b]:
-                    for _, _, words in paragraphs(text):
+            for x, y in groups(bodies):
+                found, new, lists = [], [], [0]
+                for row in range(x, y):
+                    doc, version, text = ids[row], versions[row], bodies[row]
+                    for i, (a, b, words) in enumerate(paragraphs(text)):
                         node = node_of(words)
+                        found.append((doc, version, i, a, b, len(words), node))
                         if node not in seen:
-                            new[node] = words
-                if not new:
-                    continue
+                            seen.add(node)
+                            new.append(words)
+                        lists.append(len(new) * bands)
                 if len(seen) > REMEMBERED:
                     seen.clear()
-                seen.update(new)
-                keys = band_keys(*shingle_hashes(list(new.values()), known), bands, rows)
-                nodes = np.tile(np.array(list(new), np.int64), bands)
-                columns = [pa.array(keys.reshape(-1).view(np.int64)), pa.array(nodes)]
-                yield pa.RecordBatch.from_arrays(columns, ["band", "node"])
+                if found:
+                    keys = band_keys(*shingle_hashes(new), bands, rows) if new else np.zeros((bands, 0), np.uint64)
+                    buckets = pa.ListArray.from_arrays(pa.array(lists, pa.int32()), pa.array(keys.T.reshape(-1).view(np.int64)))
+                    columns = [pa.array(c, pa.int64()) for c in zip(*found, strict=True)]
+                    yield pa.RecordBatch.from_arrays([*columns, buckets], [*names, "buckets"])
 
-    return map_arrow(_rows(docs).select("text"), run, "band long, node long")
+    shape = "doc_id long, version long, nth long, start long, end long, n_words long, node long, buckets array<long>"
+    return map_arrow(_rows(docs), run, shape)
 
 
 def _stars(batches: Batches) -> Batches:
@@ -228,10 +218,8 @@ def _verified(least: float) -> object:
     """Links of every run of equal ``component, part`` in sorted rows of ``node, text``."""
 
     def run(batches: Batches) -> Batches:
-        known = WordHashes()
-
         def links(nodes: list[int], bodies: list[str]) -> pa.RecordBatch:
-            hashes, starts = shingle_hashes([t.lower().split() for t in bodies], known)
+            hashes, starts = shingle_hashes([t.lower().split() for t in bodies])
             sets = [np.unique(s) for s in np.split(hashes, starts[1:])]
             found = [(nodes[a], nodes[b]) for a, b in similar(sets, least)]
             u, v = zip(*found, strict=True) if found else ((), ())
@@ -253,13 +241,13 @@ def _verified(least: float) -> object:
 
 
 def _similar_links(docs: DataFrame, occurrences: DataFrame, least: float, block: int) -> DataFrame:
-    bands, rows = tuned(least)
-    met = _bands(docs, bands, rows).repartition("band").sortWithinPartitions("band", "node")
+    met = occurrences.select(F.explode("buckets").alias("band"), "node").repartition("band").sortWithinPartitions("band", "node")
     candidates = cut_lineage(components(map_arrow(met, _stars, "u long, v long")), "candidates")
     # one occurrence of every candidate, and its words from its document
     first = F.min(F.struct("doc_id", "version", "start", "end"))
     chosen = occurrences.join(candidates, "node", "left_semi").groupBy("node").agg(first.alias("at")).select("node", "at.*")
-    found = _rows(docs).join(chosen, ["doc_id", "version"])
+    chosen = cut_lineage(chosen, "candidate-places")
+    found = possibly_among(_rows(docs), "version", chosen.select("version").distinct()).join(chosen, ["doc_id", "version"])
     body = F.expr("substring(text, cast(start as int) + 1, cast(end - start as int))")
     # rows that repeat an id and text give the same paragraph again
     bodies = cut_lineage(found.select("node", body.alias("text")).dropDuplicates(["node"]), "candidate-texts")
@@ -284,7 +272,7 @@ def repeated_passages(
     ``nth``, its first gram as ``cluster``, and the smallest document that keeps a part of it as ``keep_id``.
     """
     whole = texts(docs, doc_id, text)
-    occurrences = cut_lineage(_occurrences(whole), "paragraphs")
+    occurrences = cut_lineage(_occurrences(whole, *tuned(similarity)), "paragraphs")
     links = _similar_links(whole, occurrences, similarity, block)
     named = cut_lineage(components(links), "paragraph-clusters")
     own = occurrences.groupBy("node").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))

@@ -14,8 +14,7 @@ they give the same run once for each. The smallest id keeps a run, so equal text
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import chain
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -25,26 +24,77 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm.vocab import groups, strings
 from palimpsest.llm.work import Batches, cut_lineage, map_arrow
+from palimpsest.operators.fetched import possibly_among
 
 # Shorter runs are no passages.
 RUN_WORDS = 50
 GRAM = 25
 # Grams in a run of the least length, and so those of a window that holds an anchor.
 WINDOW = RUN_WORDS - GRAM + 1
-# Words whose hashes a task remembers.
-REMEMBERED = 200_000
+# Runs that are handed on at once.
+NEAR_ROWS = 50_000
+# Longer words, in bytes, are hashed one by one.
+SHORT = 64
 _FACTOR = 0x100000001B3
 # White space among the first characters; there is none behind them.
 _BLANK = np.array([chr(c).isspace() for c in range(0x3002)])
-
-
-class WordHashes(dict):
-    def __missing__(self, word: str) -> int:
-        value = xxhash.xxh3_64_intdigest(word)
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[word] = value
-        return value
+_BLANK_BYTE = np.array([c < 128 and chr(c).isspace() for c in range(256)])
+_OTHER_BLANKS = [chr(c) for c in np.flatnonzero(_BLANK).tolist() if c > 127]
+_FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def mixed(values: np.ndarray) -> np.ndarray:
+    values = (values ^ (values >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return values ^ (values >> np.uint64(29))
+
+
+def _scan(body: str) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """A text in UTF-8 behind one blank, and where its words begin and end there."""
+    for c in _OTHER_BLANKS:
+        if c in body:
+            body = body.replace(c, " ")
+    data = f" {body} ".encode()
+    blank = _BLANK_BYTE[np.frombuffer(data, np.uint8)]
+    edges = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+    return data, edges[::2], edges[1::2]
+
+
+def _hashed(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of words, eight bytes at a time."""
+    sizes = ends - starts
+    eights = np.ndarray(len(data), "<u8", data + bytes(8), strides=(1,))
+    values, rest = mixed(sizes.astype(np.uint64)), np.arange(len(sizes))
+    for k in range(0, SHORT, 8):
+        rest = rest[sizes[rest] > k]
+        if not len(rest):
+            break
+        piece = eights[starts[rest] + k] & _FIRST_BYTES[np.minimum(sizes[rest] - k, 8)]
+        values[rest] = mixed(values[rest] ^ piece)
+    for row in np.flatnonzero(sizes > SHORT).tolist():
+        values[row] = xxhash.xxh3_64_intdigest(data[starts[row] : ends[row]])
+    return values
+
+
+def word_hashes(words: Iterable[str]) -> np.ndarray:
+    """A hash of every word, none empty or with white space."""
+    return _hashed(*_scan(" ".join(words)))
+
+
+def text_words(bodies: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words of texts in small letters, where each begins in its text, and how many each text has."""
+    body = "\n".join(bodies)
+    low = body.lower()
+    data, starts, ends = _scan(low)
+    hashes = _hashed(data, starts, ends)
+    if len(low) != len(body):  # a letter has become two
+        data, starts, ends = _scan(body)
+    if len(data) > len(body) + 2:
+        starts = np.cumsum(np.frombuffer(data, np.int8) >= -64, dtype=np.int32)[starts] - 1
+    starts = starts - 1
+    first = np.cumsum([0, *(len(t) + 1 for t in bodies)])
+    edges = np.searchsorted(starts, first)
+    counts = np.diff(edges)
+    return hashes, starts - np.repeat(first[:-1], counts), counts
 
 
 def _rolled(values: np.ndarray, width: int) -> np.ndarray:
@@ -62,13 +112,9 @@ def _rolled(values: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def grams(words: list[list[str]], known: dict[str, int], width: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
+def grams(values: np.ndarray, sizes: np.ndarray, width: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
     """Odd hashes of the runs of ``width`` words of several pieces, which have as many at least, and how many each has."""
-    sizes = np.array([len(w) for w in words])
-    flat = np.fromiter(map(known.__getitem__, chain.from_iterable(words)), np.uint64, sizes.sum())
-    rolled = _rolled(flat, width)
-    rolled = (rolled ^ (rolled >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    rolled ^= rolled >> np.uint64(29)
+    rolled = mixed(_rolled(values, width))
     counts = sizes - width + 1
     first = np.cumsum(sizes) - sizes
     at = np.arange(counts.sum()) + np.repeat(first - (np.cumsum(counts) - counts), counts)
@@ -111,26 +157,68 @@ def _columns(values: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v.astype(np.int64, copy=False)) for v in values], names)
 
 
-def _read(batch: pa.RecordBatch, known: WordHashes, width: int) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
-    """Rows of groups of texts that are long enough, their runs of ``width`` words, and how many each has."""
-    bodies = strings(batch.column("text"))
-    for a, b in groups(bodies):
-        words = {row: bodies[row].lower().split() for row in range(a, b)}
-        words = {row: found for row, found in words.items() if len(found) >= RUN_WORDS}
-        if words:
-            yield list(words), *grams(list(words.values()), known, width)
-
-
 def _anchors(batches: Batches) -> Batches:
-    names, known = ["gram", "doc_id", "version", "at"], WordHashes()
+    """The anchors of every text of words enough, and where the first and the last word begin of the runs that hold each."""
+    names = ["doc_id", "version", "gram", "at", "first", "last"]
     for batch in batches:
-        doc, version = (batch.column(c).to_numpy() for c in ("doc_id", "version"))
-        for rows, hashes, counts in _read(batch, known, GRAM):
+        bodies = strings(batch.column("text"))
+        for a, b in groups(bodies):
+            words, places, sizes = text_words(bodies[a:b])
+            long = sizes >= RUN_WORDS
+            if not long.any():
+                continue
+            inside = np.repeat(long, sizes)
+            words, places, sizes = words[inside], places[inside], sizes[long]
+            hashes, counts = grams(words, sizes)
             chosen = anchors(hashes, counts)
-            firsts = np.cumsum(counts) - counts
-            text = np.searchsorted(firsts, chosen, "right") - 1
-            row = np.array(rows)[text]
-            yield _columns([hashes[chosen].view(np.int64), doc[row], version[row], chosen - firsts[text]], names)
+            begins = np.cumsum(counts) - counts
+            text = np.searchsorted(begins, chosen, "right") - 1
+            at = chosen - begins[text]
+            word = (np.cumsum(sizes) - sizes)[text]
+            first = places[word + np.maximum(at - WINDOW + 1, 0)]
+            last = places[word + np.minimum(at + RUN_WORDS, sizes[text]) - 1]
+            offsets = pa.array(np.searchsorted(text, np.arange(len(sizes) + 1)), pa.int32())
+            lists = [pa.array(hashes[chosen].view(np.int64)), *(pa.array(v.astype(np.int32)) for v in (at, first, last))]
+            rows = pa.array(np.flatnonzero(long) + a)
+            ids = [batch.column(c).take(rows) for c in names[:2]]
+            yield pa.RecordBatch.from_arrays([*ids, *(pa.ListArray.from_arrays(offsets, v) for v in lists)], names)
+
+
+def _merged(spans: list[dict[str, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Where sorted spans begin and end, those that touch as one."""
+    starts, ends = (np.array([s[k] for s in spans], np.int64) for k in ("start", "end"))
+    ends = np.maximum.accumulate(ends)
+    new = np.append(True, starts[1:] > ends[:-1])
+    return starts[new], ends[np.append(new[1:], True)]
+
+
+def _live(batches: Batches) -> Batches:
+    """A row per anchor, without those that lie in gone words with every run that holds them."""
+    names = ["gram", "doc_id", "version", "at"]
+    for batch in batches:
+        lists = [batch.column(c) for c in ("gram", "at", "first", "last")]
+        gram, at, first, last = (v.flatten().to_numpy() for v in lists)
+        sizes = lists[0].value_lengths().to_numpy()
+        ends = np.cumsum(sizes)
+        live = np.ones(len(gram), bool)
+        spans = batch.column("spans")
+        for row in np.flatnonzero(spans.is_valid().to_numpy(zero_copy_only=False)).tolist():
+            own, gone = slice(ends[row] - sizes[row], ends[row]), spans[row].as_py()
+            if not gone:
+                continue
+            start, end = _merged(gone)
+            found = np.searchsorted(start, first[own], "right") - 1
+            live[own] = (found < 0) | (end[found] <= last[own])
+        doc, version = (np.repeat(batch.column(c).to_numpy(), sizes)[live] for c in ("doc_id", "version"))
+        yield _columns([gram[live], doc, version, at[live]], names)
+
+
+def _covered(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
+    """Which of ``n`` places lie in one of the spans."""
+    steps = np.zeros(n + 1, np.int64)
+    np.add.at(steps, starts, 1)
+    np.add.at(steps, ends, -1)
+    return np.cumsum(steps[:-1]) > 0
 
 
 def _near(batches: Batches) -> Batches:
@@ -138,28 +226,34 @@ def _near(batches: Batches) -> Batches:
 
     ``part`` is 1 for those that reach into a span. The characters include blanks behind.
     """
-    names, known = ["gram", "doc_id", "version", "at", "start", "end", "part"], WordHashes()
+    names = ["gram", "doc_id", "version", "at", "start", "end", "part"]
+    order = ("doc_id", "version", "anchors", "spans", "text")
     for batch in batches:
-        doc, version, shared, spans, body = (batch.column(c) for c in ("doc_id", "version", "anchors", "spans", "text"))
-        for rows, hashes, counts in _read(batch, known, RUN_WORDS):
-            firsts = np.cumsum(counts) - counts
-            for row, first, count in zip(rows, firsts.tolist(), counts.tolist(), strict=True):
-                places = np.array(shared[row].as_py(), np.int64)
-                steps = np.zeros(count + 1, np.int64)
-                np.add.at(steps, np.clip(places - WINDOW + 1, 0, count), 1)
-                np.add.at(steps, np.minimum(places + 1, count), -1)
-                edges = word_edges(body[row].as_py())
-                gone = np.zeros(len(edges) + 1, np.int64)
-                for span in spans[row].as_py() or ():
-                    a, b = np.searchsorted(edges[:, 0], [span["start"], span["end"]])
-                    gone[a + 1 : b + 1] = 1
-                gone = np.cumsum(gone)
-                held = gone[RUN_WORDS:] - gone[:-RUN_WORDS]
-                at = np.flatnonzero((np.cumsum(steps[:-1]) > 0) & (held < RUN_WORDS))
-                same = np.ones(len(at), np.int64)
-                yield _columns(
-                    [hashes[first + at].view(np.int64), same * doc[row].as_py(), same * version[row].as_py(), at, edges[at, 0],
-                     edges[at + RUN_WORDS - 1, 1], (held[at] > 0)], names)
+        found, held_rows = [], 0
+        for doc, version, places, spans, body in zip(*(batch.column(c).to_pylist() for c in order), strict=True):
+            words, edges = body.lower().split(), word_edges(body)
+            count = len(words) - RUN_WORDS + 1
+            places = np.array(places)
+            around = _covered(np.maximum(places - WINDOW + 1, 0), np.minimum(places + 1, count), count)
+            gone = np.zeros(len(words) + 1, np.int64)
+            if spans:
+                start, end = (np.searchsorted(edges[:, 0], edge) for edge in _merged(spans))
+                gone[1:] = np.cumsum(_covered(start, end, len(words)))
+            held = gone[RUN_WORDS:] - gone[:-RUN_WORDS]
+            at = np.flatnonzero(around & (held < RUN_WORDS))
+            # only words of these runs are hashed
+            wanted = np.flatnonzero(_covered(at, at + RUN_WORDS, len(words)))
+            values = np.zeros(len(words), np.uint64)
+            values[wanted] = np.fromiter((xxhash.xxh3_64_intdigest(words[i]) for i in wanted.tolist()), np.uint64, len(wanted))
+            hashes = mixed(_rolled(values, RUN_WORDS))[at] | np.uint64(1)
+            of_text = np.full((2, len(at)), [[doc], [version]])
+            found.append([hashes.view(np.int64), *of_text, at, edges[at, 0], edges[at + RUN_WORDS - 1, 1], held[at] > 0])
+            held_rows += len(at)
+            if held_rows > NEAR_ROWS:
+                yield _columns([np.concatenate(c) for c in zip(*found, strict=True)], names)
+                found, held_rows = [], 0
+        if found:
+            yield _columns([np.concatenate(c) for c in zip(*found, strict=True)], names)
 
 
 def _stretches(batches: Batches) -> Batches:
@@ -192,15 +286,18 @@ def repeated_runs(rows: DataFrame, gone: DataFrame) -> DataFrame:
     """``doc_id, version, start, end, n_words, cluster, keep_id`` of the runs that go.
 
     ``rows`` has ``doc_id, version, text``, ``gone`` stored ``doc_id, version, spans``: sorted structs of
-    ``start, end`` that are gone. Texts are read twice, and shuffled once where they hold a shared anchor.
+    ``start, end`` that are gone. Texts are read twice and shuffled once. Only anchors of runs that are not gone count.
     """
     keys = "gram long, doc_id long, version long, at long"
-    marks = cut_lineage(map_arrow(rows, _anchors, keys), "run-anchors")
+    lists = "doc_id long, version long, gram array<long>, at array<int>, first array<int>, last array<int>"
+    marks = map_arrow(rows, _anchors, lists).join(gone, ["doc_id", "version"], "left")
+    marks = cut_lineage(map_arrow(marks, _live, keys), "run-anchors")
     several = F.min("doc_id") < F.max("doc_id")
     met = cut_lineage(marks.groupBy("gram").agg(several.alias("several")).where("several").select("gram"), "run-met")
     shared = marks.join(met, "gram").groupBy("doc_id", "version").agg(F.collect_set("at").alias("anchors"))
     wanted = cut_lineage(shared.join(gone, ["doc_id", "version"], "left"), "run-places")
-    around = map_arrow(rows.join(wanted, ["doc_id", "version"]), _near, keys + ", start long, end long, part long")
+    near = possibly_among(rows, "version", wanted.select("version").distinct()).join(wanted, ["doc_id", "version"])
+    around = map_arrow(near, _near, keys + ", start long, end long, part long")
     around = cut_lineage(around, "run-grams")
     seen = around.groupBy("gram").agg(F.min(F.when(F.col("part") == 0, F.col("doc_id"))).alias("keep_id"), F.max("doc_id").alias("last_id"))
     # a stored row per run on the right, so that a run of many documents can be split

@@ -317,6 +317,48 @@ def test_word_edges_and_rolled_hashes():
         assert runs._rolled(values, width).tolist() == want
 
 
+def test_runs_that_one_text_still_holds_are_not_compared(spark, monkeypatch):
+    """All paragraphs but the first document's are gone, so there is no run to look at; texts are cut into words as Python does."""
+    from palimpsest.llm import runs
+
+    stored, cut = {}, runs.cut_lineage
+
+    def counted(df, label):
+        table = cut(df, label)
+        stored[label] = table.count()
+        return table
+
+    monkeypatch.setattr(runs, "cut_lineage", counted)
+    body = "\n".join(" ".join(prose(f"still{k}", 70)) for k in range(4))
+    rows = [(d, body, "x") for d in range(5)]
+    found = paragraph_dedup.repeated_passages(spark.createDataFrame(rows, DOCS)).collect()
+    assert sorted((r.doc_id, r.nth, r.removed) for r in found) == [(d, k, d > 0) for d in range(5) for k in range(4)]
+    # before, anchors of gone words counted, and each run of the first document was handed on
+    assert stored["run-anchors"] > 0 and stored["run-met"] == stored["run-grams"] == 0
+
+
+def test_words_of_texts_against_python():
+    import random
+
+    import numpy as np
+
+    from palimpsest.llm import runs
+
+    rnd = random.Random(4)
+    pieces = ["a", "B", "word", "eightchr", "Ninechars", "x" * 70, "x" * 71, " ", "\n", "\t", "\x1c", "\x85", "\xa0", "\u3000", "é", "İ", "ΑΣ", "\U0001d400", "\0"]
+    known = {}
+    for _ in range(200):
+        texts = ["".join(rnd.choice(pieces) for _ in range(rnd.randrange(25))) for _ in range(rnd.randrange(1, 6))]
+        hashes, places, counts = runs.text_words(texts)
+        words = [t.lower().split() for t in texts]
+        assert counts.tolist() == [len(w) for w in words]
+        assert places.tolist() == [m.start() for t in texts for m in re.finditer(r"\S+", t)]
+        flat = [w for part in words for w in part]
+        assert all(known.setdefault(w, h) == h for w, h in zip(flat, hashes.tolist(), strict=True))
+        assert np.array_equal(runs.word_hashes(flat), hashes)
+    assert len(set(known.values())) == len(known) > 500
+
+
 def test_words_that_no_single_document_holds_in_a_row_stay(spark):
     """Two earlier documents hold overlapping pieces of 38 words, none all 50."""
     body = prose("pieces", 50)
